@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ranges that one quantile pass is asked for at most.
+MOST_BUCKETS = 100_000
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -63,9 +67,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bucket_count(docs: DataFrame, target_bytes: int = 4 << 20, least_per_partition: int = 8) -> int:
-    """How many buckets to deal a table into: they grow with the input, so a bucket doesn't."""
-    size = min(input_bytes(docs), 1 << 50)
-    return max(least_per_partition * shuffle_partitions(docs.sparkSession), size // target_bytes, 1)
+    """How many buckets to deal a table into: they grow with the input, so a bucket doesn't.
+
+    A table that isn't read from files has no known size; then the shuffle
+    partitions alone count.  Buckets are streamed, so past MOST_BUCKETS they may grow.
+    """
+    size = input_bytes(docs)
+    size = 0 if size >= 1 << 60 else size
+    return max(least_per_partition * shuffle_partitions(docs.sparkSession), min(size // target_bytes, MOST_BUCKETS), 1)
 
 
 def id_boundaries(docs: DataFrame, buckets: int, column: str = "doc_id") -> list[int]:
