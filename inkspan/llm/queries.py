@@ -16,6 +16,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.htmltext import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.fingerprints import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.idfiles import token_files
 
@@ -56,6 +68,8 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) f USING (n)
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
     "op9_url_rules": op9_url_rules,
 }
