@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from inkspan.llm.common import bucket_count, id_boundaries
 
-SAMPLES = 96
+SAMPLES = 64
 WIDTH = 2
 POOL = 1 << 16
 #: Terms whose samples are drawn at once; bounds a long text's memory.

@@ -34,6 +34,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
     "op9_url_rules": op9_url_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op9_url_rules": OP9_SQL}
