@@ -34,6 +34,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.ngramjoin import components
+
+    return components(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.toxicity import toxicity
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_url_rules": op9_url_rules,
     "op10_toxicity": op10_toxicity,
 }
