@@ -398,3 +398,15 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
     rows = bases.unionByName(probes).join(details, "key").select("tile", "probe", "key", "size", "shared", "label", "signature")
     allowed = rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent), "a long, b long").distinct()
     return _merge(labels, materialise(confirm(materialise(allowed, "pairs"), candidates, percent), "links"))
+
+
+def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that have the least doc_id of their component.
+
+    Documents with an empty set stay, and so do those with a null doc_id (their component may have no other id).
+    Of rows that share a doc_id and text one stays.
+    """
+    least = components(docs, width, percent)
+    stay = least.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
+    known = docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi")
+    return known.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -22,6 +22,19 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.decontaminate import find_leaks
+
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.licenses import scan_licenses
+
+    found = scan_licenses(_documents(spark, sf_dir))
+    return found.select("doc_id", "start", "end", "license", "template", "saving", F.array_join("lacks", " ").alias("lacks"), F.array_join("beyond", " ").alias("beyond"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.fingerprints import fingerprints
 
@@ -40,6 +53,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.quality import resample
+
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.toxicity import toxicity
 
@@ -81,9 +100,12 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) f USING (n)
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_license_scans": op4_license_scans,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_url_rules": op9_url_rules,
     "op10_toxicity": op10_toxicity,
 }

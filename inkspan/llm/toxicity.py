@@ -404,6 +404,13 @@ def _with_scores(docs: DataFrame, model: dict | None, threshold: float, keep: li
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}" if c != "text" else c) for i, c in enumerate(docs.columns)))
+    kept = _with_scores(inner, model, threshold, inner.columns).where("is_toxic = 0")
+    return kept.select(*(F.col(a).alias(c) for a, c in zip(inner.columns, docs.columns, strict=True)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by a model of the labelled rows that aren't held out."""
     model = train(training_rows(docs, labels, third_held_out))
