@@ -56,11 +56,12 @@ _HASHES = _Hashes()
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Buckets of a text's words and pairs of words; runs of marks are words too."""
+    """Buckets of a text's words and pairs of words; runs of marks are words too, and every doubled word is one pair."""
     tokens = _TOKEN.findall(text) if text else []
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     pairs = (h[:-1] * np.uint64(0xBF58476D1CE4E5B9)) ^ (h[1:] + np.uint64(0x94D049BB133111EB))
     pairs *= np.uint64(0x9E3779B97F4A7C15)
+    pairs[h[:-1] == h[1:]] = 0  # a word right after itself is one n-gram, whatever the word
     return (np.concatenate([h, pairs]) >> np.uint64(48)).astype(np.int64)
 
 

@@ -18,11 +18,17 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks remembered in a worker, in two generations; those used of late stay.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 #: What a vocabulary file must say for its texts to be encoded chunk by chunk.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Letters of ASCII and Latin-1, which are their own NFC form and have a lower case of one letter.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: How byte-level vocabularies show bytes: printable ones as themselves, the others from code point 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?*$#&%;:()|]+)(?=[ \t\n\r\x0b\x0c]|$)")
 
 
@@ -73,8 +79,9 @@ class ChunkEncoder:
         for c in missing:
             if (ids := self.old.get(c)) is not None:
                 self.young[c] = ids
-            elif c.isalpha():  # ASCII letters are one word, so the model alone is enough
-                self.young[c] = np.array([t.id for t in self.model.tokenize(c.decode("ascii"))], dtype="<u4").tobytes()
+            elif _LETTERS.fullmatch(c):  # letters without marks are one word, so the model alone is enough
+                shown = c.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(_SHOWN_BYTES)
+                self.young[c] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
             else:
                 rest.append(c)
         if rest:
