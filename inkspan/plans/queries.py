@@ -18,6 +18,7 @@ from inkspan.operators import inventory as iv
 from inkspan.operators import profile as pf
 from inkspan.operators import revise as rv
 from inkspan.plans import oracle as sql
+from inkspan.sources.tables import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,13 +99,13 @@ def transitions(spark, sf_dir):
     return iv.connective_counts(documents(spark, sf_dir), "text", ["uid"])
 
 
-def numbers(spark, sf_dir) -> DataFrame:
-    return pf.profile_numbers(pf.long_features(analysis(spark, sf_dir), ["author"]), ["author"])
+def numbers(a: DataFrame) -> DataFrame:
+    return pf.profile_numbers(pf.long_features(a, ["author"]), ["author"])
 
 
 @query(sql.features() + sql.LONG + sql.AGG + sql.NUMBERS + " SELECT * FROM numbers")
 def profile_numbers(spark, sf_dir):
-    return numbers(spark, sf_dir)
+    return numbers(analysis(spark, sf_dir))
 
 
 @query(sql.features() + sql.META + " SELECT * FROM meta")
@@ -152,36 +153,50 @@ def draft_values(a: DataFrame) -> DataFrame:
     return pf.long_features(a, ["uid", "author"]).drop("weight")
 
 
-def numeric_rows(spark, sf_dir) -> DataFrame:
-    return cp.numeric_rows(draft_values(analysis(spark, sf_dir)), numbers(spark, sf_dir), ["uid"], "author")
+def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis as a table, for plans that read it more than once: drafts and profiles come from one pass over the texts."""
+    return materialise(analysis(spark, sf_dir), "analysis")
 
 
-def stability_rows(spark, sf_dir) -> DataFrame:
-    a = pf.usable(analysis(spark, sf_dir)).withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
-    return cp.stability_rows(a, numbers(spark, sf_dir), ["uid"], "author")
+def numeric_rows(a: DataFrame, n: DataFrame) -> DataFrame:
+    return cp.numeric_rows(draft_values(a), n, ["uid"], "author")
 
 
-def dimensions(spark, sf_dir) -> DataFrame:
+def stability_rows(a: DataFrame, n: DataFrame) -> DataFrame:
+    a = pf.usable(a).withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
+    return cp.stability_rows(a, n, ["uid"], "author")
+
+
+def metric_rows(spark, sf_dir) -> DataFrame:
+    """Status of every numeric and stability row."""
+    a = analysis_table(spark, sf_dir)
+    n = materialise(numbers(a), "numbers")
     keep = ["uid", "author", "dimension", "metric", "status"]
-    return cp.dimension_status(numeric_rows(spark, sf_dir).select(keep).unionByName(stability_rows(spark, sf_dir).select(keep)), ["uid", "author"])
+    return numeric_rows(a, n).select(keep).unionByName(stability_rows(a, n).select(keep))
+
+
+def dimensions(spark, sf_dir) -> DataFrame:
+    return cp.dimension_status(metric_rows(spark, sf_dir), ["uid", "author"])
 
 
 @query(sql.COMPARE + " SELECT * FROM nrows")
 def compare_numeric_rows(spark, sf_dir):
-    return numeric_rows(spark, sf_dir)
+    a = analysis_table(spark, sf_dir)
+    return numeric_rows(a, numbers(a))
 
 
 @query(sql.COMPARE + " SELECT * FROM srows")
 def compare_stability_rows(spark, sf_dir):
-    return stability_rows(spark, sf_dir)
+    a = analysis_table(spark, sf_dir)
+    return stability_rows(a, numbers(a))
 
 
 @query(sql.phrases(sql.top(1, 30)) + f""", own AS (SELECT DISTINCT uid, author, item FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY count DESC, first_pos) AS k FROM c) WHERE k <= 50),
 wanted AS (SELECT author, item, sample_presence FROM common WHERE sample_presence >= 0.5),
 met AS (SELECT tok.uid, tok.author, w.item, w.sample_presence, o.item IS NOT NULL AS has FROM tok LEFT JOIN wanted w ON tok.author = w.author LEFT JOIN own o ON o.uid = tok.uid AND o.item = w.item),
-g AS (SELECT uid, author, count(item) AS reference_size, count(*) FILTER (has) AS matched, sum(sample_presence) FILTER (has) AS weight, sum(sample_presence) AS whole FROM met GROUP BY uid, author)
+gr AS (SELECT uid, author, count(item) AS reference_size, count(*) FILTER (has) AS matched, sum(sample_presence) FILTER (has) AS weight, sum(sample_presence) AS whole FROM met GROUP BY uid, author)
 SELECT uid, author, 'vocabulary' AS dimension, 'shared_characteristic_terms' AS metric, reference_size, matched, {sql.r4('CASE WHEN reference_size > 0 THEN matched / reference_size END')} AS overlap, {sql.r4('coalesce(weight, 0) / whole')} AS weighted_overlap,
-CASE WHEN reference_size = 0 THEN 'unavailable' WHEN matched / reference_size >= 0.5 THEN 'close' WHEN matched / reference_size >= 0.2 THEN 'moderately_different' ELSE 'significantly_different' END AS status FROM g""")
+CASE WHEN reference_size = 0 THEN 'unavailable' WHEN matched / reference_size >= 0.5 THEN 'close' WHEN matched / reference_size >= 0.2 THEN 'moderately_different' ELSE 'significantly_different' END AS status FROM gr""")
 def compare_overlap_rows(spark, sf_dir):
     d = documents(spark, sf_dir)
     own = iv.top_items(d, iv.tokens_of(F.col("text")), ["uid"], 50)
@@ -200,13 +215,12 @@ def overall_status(spark, sf_dir):
 
 @query(sql.COMPARE + f""" SELECT uid, author, dimension, metric, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid, author, dimension ORDER BY {sql._score('status')} DESC, metric) AS rank FROM every WHERE status IN ('moderately_different', 'significantly_different')) WHERE rank <= 2""")
 def worst_metrics(spark, sf_dir):
-    keep = ["uid", "author", "dimension", "metric", "status"]
-    return cp.worst_metrics(numeric_rows(spark, sf_dir).select(keep).unionByName(stability_rows(spark, sf_dir).select(keep)), ["uid", "author"])
+    return cp.worst_metrics(metric_rows(spark, sf_dir), ["uid", "author"])
 
 
 @query(sql.features() + sql.META + """ SELECT uid, f.author, words, CASE WHEN confidence = 'low' OR words < 100 THEN 'low' WHEN confidence = 'medium' OR words < 400 THEN 'medium' ELSE 'high' END AS confidence FROM f JOIN meta USING (author)""")
 def comparison_confidence(spark, sf_dir):
-    a = analysis(spark, sf_dir)
+    a = analysis_table(spark, sf_dir)
     met = a.select("uid", "author", "words").join(pf.profile_metadata(a, ["author"]).select("author", F.col("confidence").alias("level")), "author")
     return met.select("uid", "author", "words", cp.comparison_confidence(F.col("level"), F.col("words")).alias("confidence"))
 
