@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.sources.tables import materialise, scratch_path
 
-#: Ranges that one quantile pass is asked for at most.
-MOST_BUCKETS = 100_000
+__all__ = ["bucket_count", "crc32", "id_boundaries", "input_bytes", "materialise", "partition_id", "scratch_path", "shuffle_partitions"]
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder of this machine is used.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    at = getattr(spark, "_inkspan_scratch", None)
-    if at is None:
-        at = spark._inkspan_scratch = "file://" + tempfile.mkdtemp(prefix="inkspan-")
-    return at
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below scratch_root, deleted when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/inkspan-{tag}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def materialise(df: DataFrame, tag: str, compression: str = "lz4raw") -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    codec = {"lz4raw": "lz4_raw"}.get(compression, compression)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by materialise() that no later plan reads."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/inkspan-" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Ranges that one quantile pass is asked for at most.
+MOST_BUCKETS = 100_000
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -94,7 +53,3 @@ def partition_id() -> int:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
-
-
-def active_context() -> SparkContext:
-    return SparkContext._active_spark_context

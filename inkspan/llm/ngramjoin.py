@@ -17,7 +17,9 @@ least PERCENT / 100.  The join is exact; no step caps partners or candidates.
    holders are banded by set size and dealt into tiles; each holder outside the
    largest component meets all tiles whose band allows a link.  Hashed bitmap
    signatures bound the overlap from above by their bit counts, and the pairs
-   that pass are confirmed by intersecting the sorted arrays.
+   that pass are confirmed by intersecting the sorted arrays.  Two rounds take
+   each text's most promising partner in each other component, which joins most
+   of what links; a last one takes every pair still left.
 
 Pairs inside a component need no comparison, because only components are
 returned; every pair across components that could link is compared.
@@ -44,11 +46,14 @@ from inkspan.llm.fingerprints import shingle_hashes
 WIDTH, PERCENT = 5, 80
 #: Hashes that a batch of texts deals out; bounds a task's memory.
 BATCH_HASHES = 1_500_000
-#: Bits of a signature (a multiple of 64).
-SIGNATURE_BITS = 512
+#: A signature has at least so many bits for each hash, and LEAST_BITS; a power of two, so the longer of two folds onto the shorter.
+BITS_EACH, LEAST_BITS = 8, 512
 #: Texts in a tile.
 TILE = 256
-STAR_ROUNDS = 3
+#: Star rounds end when one finds no link, or here.
+STAR_ROUNDS = 2
+#: Tile rounds that take only each text's most promising partner of each other component; the next one takes all that is left.
+BEST_ROUNDS = 2
 #: Hashes of a set are kept as 40 bits beside their bucket.
 LOW = (1 << 40) - 1
 
@@ -80,10 +85,18 @@ def _from5(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def signature(tokens: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+def signature(tokens: np.ndarray) -> bytes:
+    bits = 1 << max(LEAST_BITS, BITS_EACH * len(tokens) - 1).bit_length() if BITS_EACH * len(tokens) > LEAST_BITS else LEAST_BITS
     out = np.zeros(bits, np.uint8)
-    out[((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(bits)] = 1
-    return np.packbits(out).tobytes()
+    out[((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A signature of 64-bit words folded onto `size` words."""
+    while len(words) > size:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return words
 
 
 def _counts(values: list[int]) -> bytes:
@@ -316,30 +329,56 @@ def _with_label(holders: DataFrame, labels: DataFrame | None) -> DataFrame:
     return holders.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _tiles(percent: int):
-    """Rows sorted by tile, its texts first -> pairs across components that the signatures allow."""
+def _allowed(own: list, key: int, size: int, shared: int, label: int, bits: bytes, percent: int):
+    """(keys, labels, overlap bounds) of the tile's texts across components whose signatures allow a link."""
+    mine = np.frombuffer(bits, "<u8")
+    found = []
+    for words, (keys, sizes, counts, labels, bitmaps) in own:
+        here = np.flatnonzero((labels != label) & (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)))
+        if not len(here):
+            continue
+        theirs = bitmaps[here]
+        while theirs.shape[1] > len(mine):
+            theirs = theirs[:, : theirs.shape[1] // 2] | theirs[:, theirs.shape[1] // 2 :]
+        probe = folded(mine, theirs.shape[1])
+        # a bit that only one of two sets has stands for at least one hash the other lacks
+        both = np.minimum(shared - np.bitwise_count(probe & ~theirs).sum(axis=1, dtype=np.int64), counts[here] - np.bitwise_count(theirs & ~probe).sum(axis=1, dtype=np.int64))
+        fits = 100 * both >= percent * (size + sizes[here] - both)
+        here = here[fits]
+        found += zip(keys[here].tolist(), labels[here].tolist(), (both[fits] / (size + sizes[here] - both[fits])).tolist(), strict=True)
+    return found
+
+
+def _tiles(percent: int, best_only: bool):
+    """Rows sorted by tile, its texts first -> pairs across components that the signatures allow.
+
+    best_only: for each probe only the one with the highest bound of each other component.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         tile, own, block = None, [], None
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: set[tuple[int, int]] = set()
             for at, probe, key, size, shared, label, bits in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if at != tile:
                     tile, own, block = at, [], None
                 if not probe:
                     own.append((key, size, shared, label, bits))
                     continue
-                if not own:
-                    continue
                 if block is None:
-                    block = [np.array([x[i] for x in own]) for i in range(4)] + [np.frombuffer(b"".join(x[4] for x in own), "<u8").reshape(len(own), -1)]
-                keys, sizes, counts, labels, bitmaps = block
-                mine = np.frombuffer(bits, "<u8")
-                both = np.minimum(shared - np.bitwise_count(mine & ~bitmaps).sum(axis=1), counts - np.bitwise_count(bitmaps & ~mine).sum(axis=1).astype(np.int64))
-                fits = (labels != label) & (100 * both >= percent * (size + sizes - both))
-                found += [(min(key, k), max(key, k)) for k in keys[fits].tolist()]
+                    block = []
+                    for words in sorted({len(x[4]) for x in own}):
+                        same = [x for x in own if len(x[4]) == words]
+                        block.append((words, [np.array([x[i] for x in same]) for i in range(4)] + [np.frombuffer(b"".join(x[4] for x in same), "<u8").reshape(len(same), -1)]))
+                allowed = _allowed(block, key, size, shared, label, bits, percent)
+                if best_only:
+                    best: dict[int, tuple[float, int]] = {}
+                    for k, other, bound in allowed:
+                        best[other] = max(best.get(other, (0.0, 0)), (bound, k))
+                    allowed = [(k, other, bound) for other, (bound, k) in best.items()]
+                found.update((min(key, k), max(key, k)) for k, _, _ in allowed)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return run
@@ -381,13 +420,36 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
         pairs = materialise(best.select(F.col("key").alias("a"), F.col("m.chief").alias("b")), "pairs")
         if pairs.isEmpty():
             break
-        labels = _merge(labels, materialise(confirm(pairs, candidates, percent), "links"))
-    known = _with_label(holders.distinct(), labels)
+        found = materialise(confirm(pairs, candidates, percent), "links")
+        if found.isEmpty():
+            break
+        labels = _merge(labels, found)
+    holders = holders.distinct()
+    tried: DataFrame | None = None
+    for turn in range(BEST_ROUNDS + 1):
+        last = turn == BEST_ROUNDS
+        pairs = _across(holders, candidates, labels, percent, not last)
+        if pairs is None:
+            break
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        found = materialise(confirm(pairs, candidates, percent), "links")
+        labels = _merge(labels, found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    return labels
+
+
+def _across(holders: DataFrame, candidates: DataFrame, labels: DataFrame | None, percent: int, best_only: bool) -> DataFrame | None:
+    """Pairs of texts of different components that share a prefix hash and whose signatures allow a link; None if no hash has such holders."""
+    known = _with_label(holders, labels)
     per_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     live = per_label.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("n").alias("held"), F.col("top.label").alias("main"))
     rest = materialise(known.join(live, "token"), "live")
     if rest.isEmpty():
-        return labels
+        return None
     # sizes that can link are in the same band or the next: a band spans a factor of 100 / percent
     rest = rest.withColumn("band", F.floor(F.log("size") / F.lit(math.log(100 / percent) * 1.0000001)).cast("int"))
     rest = rest.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
@@ -396,8 +458,7 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
     bases = rest.withColumn("at_band", F.col("band")).withColumn("at_tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).select(tile, F.lit(0).alias("probe"), "key", "size", "label")
     probes = rest.where("label <> main").withColumn("at_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("at_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(tile, F.lit(1).alias("probe"), "key", "size", "label")
     rows = bases.unionByName(probes).join(details, "key").select("tile", "probe", "key", "size", "shared", "label", "signature")
-    allowed = rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent), "a long, b long").distinct()
-    return _merge(labels, materialise(confirm(materialise(allowed, "pairs"), candidates, percent), "links"))
+    return rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent, best_only), "a long, b long").distinct()
 
 
 def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
