@@ -66,7 +66,7 @@ def numeric_aggregates(features: DataFrame, by: list[str]) -> DataFrame:
     grouped = counted.groupBy(*by, "feature").agg(
         (F.sum(v * F.col("weights")) / F.sum(F.when(v.isNotNull(), F.col("weights")))).alias("mean"),
         F.expr("percentile(value, 0.5, times)").alias("median"),
-        F.sqrt(F.greatest(F.sum(v * v * n) / total - mean * mean, F.lit(0.0))).alias("std"),
+        F.when(total > 0, F.sqrt(F.greatest(F.sum(v * v * n) / total - mean * mean, F.lit(0.0)))).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.coalesce(total, F.lit(0)).alias("n"),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkspan.functions import text as tx
 
@@ -17,7 +18,7 @@ MODES = ("conservative", "balanced", "expressive")
 RESPONSE = "revised_text string, change_summary array<struct<dimension: string, description: string, importance: string>>"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(original: pd.Series, revised: pd.Series) -> pd.Series:
     """Matching-block ratio of white-space words; no built-in measures this."""
 
@@ -28,7 +29,7 @@ def similarity(original: pd.Series, revised: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(original, revised, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(original: pd.Series, revised: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "original", "revised", lineterm="")) for a, b in zip(original, revised, strict=True)])
 
@@ -115,7 +116,7 @@ def revise_batch(drafts: DataFrame, provider: Callable[[str], str], max_attempts
     if not 1 <= max_attempts <= MOST_ATTEMPTS:
         raise ValueError(f"max_attempts must be 1 to {MOST_ATTEMPTS}")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def answer(prompts: pd.Series) -> pd.Series:
         return prompts.map(provider)
 
