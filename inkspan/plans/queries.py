@@ -18,7 +18,7 @@ from inkspan.operators import inventory as iv
 from inkspan.operators import profile as pf
 from inkspan.operators import revise as rv
 from inkspan.plans import oracle as sql
-from inkspan.sources.tables import materialise
+from inkspan.sources.tables import materialise, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,8 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("uid"), F.col("source").alias("author"), "text")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("uid"), F.col("source").alias("author"), "text")
+    return spread(table.where("text is not null"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,7 @@ _REVISED_SQL = "SELECT doc_id, text AS original, replace(substr(text, 1, CAST(fl
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null"))
     return d.select("doc_id", F.col("text").alias("original"), F.replace(F.substr("text", F.lit(1), F.floor(F.char_length("text") * F.lit(0.8)).cast("int")), F.lit("7"), F.lit("")).alias("revised"))
 
 

@@ -33,3 +33,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A small Parquet file is one row group and so one task; a table with enough files passes as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
