@@ -16,6 +16,7 @@ from inkspan.operators import compare as cp
 from inkspan.operators import features as ft
 from inkspan.operators import inventory as iv
 from inkspan.operators import profile as pf
+from inkspan.operators import report as rp
 from inkspan.operators import revise as rv
 from inkspan.plans import oracle as sql
 from inkspan.sources.tables import materialise, spread
@@ -299,3 +300,38 @@ def revision_checks(spark, sf_dir):
 def profiles(spark, sf_dir):
     p = pf.build_profiles(documents(spark, sf_dir), "author", "uid")
     return p.select("author", "sample_count", "total_words", "confidence", F.to_json("patterns").alias("patterns"), F.size("numbers").alias("features"))
+
+
+@query(sql.phrases(sql.top(1, 30)) + ", own AS (SELECT author, list(item ORDER BY rank) AS terms FROM common GROUP BY author), r AS (" + _REVISED_SQL.replace("SELECT doc_id,", "SELECT doc_id, source,") + ") SELECT doc_id, array_to_string(list_filter(terms, lambda t: length(t) > 3 AND regexp_matches(t, '^[\\p{L}]+$') AND contains(lower(original), t) AND NOT contains(lower(revised), t))[1:10], ' ') AS dropped FROM r JOIN own ON r.source = own.author")
+def dropped_terms(spark, sf_dir):
+    terms = pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 1).groupBy("author").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("terms"))
+    authors = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("author"))
+    r = revisions(spark, sf_dir).join(authors, "doc_id").join(terms, "author")
+    return r.select("doc_id", F.array_join(rv.dropped_terms(F.col("terms"), F.col("original"), F.col("revised")), " ").alias("dropped"))
+
+
+@query(sql.phrases(sql.top(1, 30)) + ", a AS (SELECT author, 0 AS part, rank, item FROM common WHERE sample_presence >= 0.9) SELECT author, string_agg(item, ' ' ORDER BY part, rank) AS terms FROM a GROUP BY author")
+def characteristic_terms(spark, sf_dir):
+    # no term of the tables is in all samples of a source, so those in nine of ten stand in
+    terms = pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 1).where("sample_presence >= 0.9").withColumn("sample_presence", F.lit(1.0))
+    return rv.characteristic_terms(terms, terms.limit(0), "author", 30).select("author", F.array_join("terms", " ").alias("terms"))
+
+
+@query()
+def comparison_explanations(spark, sf_dir):
+    a = analysis_table(spark, sf_dir)
+    r = numeric_rows(a, numbers(a))
+    told = rp.metric_explanation(F.col("metric"), F.col("status"), F.col("draft_value"), F.col("low"), F.col("high"), F.col("difference"))
+    return r.select("uid", "author", "dimension", "metric", told.alias("explanation"))
+
+
+@query()
+def comparison_summaries(spark, sf_dir):
+    a = analysis_table(spark, sf_dir)
+    n = materialise(numbers(a), "numbers")
+    keep = ["uid", "author", "dimension", "metric", "status"]
+    dims = cp.dimension_status(numeric_rows(a, n).select(keep).unionByName(stability_rows(a, n).select(keep)), ["uid"])
+    meta = pf.profile_metadata(a, ["author"]).withColumnRenamed("confidence", "level")
+    facts = a.select("uid", "author", F.col("words").alias("draft_words")).join(meta, "author").select("uid", "sample_count", "total_words", "draft_words", cp.comparison_confidence(F.col("level"), F.col("draft_words")).alias("confidence"), F.lit(None).cast("string").alias("context_note"))
+    out = rp.summaries(dims, facts, ["uid"])
+    return out.select("uid", F.array_join("summary", " ").alias("summary"), F.array_join("limitations", " ").alias("limitations"))
