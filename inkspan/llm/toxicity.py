@@ -27,7 +27,6 @@ import math
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,7 +40,7 @@ THRESHOLD = 0.7
 ERRORS = 2.5
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
 #: Words whose inputs are remembered in a worker.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Words of texts that are scored together.
 AT_ONCE = 60_000
 
@@ -82,9 +81,19 @@ class Counts:
         return {k: v for k, v in found.items() if v > 0}
 
 
-@lru_cache(maxsize=100_000)
-def _bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
+class _Grams(dict):
+    """n-gram -> (evidence, bucket), remembered up to a limit."""
+
+    LIMIT = 200_000
+
+    def __init__(self, evidence_of: dict):
+        self.evidence_of = evidence_of
+
+    def __missing__(self, gram: str) -> tuple[float, int]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[gram] = (self.evidence_of.get(gram, 0.0), zlib.crc32(gram.encode()) % BUCKETS)
+        return found
 
 
 class Inputs:
@@ -92,11 +101,11 @@ class Inputs:
 
     def __init__(self, words: dict, grams: dict):
         self.words, self.grams = words, grams
+        self.known = _Grams(grams)
 
     def __call__(self, word: str) -> tuple[list[float], list[int]]:
-        g = grams_of(word)
-        z = [self.grams.get(x, 0.0) for x in g]
-        return [self.words.get(word, 0.0), max(z), sum(z) / len(z)], [_bucket(x) for x in g]
+        z, buckets = zip(*map(self.known.__getitem__, grams_of(word)), strict=True)
+        return [self.words.get(word, 0.0), max(z), sum(z) / len(z)], list(buckets)
 
 
 def windows(n: int) -> list[int]:
@@ -217,6 +226,7 @@ def _family(words: list[str], k: int = 6) -> set:
 def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed: int = 7) -> dict | None:
     """The model fitted to (text, label) rows: parameters and evidence tables; None without both labels."""
     texts, labels, met = [], [], Counter()
+    same: dict[str, str] = {}  # one string object for each word and n-gram
     for text, label in rows:
         w = words_of(text)
         if not w:
@@ -225,7 +235,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed:
         if sum(met[x] > 0 for x in family) >= len(family) // 2:
             continue  # a near copy of a row that is in already
         met.update(family)
-        texts.append(w)
+        texts.append([same.setdefault(x, x) for x in w])
         labels.append(int(label))
     if len(set(labels)) < 2:
         return None
@@ -234,7 +244,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed:
     for label in (0, 1):
         for i, k in enumerate(k for k, y in enumerate(labels) if y == label):
             fold[k] = i % folds
-    sets = [(set(w), {g for x in set(w) for g in grams_of(x)}) for w in texts]
+    sets = [(set(w), {same.setdefault(g, g) for x in set(w) for g in grams_of(x)}) for w in texts]
 
     def inputs_without(f: int | None) -> Inputs:
         words, grams = Counts(), Counts()
