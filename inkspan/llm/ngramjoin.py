@@ -17,9 +17,9 @@ least PERCENT / 100.  The join is exact; no step caps partners or candidates.
    holders are banded by set size and dealt into tiles; each holder outside the
    largest component meets all tiles whose band allows a link.  Hashed bitmap
    signatures bound the overlap from above by their bit counts, and the pairs
-   that pass are confirmed by intersecting the sorted arrays.  Two rounds take
-   each text's most promising partner in each other component, which joins most
-   of what links; a last one takes every pair still left.
+   that pass are confirmed by intersecting the sorted arrays.  Rounds that take
+   each text's most promising partner in another component join most of what
+   links, at one pair a text; a last one takes every pair still left.
 
 Pairs inside a component need no comparison, because only components are
 returned; every pair across components that could link is compared.
@@ -52,8 +52,8 @@ BITS_EACH, LEAST_BITS = 8, 512
 TILE = 256
 #: Star rounds end when one finds no link, or here.
 STAR_ROUNDS = 2
-#: Tile rounds that take only each text's most promising partner of each other component; the next one takes all that is left.
-BEST_ROUNDS = 2
+#: Tile rounds that take only each text's most promising partner in another component; they end when one finds no link, or here, and the next one takes all that is left.
+BEST_ROUNDS = 8
 #: Hashes of a set are kept as 40 bits beside their bucket.
 LOW = (1 << 40) - 1
 
@@ -352,7 +352,7 @@ def _allowed(own: list, key: int, size: int, shared: int, label: int, bits: byte
 def _tiles(percent: int, best_only: bool):
     """Rows sorted by tile, its texts first -> pairs across components that the signatures allow.
 
-    best_only: for each probe only the one with the highest bound of each other component.
+    best_only: for each probe only the one with the highest bound.
     """
 
     def run(batches):
@@ -360,7 +360,7 @@ def _tiles(percent: int, best_only: bool):
 
         tile, own, block = None, [], None
         for b in batches:
-            found: set[tuple[int, int]] = set()
+            found: dict[tuple[int, int], float] = {}
             for at, probe, key, size, shared, label, bits in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if at != tile:
                     tile, own, block = at, [], None
@@ -373,13 +373,12 @@ def _tiles(percent: int, best_only: bool):
                         same = [x for x in own if len(x[4]) == words]
                         block.append((words, [np.array([x[i] for x in same]) for i in range(4)] + [np.frombuffer(b"".join(x[4] for x in same), "<u8").reshape(len(same), -1)]))
                 allowed = _allowed(block, key, size, shared, label, bits, percent)
-                if best_only:
-                    best: dict[int, tuple[float, int]] = {}
-                    for k, other, bound in allowed:
-                        best[other] = max(best.get(other, (0.0, 0)), (bound, k))
-                    allowed = [(k, other, bound) for other, (bound, k) in best.items()]
-                found.update((min(key, k), max(key, k)) for k, _, _ in allowed)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                if best_only and allowed:
+                    k, _, bound = max(allowed, key=lambda x: (x[2], x[0]))
+                    found[key, k] = bound
+                else:
+                    found.update(((key, k), bound) for k, _, bound in allowed)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.float64())], names=["probe", "partner", "bound"])
 
     return run
 
@@ -426,8 +425,9 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
         labels = _merge(labels, found)
     holders = holders.distinct()
     tried: DataFrame | None = None
+    last = False
     for turn in range(BEST_ROUNDS + 1):
-        last = turn == BEST_ROUNDS
+        last = last or turn == BEST_ROUNDS
         pairs = _across(holders, candidates, labels, percent, not last)
         if pairs is None:
             break
@@ -438,6 +438,9 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         found = materialise(confirm(pairs, candidates, percent), "links")
         labels = _merge(labels, found)
+        if last:
+            break
+        last = found.isEmpty()
         tried = pairs if tried is None else tried.unionByName(pairs)
     return labels
 
@@ -458,7 +461,10 @@ def _across(holders: DataFrame, candidates: DataFrame, labels: DataFrame | None,
     bases = rest.withColumn("at_band", F.col("band")).withColumn("at_tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).select(tile, F.lit(0).alias("probe"), "key", "size", "label")
     probes = rest.where("label <> main").withColumn("at_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("at_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(tile, F.lit(1).alias("probe"), "key", "size", "label")
     rows = bases.unionByName(probes).join(details, "key").select("tile", "probe", "key", "size", "shared", "label", "signature")
-    return rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent, best_only), "a long, b long").distinct()
+    met = rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent, best_only), "probe long, partner long, bound double")
+    if best_only:
+        met = met.groupBy("probe").agg(F.max(F.struct("bound", "partner")).alias("m")).select("probe", F.col("m.partner").alias("partner"))
+    return met.select(F.least("probe", "partner").alias("a"), F.greatest("probe", "partner").alias("b")).distinct()
 
 
 def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
