@@ -135,3 +135,31 @@ def test_kth_largest(spark):
 def test_cut():
     assert quality.best_cut(np.array([0.0, 1, 2, 10, 11]), np.array([0.0, 0, 0, 1, 1])) == 6
     assert quality.best_cut(np.array([1.0, 1]), np.array([1.0, 1])) == -np.inf
+
+
+def test_every_template_matches_its_notice():
+    m = licenses.Matcher()
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        notice = template.replace("...", "(c) 2020 Some Body.")
+        words = notice.split(" ")
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        for text in (notice, "\n".join(lines), "\r\n".join(lines), "/*\n * " + "\n * ".join(lines) + "\n */", "# " + "\n# ".join(lines), prose(80) + ": " + notice + " " + prose(80)):
+            (x,) = m.scan(text)
+            assert (x[2], x[5], x[6]) == (name, [], []) and licenses.wording(text[x[0] : x[1]])[:1] == licenses.wording(notice)[:1]
+            assert licenses.TEMPLATES[x[3]][0] == licenses.TEMPLATES[k][0]
+
+
+def test_license_stretches():
+    m = licenses.Matcher()
+    apache = licenses.TEMPLATES[6][1]
+    text = "Copyright 2020 Some Body\n\n" + apache.replace("; ", ";\n") + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + licenses.TEMPLATES[7][1].replace(", ", ",\n")
+    assert [(x[2], x[3]) for x in m.scan(text)] == [("Apache-2.0", 6), ("Apache-2.0", 7)]
+    assert [x[2] for x in m.scan("This work is licensed under the GNU Lesser General Public License,\nversion 3.")] == ["LGPL-3.0"]
+    assert len(m.scan("All rights reserved. " * 50)) == 50
+    rng = random.Random(3)
+    for k, (name, template) in enumerate(licenses.TEMPLATES):  # every allowed number of changes is found
+        words = [w for w in licenses.wording(template) if w != "..."]
+        for _ in range(m.allowed[k]):
+            del words[rng.randrange(1, len(words) - 1)]
+        if m.allowed[k]:
+            assert name in [x[2] for x in m.scan(prose(50, rng) + "\n" + "\n".join(words) + "\n" + prose(50, rng))]
