@@ -43,8 +43,8 @@ def lines(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC and \\n; there is no built-in NFKC, so the text passes an Arrow function."""
-    return lines(_nfkc(text))
+    """NFKC and \\n; there is no built-in NFKC, so texts beyond ASCII pass an Arrow function."""
+    return lines(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
 def strip(text: Column) -> Column:

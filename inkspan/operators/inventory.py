@@ -44,7 +44,7 @@ def repeated_items(df: DataFrame, items: Column, keys: list[str], least: int = 3
 
 
 def tokens_of(text: Column) -> Column:
-    return tx.lowered(tx.words(tx.lines(text)))
+    return tx.lowered(tx.words(tx.nfkc(text)))
 
 
 def connective_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -126,7 +126,7 @@ def structural_notes(analysis: DataFrame, by: list[str]) -> DataFrame:
 
 def samples_of(df: DataFrame, by: list[str], sample: str, text: str = "text") -> DataFrame:
     """by, sample and words of the texts that have words."""
-    return df.select(*by, sample, tx.word_count(tx.lines(F.col(text))).cast("long").alias("words")).where(F.col("words") > 0)
+    return df.select(*by, sample, tx.word_count(tx.nfkc(F.col(text))).cast("long").alias("words")).where(F.col("words") > 0)
 
 
 def common_phrases(df: DataFrame, by: list[str], sample: str, n: int, top_k: int = 30, top_n: int = TOP_N, text: str = "text") -> DataFrame:
@@ -150,8 +150,7 @@ def build_profiles(df: DataFrame, by: str = "author", sample: str = "sample_inde
     numbers = profile_numbers(long_features(analysis, keys), keys).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "median", "std", "min", "max", "n", "low", "high", "stability")))).alias("numbers"))
     out = profile_metadata(analysis, keys).withColumn("context", F.lit(context)).withColumn("language", F.lit(language.lower())).join(numbers, by, "left")
     phrase = F.array_sort(F.collect_list(F.struct("rank", "item", "count", "frequency", "sample_presence")))
-    clean = df.select(by, sample, tx.nfkc(F.col(text)).alias(text))
-    for name, phrases in (("common_terms", common_phrases(clean, keys, sample, 1, top_k, text=text)), ("common_bigrams", common_phrases(clean, keys, sample, 2, top_k, text=text)), ("common_trigrams", common_phrases(clean, keys, sample, 3, top_k, text=text)), ("common_connectives", common_connectives(clean, keys, sample, text=text))):
+    for name, phrases in (("common_terms", common_phrases(df, keys, sample, 1, top_k, text=text)), ("common_bigrams", common_phrases(df, keys, sample, 2, top_k, text=text)), ("common_trigrams", common_phrases(df, keys, sample, 3, top_k, text=text)), ("common_connectives", common_connectives(df, keys, sample, text=text))):
         out = out.join(phrases.groupBy(by).agg(phrase.alias(name)), by, "left")
     out = out.join(structural_notes(analysis, keys), by, "left")
     notes = outliers(analysis, keys, sample).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("feature", sample, "value", "z_score"))).alias("outlier_notes"))

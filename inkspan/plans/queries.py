@@ -47,15 +47,14 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the tables' texts are NFKC already, so the plan stays in the JVM
-    return ft.analyze(documents(spark, sf_dir), normalize=False)
+    return ft.analyze(documents(spark, sf_dir))
 
 
 def _features(name: str, columns: list[str], source: str = sql.DOCUMENTS):
     table = conversations if source == sql.CONVERSATIONS else documents
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ft.analyze(table(spark, sf_dir), normalize=False).select("uid", *columns)
+        return ft.analyze(table(spark, sf_dir)).select("uid", *columns)
 
     run.__name__ = name
     query(sql.features(source) + f" SELECT uid, {', '.join(columns)} FROM f")(run)

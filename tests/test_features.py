@@ -87,3 +87,17 @@ def test_order_of_rows_does_not_matter(spark):
     df = spark.createDataFrame(list(TEXTS.items()), "name string, text string")
     a, b = (sorted(map(str, ft.analyze(x).collect())) for x in (df, df.orderBy(F.desc("text")).repartition(5)))
     assert a == b
+
+
+def test_registered_queries_normalise(spark, tmp_path):
+    from inkspan.plans.queries import QUERIES
+
+    texts = ["Le café était fermé. ﬁne ｗｏｒｄｓ x² ①", "plain ascii text\r\nhere", "", "①"]
+    for name, form in (("raw", lambda t: t), ("clean", lambda t: __import__("unicodedata").normalize("NFKC", t))):
+        spark.createDataFrame([(i, form(t), "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 0, "user", form(t)) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    first = QUERIES["text_counts"](spark, f"{tmp_path}/raw").where("uid = 0").first()
+    assert first.words == 9 and first.characters == len(texts[0])
+    for query in ("vocabulary_features", "readability", "paragraph_structure", "top_words", "top_bigrams", "common_terms", "transitions"):
+        got, want = (sorted(map(str, QUERIES[query](spark, f"{tmp_path}/{n}").collect())) for n in ("raw", "clean"))
+        assert got == want, query
