@@ -79,9 +79,10 @@ def _with_spark(args, settings) -> None:
     else:
         weights = cp.check_weights(args.weights)
         one = F.lit("author").alias("author")
-        numbers = pf.profile_numbers(pf.long_features(ft.analyze(files.read_texts(spark, args.samples).select(one, "sample_index", "text")), ["author"]), ["author"])
-        drafts = pf.long_features(ft.analyze(files.read_texts(spark, args.drafts).select("path", one, "text")), ["path", "author"]).drop("weight")
-        rows = cp.numeric_rows(drafts, numbers, ["path"], "author")
+        samples = files.read_texts(spark, args.samples).select(one, "sample_index", "text")
+        drafts = files.read_texts(spark, args.drafts).select("path", one, "text")
+        numbers = pf.profile_numbers(pf.long_features(ft.analyze(samples), ["author"]), ["author"])
+        rows = cp.all_rows(ft.analyze(drafts), numbers, drafts, samples, ["path"], "author", "sample_index")
         for r in cp.overall_status(cp.dimension_status(rows, ["path", "author"]), ["path"], weights).toLocalIterator():
             print(files.to_json(r.asDict()))
 

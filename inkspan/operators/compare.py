@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import lexicon as lx
 from inkspan.functions import text as tx
+from inkspan.operators import inventory as iv
+from inkspan.operators import profile as pf
 
 CLOSE, MODERATE, SIGNIFICANT, UNAVAILABLE = "close", "moderately_different", "significantly_different", "unavailable"
 LOW_WORDS, MEDIUM_WORDS = 100, 400
+#: Depth of a draft's word and n-gram lists.
+DRAFT_TOP_K = 50
 
 #: (dimension, metric, feature of the profile) of the numeric rows.
 METRICS = [
@@ -112,6 +116,28 @@ def stability_rows(drafts: DataFrame, numbers: DataFrame, draft_keys: list[str],
     return met.select(*draft_keys, profile_key, "dimension", "metric", "draft_label", "profile_label", stability_status(F.col("draft_label"), F.col("profile_label")).alias("status"))
 
 
+def phrase_rows(drafts: DataFrame, samples: DataFrame, draft_keys: list[str], profile_key: str, sample: str, top_k: int = DRAFT_TOP_K) -> DataFrame:
+    """The four overlap rows of each draft with words: terms, connectives, bigrams and trigrams."""
+    drafts = drafts.where(F.col("text").isNotNull())
+    tokens = iv.tokens_of(F.col("text"))
+    pairs = drafts.where(tx.word_count(tx.nfkc(F.col("text"))) > 0).select(*draft_keys, profile_key)
+    own = iv.connective_counts(drafts, "text", draft_keys)
+    out = overlap_rows(own, pairs, pf.common_connectives(samples, [profile_key], sample), draft_keys, profile_key, "cohesion", "shared_connectives")
+    for n, dimension, metric in ((1, "vocabulary", "shared_characteristic_terms"), (2, "ngrams", "common_bigrams"), (3, "ngrams", "common_trigrams")):
+        own = iv.top_items(drafts, iv.word_ngrams(tokens, n), draft_keys, top_k)
+        out = out.unionByName(overlap_rows(own, pairs, pf.common_phrases(samples, [profile_key], sample, n), draft_keys, profile_key, dimension, metric))
+    return out
+
+
+def all_rows(analysis: DataFrame, numbers: DataFrame, drafts: DataFrame, samples: DataFrame, draft_keys: list[str], profile_key: str, sample: str) -> DataFrame:
+    """Status of every numeric, stability and overlap row; analysis is that of drafts, numbers those of samples."""
+    keep = [*draft_keys, profile_key, "dimension", "metric", "status"]
+    values = pf.long_features(analysis, [*draft_keys, profile_key]).drop("weight")
+    varied = pf.usable(analysis).withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
+    rows = [numeric_rows(values, numbers, draft_keys, profile_key), stability_rows(varied, numbers, draft_keys, profile_key), phrase_rows(drafts, samples, draft_keys, profile_key, sample)]
+    return rows[0].select(keep).unionByName(rows[1].select(keep)).unionByName(rows[2].select(keep))
+
+
 def dimension_status(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, dimension, how many rows could be compared, and their mean status."""
     g = rows.groupBy(*keys, "dimension").agg(F.count(score(F.col("status"))).alias("available"), F.avg(score(F.col("status"))).alias("mean_score"))

@@ -176,6 +176,13 @@ def metric_rows(spark, sf_dir) -> DataFrame:
     return numeric_rows(a, n).select(keep).unionByName(stability_rows(a, n).select(keep))
 
 
+def full_rows(spark, sf_dir) -> DataFrame:
+    """Status of all rows of a draft, the overlap rows too; the SQL of dimension_status and its like has no overlap rows."""
+    a = analysis_table(spark, sf_dir)
+    d = documents(spark, sf_dir)
+    return cp.all_rows(a, materialise(numbers(a), "numbers"), d, d, ["uid"], "author", "uid")
+
+
 def dimensions(spark, sf_dir) -> DataFrame:
     return cp.dimension_status(metric_rows(spark, sf_dir), ["uid", "author"])
 
@@ -219,6 +226,21 @@ def worst_metrics(spark, sf_dir):
     return cp.worst_metrics(metric_rows(spark, sf_dir), ["uid", "author"])
 
 
+@query()
+def full_dimension_status(spark, sf_dir):
+    return cp.dimension_status(full_rows(spark, sf_dir), ["uid", "author"])
+
+
+@query()
+def full_overall_status(spark, sf_dir):
+    return cp.overall_status(cp.dimension_status(full_rows(spark, sf_dir), ["uid", "author"]), ["uid", "author"])
+
+
+@query()
+def full_worst_metrics(spark, sf_dir):
+    return cp.worst_metrics(full_rows(spark, sf_dir), ["uid", "author"])
+
+
 @query(sql.features() + sql.META + """ SELECT uid, f.author, words, CASE WHEN confidence = 'low' OR words < 100 THEN 'low' WHEN confidence = 'medium' OR words < 400 THEN 'medium' ELSE 'high' END AS confidence FROM f JOIN meta USING (author)""")
 def comparison_confidence(spark, sf_dir):
     a = analysis_table(spark, sf_dir)
@@ -328,8 +350,8 @@ def comparison_explanations(spark, sf_dir):
 def comparison_summaries(spark, sf_dir):
     a = analysis_table(spark, sf_dir)
     n = materialise(numbers(a), "numbers")
-    keep = ["uid", "author", "dimension", "metric", "status"]
-    dims = cp.dimension_status(numeric_rows(a, n).select(keep).unionByName(stability_rows(a, n).select(keep)), ["uid"])
+    d = documents(spark, sf_dir)
+    dims = cp.dimension_status(cp.all_rows(a, n, d, d, ["uid"], "author", "uid"), ["uid"])
     meta = pf.profile_metadata(a, ["author"]).withColumnRenamed("confidence", "level")
     facts = a.select("uid", "author", F.col("words").alias("draft_words")).join(meta, "author").select("uid", "sample_count", "total_words", "draft_words", cp.comparison_confidence(F.col("level"), F.col("draft_words")).alias("confidence"), F.lit(None).cast("string").alias("context_note"))
     out = rp.summaries(dims, facts, ["uid"])

@@ -146,3 +146,18 @@ def test_stream(spark, tmp_path):
     q = analyze_stream(stream).select("id", "words", "sentences").writeStream.format("memory").queryName("analyzed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("analyzed").collect())) == [(1, 2, 1), (2, 2, 2)]
+
+
+def test_all_rows_of_a_draft(spark):
+    same = "However the quick fox runs home. The quick fox sleeps. The quick fox eats well."
+    samples = spark.createDataFrame([("a", i, same) for i in range(3)], "author string, sample_index int, text string")
+    drafts = spark.createDataFrame([("same", "a", same), ("none", "a", " "), ("other", "a", "Perhaps a small bird sings here. A small bird hides. A small bird flies off.")], "uid string, author string, text string")
+    numbers = pf.profile_numbers(pf.long_features(ft.analyze(samples), ["author"]), ["author"])
+    rows = cp.all_rows(ft.analyze(drafts), numbers, drafts, samples, ["uid"], "author", "sample_index").cache()
+    status = {(r.uid, r.dimension, r.metric): r.status for r in rows.collect()}
+    assert len(status) == rows.count() == 2 * 37 and {k[0] for k in status} == {"same", "other"}
+    phrases = [("vocabulary", "shared_characteristic_terms"), ("cohesion", "shared_connectives"), ("ngrams", "common_bigrams"), ("ngrams", "common_trigrams")]
+    assert [status["same", *p] for p in phrases] == ["close"] * 4
+    assert [status["other", *p] for p in phrases] == ["significantly_different"] * 4
+    dims = {(r.uid, r.dimension): r.status for r in cp.dimension_status(rows, ["uid"]).collect()}
+    assert dims["same", "ngrams"] == "close" and dims["other", "ngrams"] == "significantly_different" and len({d for _, d in dims}) == 7
