@@ -9,6 +9,11 @@ one with most score), else its main element, else the innermost element that
 holds nearly all seed text.  Of the region everything is kept but boilerplate:
 elements that are by tag, role or class a menu, header, footer, sidebar,
 notice, advert, form or reader comment, and paths that hold nothing but links.
+A class or id counts only as a whole: `related`, or `cookie-notice` where all
+words are such names, but not `related-work` or `with-sidebar`; headings are
+never dropped by name.  The ratios overrule a name: a named element that holds
+nearly all seed text of its article or main element, or of a page without
+these, stays, unless it is an advert, reader comment or cookie notice.
 
 Why not the ratio alone: pages with an article of one short line and a longer
 advert would lose the article.  So the ratios choose the region and the link
@@ -49,6 +54,11 @@ DROPPED_NAMES = {
     "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "footer", "masthead", "related", "recommended",
     "recommendations", "widget", "widgets", "popup", "modal", "overlay", "toolbar", "login", "search", "disclaimer",
 }
+#: Names that the ratios don't overrule, as such elements can be longer than the article.
+FIRM_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "sponsors", "comment", "comments", "commentlist", "disqus", "cookie", "cookies", "consent", "gdpr"}
+#: Words that may stand beside the names in a class.
+PARTS = {"site", "page", "post", "area", "box", "bar", "block", "container", "wrapper", "wrap", "inner", "section", "list", "item", "items", "links", "link", "buttons", "button", "top", "bottom", "left", "right", "main", "primary", "secondary", "text", "content", "body", "title"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An opening tag ends these open elements first, up to the nearest of their containers.
 P_ENDERS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -58,14 +68,25 @@ PUNCTUATION = re.compile("[.,;:!?…。，、！？؛،]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<=\s)(hidden)(?=[\s>/])", re.I)
+_PART = re.compile(r"[_\-]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(tokens: list[str], kind: str) -> set[str]:
+    """The names in class or id tokens that say boilerplate as a whole."""
+    found = set()
+    for token in tokens:
+        words = {w for w in _PART.split(token) if w and not w.isdigit()}
+        if words & DROPPED_NAMES and words <= (DROPPED_NAMES | PARTS if kind == "class" else DROPPED_NAMES):
+            found |= words & DROPPED_NAMES
+    return found
+
+
 class _Page:
     """Elements (tag, parent, path, dropped by name) and text nodes (element, text, starts a block)."""
 
     def __init__(self, page: str):
-        self.tags, self.parents, self.paths, self.drops, self.soft = ["#"], [-1], [""], [False], [False]
+        self.tags, self.parents, self.paths, self.drops, self.soft, self.firm = ["#"], [-1], [""], [False], [False], [False]
         self.texts: list[tuple[int, str, bool]] = []
         stack, at, block = [0], 0, True
         end = len(page)
@@ -131,7 +152,7 @@ class _Page:
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         above = stack[-1]
         hard = tag in DROPPED_TAGS or (tag == "header" and not any(self.tags[x] in ("article", "main") for x in stack))
-        soft, shown = False, tag
+        soft, firm, shown = False, False, tag
         if len(attributes) > 1:
             for m in _ATTRIBUTE.finditer(attributes):
                 if m[5]:
@@ -139,8 +160,9 @@ class _Page:
                     continue
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words = set(re.split(r"[\s_\-]+", value.lower()))
-                    soft |= bool(words & DROPPED_NAMES)
+                    if tag not in HEADINGS and (names := _named(value.lower().split(), name)):
+                        soft = True
+                        firm |= bool(names & FIRM_NAMES)
                     if name == "class" and value:
                         shown = f"{tag}.{'.'.join(sorted(value.lower().split()))}"
                 elif name == "role":
@@ -154,6 +176,7 @@ class _Page:
         self.paths.append(f"{self.paths[above]}/{shown}")
         self.drops.append(hard and tag not in ("html", "body"))
         self.soft.append(soft and tag not in ("html", "body", "main"))
+        self.firm.append(firm)
         stack.append(len(self.tags) - 1)
 
 
@@ -162,26 +185,11 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    p = _Page(page)
-    n = len(p.tags)
-    regions = [i for i in range(n) if p.tags[i] == "article"] or [i for i in range(n) if p.tags[i] == "main" or p.paths[i].endswith("/main")]
-    # a class name never drops what holds the article
-    holds = set()
-    for r in regions:
-        if not p.soft[r]:
-            while r >= 0:
-                holds.add(r)
-                r = p.parents[r]
-    dropped = [False] * n
-    linked = [False] * n
-    for i in range(1, n):
-        up = p.parents[i]
-        dropped[i] = dropped[up] or p.drops[i] or (p.soft[i] and i not in holds)
-        linked[i] = linked[up] or p.tags[i] == "a"
+def _nodes(p: _Page, holds: set[int] | None) -> tuple[list[tuple[int, str, bool]], list[bool]]:
+    """Text nodes that aren't dropped, and what is dropped; without holds, names drop only what is firm."""
+    dropped = [False] * len(p.tags)
+    for i in range(1, len(p.tags)):
+        dropped[i] = dropped[p.parents[i]] or p.drops[i] or (p.firm[i] and p.soft[i] if holds is None else p.soft[i] and i not in holds)
     nodes = []
     for element, raw, block in p.texts:
         if dropped[element]:
@@ -189,6 +197,11 @@ def extract(page: str | None) -> str:
                 nodes.append((element, " ", True))
             continue
         nodes.append((element, entities.unescape(raw) if "&" in raw else raw, block))
+    return nodes, dropped
+
+
+def _scores(p: _Page, nodes: list[tuple[int, str, bool]], linked: list[bool]):
+    """Sums of each path, nodes with text, their scores, and which of them are seeds."""
     sums: dict[str, list[float]] = {}
     for element, text, _ in nodes:
         k = len(text.strip())
@@ -198,13 +211,58 @@ def extract(page: str | None) -> str:
             s[1] += 1
             s[2] += len(PUNCTUATION.findall(text))
             s[3] += k * linked[element]
-    if not sums:
-        return ""
     full = [(e, t) for e, t, _ in nodes if t.strip()]
+    if not full:
+        return sums, full, np.zeros(0), np.zeros(0, bool)
     length = _smoothed(np.array([sums[p.paths[e]][0] / sums[p.paths[e]][1] for e, _ in full]))
     marks = _smoothed(np.array([sums[p.paths[e]][2] / sums[p.paths[e]][1] for e, _ in full]))
     score = length * (1 + marks)
-    seeds = score >= min(DEVIATIONS * score.std(), score.max())
+    return sums, full, score, score >= min(DEVIATIONS * score.std(), score.max())
+
+
+def _overruled(p: _Page, holds: set[int], regions: list[int]) -> set[int]:
+    """Named elements that hold nearly all seed text of their article or main element, or of a page without these."""
+    if not any(soft and not p.firm[i] and i not in holds for i, soft in enumerate(p.soft)):
+        return set()
+    nodes, _ = _nodes(p, None)
+    _, full, _, seeds = _scores(p, nodes, [False] * len(p.tags))
+    scopes = set(regions) or {0}
+    whole = dict.fromkeys(scopes, 0)
+    held: dict[tuple[int, int], int] = {}
+    for (e, t), seed in zip(full, seeds.tolist(), strict=True):
+        if seed:
+            up = _up(p, e)
+            for k, scope in enumerate(up):
+                if scope in scopes:
+                    whole[scope] += len(t)
+                    for x in up[:k]:
+                        if p.soft[x] and not p.firm[x]:
+                            held[x, scope] = held.get((x, scope), 0) + len(t)
+    return {x for (x, scope), n in held.items() if n >= REGION_SHARE * whole[scope]}
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    p = _Page(page)
+    n = len(p.tags)
+    regions = [i for i in range(n) if p.tags[i] == "article"] or [i for i in range(n) if p.tags[i] == "main" or p.paths[i].endswith("/main")]
+    # a class name never drops what holds the article
+    holds = set()
+    for r in regions:
+        if not p.soft[r]:
+            while r >= 0:
+                holds.add(r)
+                r = p.parents[r]
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = linked[p.parents[i]] or p.tags[i] == "a"
+    holds |= _overruled(p, holds, [r for r in regions if not p.soft[r]])
+    nodes, dropped = _nodes(p, holds)
+    sums, full, score, seeds = _scores(p, nodes, linked)
+    if not sums:
+        return ""
     region = _region(p, [r for r in regions if not dropped[r]], [e for e, _ in full], [len(t) for _, t in full], score, seeds)
     inside = [False] * n
     for i in range(n):

@@ -77,3 +77,18 @@ def test_fingerprints(spark, docs_of):
     odd = fingerprints(docs_of(["a b", "c d", "e f", None, "a b"], [None, 1, 1, None, 2])).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in odd) == [(False, 0)] * 2 + [(True, 1)] * 2 + [(True, 2)]
     assert with_next(docs_of(texts, ids)).where("not tail").count() == 48
+
+
+def test_names_that_are_no_boilerplate():
+    long = "<p>Long text, with some words. And more of it, here.</p>" * 6
+    said = " ".join(["Long text, with some words. And more of it, here."] * 6)
+    for name in ("search-options", "related-work", "social-structure", "share-prices", "reply-to-critics"):
+        assert extract(f"<article><h2 id='{name}'>Head</h2><section id='{name}'><p>Part of it.</p></section>{long}</article>") == "Head Part of it. " + said
+    assert extract(f"<article><h2 class=related>Head</h2>{long}</article>") == "Head " + said
+    for name in ("page with-sidebar", "no-sidebar", "sidebar", "page widget"):
+        assert extract(f"<html><body><div class='{name}'>{long}</div><div class=footer>Imprint</div></body></html>") == said
+    assert extract(f"<article><h1>Head</h1><div class=social>{long}</div></article>") == "Head " + said
+    for name in ("related", "share-buttons", "social share", "cookie-notice", "ad", "comments"):
+        assert extract(f"<article>{long}<div class='{name}'>Not this, at all.</div></article>") == said
+        assert extract(f"<body><div class=post>{long}</div><div class='{name}'>Not this.</div></body>") == said
+    assert extract(f"<article><p>Short, this.</p><div class=ad>{long}</div></article>") == "Short, this."
