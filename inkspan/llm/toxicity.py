@@ -9,8 +9,9 @@ gives the window's score; a text's score is that of its highest window, over
 all windows of the whole text.
 
 Training runs in numpy on the driver, on at most MOST_TOXIC toxic and
-MOST_CLEAN clean labelled rows (those whose hashed ids are least; this bound is
-the only limit).  The evidence counts that feed the inputs come from other
+MOST_CLEAN clean labelled rows (those whose hashed ids are least).  Of these, a
+row is left out if one earlier row of its label shares most of its min-hashes;
+there is no other limit.  The evidence counts that feed the inputs come from other
 training texts than the one at hand (cross-fitting).  A toxic text teaches by
 its most suspicious window, a clean one by its most suspicious and some others.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -223,20 +224,30 @@ def _family(words: list[str], k: int = 6) -> set:
     return {(i, int(((runs * np.uint64(2 * i + 3) * np.uint64(0x9E3779B1) + np.uint64(i * 0x7F4A7C15)) & np.uint64(0xFFFFFFFF)).min())) for i in range(k)}
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed: int = 7) -> dict | None:
-    """The model fitted to (text, label) rows: parameters and evidence tables; None without both labels."""
-    texts, labels, met = [], [], Counter()
-    same: dict[str, str] = {}  # one string object for each word and n-gram
+def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
+    """Words and label of the rows that have words, without near copies of one earlier row of the same label."""
+    out, holders = [], defaultdict(list)
     for text, label in rows:
         w = words_of(text)
         if not w:
             continue
-        family = _family(w)
-        if sum(met[x] > 0 for x in family) >= len(family) // 2:
-            continue  # a near copy of a row that is in already
-        met.update(family)
+        family = [(int(label), *x) for x in _family(w)]
+        shared = Counter(k for x in family for k in holders[x])
+        if any(n > len(family) // 2 for n in shared.values()):
+            continue
+        for x in family:
+            holders[x].append(len(out))
+        out.append((w, int(label)))
+    return out
+
+
+def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed: int = 7) -> dict | None:
+    """The model fitted to (text, label) rows: parameters and evidence tables; None without both labels."""
+    texts, labels = [], []
+    same: dict[str, str] = {}  # one string object for each word and n-gram
+    for w, label in without_near_copies(rows):
         texts.append([same.setdefault(x, x) for x in w])
-        labels.append(int(label))
+        labels.append(label)
     if len(set(labels)) < 2:
         return None
     folds = 4

@@ -70,3 +70,15 @@ def test_held_out_accuracy_and_spark(spark):
     assert len(none) == 422 and {r.score for r in none} == {0.0}
     kept = tox.score_documents(docs, None)
     assert kept.columns == [*docs.columns, "toxic_score", "is_toxic"]
+
+
+def test_near_copies_are_left_out_by_label_and_row():
+    from inkspan.llm.toxicity import without_near_copies
+
+    base = [f"w{i}" for i in range(60)]
+    clean, toxic = " ".join(base), " ".join([*base[:30], "slur", *base[31:]])
+    assert [y for _, y in without_near_copies([(clean, 0), (toxic, 1), (clean, 0), (clean + " end", 0), (toxic, 1), ("", 0)])] == [0, 1]
+    # each of these shares a part with a different earlier row, and none shares most with one
+    parts = [[f"p{k}x{i}" for i in range(40)] for k in range(4)]
+    rows = [(" ".join(part), 0) for part in parts] + [(" ".join(sum(parts, [])), 0)]
+    assert len(without_near_copies(rows)) == 5
