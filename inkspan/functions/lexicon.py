@@ -29,27 +29,3 @@ CITATIONS = [
 
 SHORT_MAX, MEDIUM_MAX = 11, 25
 DIMENSION_WEIGHTS = {"sentence_structure": 1.0, "paragraph_structure": 1.0, "vocabulary": 1.0, "punctuation": 0.8, "readability": 0.8, "cohesion": 0.8, "ngrams": 0.7}
-
-# How a draft with a higher, or lower, figure than its profile is described.
-DIRECTIONS = {
-    "average_sentence_length": ("longer sentences on average", "shorter sentences on average"),
-    "median_sentence_length": ("longer typical sentences", "shorter typical sentences"),
-    "short_sentence_ratio": ("more short sentences", "fewer short sentences"),
-    "medium_sentence_ratio": ("more medium-length sentences", "fewer medium-length sentences"),
-    "long_sentence_ratio": ("more long sentences", "fewer long sentences"),
-    "average_words_per_paragraph": ("longer paragraphs", "shorter paragraphs"),
-    "average_sentences_per_paragraph": ("more sentences per paragraph", "fewer sentences per paragraph"),
-    "median_words_per_paragraph": ("longer typical paragraphs", "shorter typical paragraphs"),
-    "vocabulary_diversity": ("more varied vocabulary", "more repeated vocabulary"),
-    "guiraud_r": ("richer vocabulary for its length", "plainer vocabulary for its length"),
-    "average_word_length": ("longer words on average", "shorter words on average"),
-    "median_word_length": ("longer typical words", "shorter typical words"),
-    "punctuation_density": ("denser punctuation", "sparser punctuation"),
-    "pronoun_ratio": ("more pronouns", "fewer pronouns"),
-    "transitions_per_100_words": ("more transition connectives", "fewer transition connectives"),
-    "flesch_reading_ease": ("easier-reading prose", "harder-reading prose"),
-    "flesch_kincaid_grade": ("higher grade-level complexity", "lower grade-level complexity"),
-    "gunning_fog": ("heavier, more complex sentences", "lighter sentences"),
-    "coleman_liau": ("denser word-level complexity", "plainer word-level complexity"),
-    "automated_readability_index": ("more complex surface text", "simpler surface text"),
-}

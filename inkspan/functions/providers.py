@@ -1,7 +1,7 @@
-"""Text generators for revisions: a registry of callables, retries and mocks.
+"""Text generators for revisions: a registry of callables, retries, mocks and a JSON-over-HTTP one.
 
-Network providers are plain callables that a caller registers; none is part of
-this package, so nothing here sends text anywhere.
+The HTTP generator is registered by a caller, with its address; nothing here
+sends text anywhere by itself.
 """
 
 from __future__ import annotations
@@ -61,6 +61,57 @@ def with_retries(call: Callable[[], str], retries: int = 1, delay: float = 1.0,
 class Capabilities:
     structured_output: bool = False
     streaming: bool = False
+    system_messages: bool = False
+    temperature: bool = False
+    max_tokens: bool = False
+
+    def output_kind(self) -> str:
+        """How to ask for a structured answer; responses are parsed either way."""
+        return "structured" if self.structured_output else "text-fallback"
+
+    def checked(self, **options) -> dict:
+        """The options, if all can be met."""
+        if missing := sorted(k for k, v in options.items() if v is not None and not getattr(self, k, False)):
+            raise UnsupportedCapabilityError(f"the provider lacks {', '.join(missing)}")
+        return {k: v for k, v in options.items() if v is not None}
+
+
+def post_json(url: str, payload: dict, headers: dict | None = None, timeout: float = 60.0):
+    """The decoded answer to a POST of JSON; what goes wrong is one of this module's errors, and no text or header is named in it."""
+    import socket
+    import urllib.error
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", **(headers or {})}, method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.loads(answer.read())
+    except urllib.error.HTTPError as e:
+        kind = {401: AuthenticationError, 403: AuthenticationError, 429: RateLimitError}.get(e.code, ProviderError)
+        raise kind(f"the provider answered with status {e.code}") from e
+    except (TimeoutError, socket.timeout) as e:
+        raise ProviderTimeout("the provider didn't answer in time") from e
+    except (urllib.error.URLError, ConnectionError) as e:
+        if isinstance(getattr(e, "reason", None), TimeoutError):
+            raise ProviderTimeout("the provider didn't answer in time") from e
+        raise ProviderError(f"the provider can't be reached: {type(e).__name__}") from e
+    except ValueError as e:
+        raise InvalidResponseError("the provider's answer isn't JSON") from e
+
+
+def http_provider(url: str, headers_from: dict[str, str] | None = None, timeout: float = 60.0, retries: int = 1, **options) -> Callable[[str], str]:
+    """A generator that posts {"prompt": ..., **options} and reads text or content; header values come from the environment at call time."""
+    import os
+
+    def ask(prompt: str) -> str:
+        headers = {}
+        for name, variable in (headers_from or {}).items():
+            if not os.environ.get(variable):
+                raise ConfigurationError(f"the environment lacks {variable}")
+            headers[name] = os.environ[variable]
+        return with_retries(lambda: normalize_response(post_json(url, {"prompt": prompt, **options}, headers, timeout)), retries)
+
+    return ask
 
 
 def normalize_response(response) -> str:
@@ -90,7 +141,7 @@ def json_revision(edit: Callable[[str], str]) -> Callable[[str], str]:
     return lambda prompt: json.dumps({"revised_text": edit(echo(prompt)), "change_summary": []})
 
 
-_REGISTRY: dict[str, Callable[..., Callable[[str], str]]] = {"mock": lambda: echo}
+_REGISTRY: dict[str, Callable[..., Callable[[str], str]]] = {"mock": lambda: echo, "http": http_provider}
 
 
 def register_provider(name: str, factory: Callable[..., Callable[[str], str]]) -> None:

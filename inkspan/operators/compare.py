@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import lexicon as lx
 from inkspan.functions import text as tx
-from inkspan.operators import inventory as iv
 from inkspan.operators import profile as pf
+from inkspan.sources.tables import materialise
 
 CLOSE, MODERATE, SIGNIFICANT, UNAVAILABLE = "close", "moderately_different", "significantly_different", "unavailable"
 LOW_WORDS, MEDIUM_WORDS = 100, 400
-#: Depth of a draft's word and n-gram lists.
-DRAFT_TOP_K = 50
-
 #: (dimension, metric, feature of the profile) of the numeric rows.
 METRICS = [
     ("sentence_structure", "average_sentence_length", "sentence_structure.average_length"),
@@ -94,16 +91,6 @@ def numeric_rows(drafts: DataFrame, numbers: DataFrame, draft_keys: list[str], p
     )
 
 
-def overlap_rows(draft_items: DataFrame, pairs: DataFrame, profile_items: DataFrame, draft_keys: list[str], profile_key: str, dimension: str, metric: str, least_presence: float = 0.5) -> DataFrame:
-    """How many of a profile's recurring phrases a draft has; pairs says which draft meets which profile."""
-    wanted = profile_items.where(F.col("sample_presence") >= least_presence).select(profile_key, "item", "sample_presence")
-    has = draft_items.select(*draft_keys, "item", F.lit(1).alias("has")).distinct()
-    met = pairs.join(wanted, profile_key, "left").join(has, [*draft_keys, "item"], "left")
-    g = met.groupBy(*draft_keys, profile_key).agg(F.count("item").alias("reference_size"), F.count("has").alias("matched"), F.sum(F.when(F.col("has") == 1, F.col("sample_presence"))).alias("weight"), F.sum("sample_presence").alias("whole"))
-    share = F.when(F.col("reference_size") > 0, F.col("matched") / F.col("reference_size"))
-    return g.select(*draft_keys, profile_key, F.lit(dimension).alias("dimension"), F.lit(metric).alias("metric"), "reference_size", "matched", tx.rounded(share).alias("overlap"), tx.rounded(F.coalesce("weight", F.lit(0.0)) / F.col("whole")).alias("weighted_overlap"), overlap_status(share, F.col("reference_size")).alias("status"))
-
-
 def stability_rows(drafts: DataFrame, numbers: DataFrame, draft_keys: list[str], profile_key: str) -> DataFrame:
     """Variation of sentence and paragraph sizes against the profile's; drafts has both variations."""
     labels = numbers.where(F.col("feature").isin("sentence_structure.average_length", "paragraph_structure.average_words_per_paragraph")).select(profile_key, "feature", F.col("stability").alias("profile_label"))
@@ -116,26 +103,69 @@ def stability_rows(drafts: DataFrame, numbers: DataFrame, draft_keys: list[str],
     return met.select(*draft_keys, profile_key, "dimension", "metric", "draft_label", "profile_label", stability_status(F.col("draft_label"), F.col("profile_label")).alias("status"))
 
 
-def phrase_rows(drafts: DataFrame, samples: DataFrame, draft_keys: list[str], profile_key: str, sample: str, top_k: int = DRAFT_TOP_K) -> DataFrame:
-    """The four overlap rows of each draft with words: terms, connectives, bigrams and trigrams."""
-    drafts = drafts.where(F.col("text").isNotNull())
-    tokens = iv.tokens_of(F.col("text"))
-    pairs = drafts.where(tx.word_count(tx.nfkc(F.col("text"))) > 0).select(*draft_keys, profile_key)
-    own = iv.connective_counts(drafts, "text", draft_keys)
-    out = overlap_rows(own, pairs, pf.common_connectives(samples, [profile_key], sample), draft_keys, profile_key, "cohesion", "shared_connectives")
-    for n, dimension, metric in ((1, "vocabulary", "shared_characteristic_terms"), (2, "ngrams", "common_bigrams"), (3, "ngrams", "common_trigrams")):
-        own = iv.top_items(drafts, iv.word_ngrams(tokens, n), draft_keys, top_k)
-        out = out.unionByName(overlap_rows(own, pairs, pf.common_phrases(samples, [profile_key], sample, n), draft_keys, profile_key, dimension, metric))
+#: (dimension, metric, column of a sample_table) of the overlap rows.
+OVERLAPS = [
+    ("vocabulary", "shared_characteristic_terms", "words_list"),
+    ("cohesion", "shared_connectives", "connectives"),
+    ("ngrams", "common_bigrams", "bigrams"),
+    ("ngrams", "common_trigrams", "trigrams"),
+]
+
+
+def wanted_phrases(samples: DataFrame, profile_key: str, sample: str, least_presence: float = 0.5) -> DataFrame:
+    """One row for each profile with its recurring phrases: an array (rank, item, sample_presence) by column of the sample_table."""
+    out = samples.select(profile_key).distinct()
+    for _, _, column in OVERLAPS:
+        found = pf.phrases_of(samples, [profile_key], sample, column).where(F.col("sample_presence") >= least_presence)
+        out = out.join(found.groupBy(profile_key).agg(F.array_sort(F.collect_list(F.struct("rank", "item", "sample_presence"))).alias(column)), profile_key, "left")
     return out
 
 
-def all_rows(analysis: DataFrame, numbers: DataFrame, drafts: DataFrame, samples: DataFrame, draft_keys: list[str], profile_key: str, sample: str) -> DataFrame:
-    """Status of every numeric, stability and overlap row; analysis is that of drafts, numbers those of samples."""
-    keep = [*draft_keys, profile_key, "dimension", "metric", "status"]
-    values = pf.long_features(analysis, [*draft_keys, profile_key]).drop("weight")
-    varied = pf.usable(analysis).withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
-    rows = [numeric_rows(values, numbers, draft_keys, profile_key), stability_rows(varied, numbers, draft_keys, profile_key), phrase_rows(drafts, samples, draft_keys, profile_key, sample)]
-    return rows[0].select(keep).unionByName(rows[1].select(keep)).unionByName(rows[2].select(keep))
+def overlap_rows(drafts: DataFrame, wanted: DataFrame, draft_keys: list[str], profile_key: str) -> DataFrame:
+    """How many of its profile's recurring phrases a draft has, four rows for each draft; they are counted within the row."""
+    theirs = wanted.select(profile_key, *(F.col(c).alias(f"wanted_{c}") for _, _, c in OVERLAPS))
+    met = drafts.select(*draft_keys, profile_key, "words", *(F.transform(c, lambda x: x["item"]).alias(c) for _, _, c in OVERLAPS)).join(theirs, profile_key, "left")
+
+    def row(dimension: str, metric: str, column: str) -> Column:
+        phrases = F.coalesce(F.col(f"wanted_{column}"), F.array().cast("array<struct<rank:bigint,item:string,sample_presence:double>>"))
+        has = F.filter(phrases, lambda x: F.array_contains(F.col(column), x["item"]))
+
+        def weight(a: Column) -> Column:
+            return F.aggregate(a, F.lit(0.0), lambda s, x: s + x["sample_presence"])
+
+        return tx.let(F.struct(phrases.alias("all"), has.alias("has")), lambda p: F.struct(
+            F.lit(dimension).alias("dimension"), F.lit(metric).alias("metric"), F.size(p["all"]).cast("long").alias("reference_size"), F.size(p["has"]).cast("long").alias("matched"),
+            tx.rounded(F.when(F.size(p["all"]) > 0, F.size(p["has"]) / F.size(p["all"]))).alias("overlap"),
+            tx.rounded(F.when(F.size(p["all"]) > 0, weight(p["has"]) / weight(p["all"]))).alias("weighted_overlap"),
+            F.when(F.col("words") == 0, UNAVAILABLE).otherwise(overlap_status(F.size(p["has"]) / F.size(p["all"]), F.size(p["all"]))).alias("status"),
+        ))
+
+    rows = F.array(*(row(*x) for x in OVERLAPS))
+    return met.select(*draft_keys, profile_key, F.explode(rows).alias("r")).select(*draft_keys, profile_key, "r.*")
+
+
+def all_rows(drafts: DataFrame, samples: DataFrame, draft_keys: list[str], profile_key: str, sample: str) -> DataFrame:
+    """Every numeric, stability and overlap row (37 for each draft), from sample_tables that were written out.
+
+    A draft without words has all its rows, unavailable.
+    """
+    numbers = materialise(pf.profile_numbers(pf.long_features(samples, [profile_key]), [profile_key]), "numbers")
+    return rows_against(drafts, numbers, wanted_phrases(samples, profile_key, sample), draft_keys, profile_key)
+
+
+def rows_against(drafts: DataFrame, numbers: DataFrame, wanted: DataFrame, draft_keys: list[str], profile_key: str) -> DataFrame:
+    """all_rows() for profiles that are there already, as numbers and recurring phrases."""
+    kind = [*draft_keys, profile_key, "dimension", "metric", "status"]
+    numeric = numeric_rows(pf.figures(drafts, [*draft_keys, profile_key]), numbers, draft_keys, profile_key)
+    stable = stability_rows(with_variations(drafts), numbers, draft_keys, profile_key)
+    shared = overlap_rows(drafts, wanted, draft_keys, profile_key)
+    numeric = numeric.select(*kind, "draft_value", "low", "high", "difference")
+    out = numeric.unionByName(stable.select(*kind), allowMissingColumns=True)
+    return out.unionByName(shared.select(*kind, "matched", "reference_size"), allowMissingColumns=True)
+
+
+def with_variations(drafts: DataFrame) -> DataFrame:
+    return drafts.withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
 
 
 def dimension_status(rows: DataFrame, keys: list[str]) -> DataFrame:

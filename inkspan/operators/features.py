@@ -15,125 +15,161 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
-def parts(text: Column) -> Column:
-    """What the measurements share: words, words of sentences, and words and sentences of paragraphs."""
-    return tx.let(
-        tx.words(text),
-        lambda words: F.struct(
-            words.alias("words"),
-            tx.lowered(words).alias("low"),
-            F.transform(tx.sentences(text), tx.word_count).alias("sentence_words"),
-            F.transform(tx.paragraphs(text), lambda p: F.struct(tx.word_count(p).alias("words"), F.size(tx.sentences(p)).alias("sentences"))).alias("paragraphs"),
-        ),
-    )
-
-
-def _derived(p: Column) -> Column:
-    """What is computed from the words and used more than once."""
-    words, low = p["words"], p["low"]
-    return F.struct(
-        F.size(words).alias("n"),
-        F.transform(words, F.char_length).alias("chars"),
-        F.transform(low, F.char_length).alias("low_chars"),
-        F.transform(low, tx.syllables).alias("syllables"),
-        F.concat(F.lit(" "), F.array_join(low, " "), F.lit(" ")).alias("joined"),
-        p["sentence_words"].alias("lengths"),
-        F.transform(p["paragraphs"], lambda x: x["words"]).alias("para_words"),
-        F.transform(p["paragraphs"], lambda x: x["sentences"]).alias("para_sentences"),
-        F.size(F.array_distinct(low)).alias("types"),
-        F.size(F.filter(low, lambda w: w.isin(lx.PRONOUNS))).cast("long").alias("pronouns"),
-        tx.mean_of(p["sentence_words"]).alias("mean"),
-        tx.deviation_of(p["sentence_words"]).alias("deviation"),
-    )
-
-
-def _measures(raw: Column, p: Column) -> Column:
-    n, lengths, chars, low_chars, syllables = p["n"], p["lengths"], p["chars"], p["low_chars"], p["syllables"]
-    para_words, para_sentences, types, mean, deviation = p["para_words"], p["para_sentences"], p["types"], p["mean"], p["deviation"]
-    sentences = F.size(lengths)
-    total_syllables = F.aggregate(syllables, F.lit(0), lambda a, b: a + b)
-    total_chars = F.aggregate(chars, F.lit(0), lambda a, b: a + b)
-    complex_words = F.size(F.filter(syllables, lambda s: s >= 3))
-    wps, spw = n / sentences, total_syllables / n
-    readable = (n > 0) & (sentences > 0)
-    transitions = sum((F.regexp_count(p["joined"], F.lit(f" {c} ")) for c in lx.CONNECTIVES), F.lit(0))
-    marks = [tx.mark_count(raw, m).alias(f"mark_{i}") for i, m in enumerate(lx.MARKS)]
-    return F.struct(
-        F.char_length(raw).cast("long").alias("characters"),
-        tx.length_without_space(raw).cast("long").alias("characters_no_spaces"),
-        n.cast("long").alias("words"),
-        sentences.cast("long").alias("sentences"),
-        F.size(para_words).cast("long").alias("paragraphs"),
-        tx.mean_of(chars).alias("average_word_length"),
-        mean.alias("average_sentence_length"),
-        tx.median_of(lengths).alias("median_sentence_length"),
-        F.array_min(lengths).cast("long").alias("min_sentence_length"),
-        F.array_max(lengths).cast("long").alias("max_sentence_length"),
-        deviation.alias("sentence_deviation"),
-        F.when(mean > 0, deviation / mean).alias("sentence_variation"),
-        *(_ratio(F.size(F.filter(lengths, test)), sentences).alias(name) for name, test in (("short_ratio", lambda x: x <= lx.SHORT_MAX), ("medium_ratio", lambda x: (x > lx.SHORT_MAX) & (x <= lx.MEDIUM_MAX)), ("long_ratio", lambda x: x > lx.MEDIUM_MAX))),
-        tx.mean_of(para_words).alias("average_words_per_paragraph"),
-        tx.median_of(para_words).alias("median_words_per_paragraph"),
-        F.array_min(para_words).cast("long").alias("min_words_per_paragraph"),
-        F.array_max(para_words).cast("long").alias("max_words_per_paragraph"),
-        tx.deviation_of(para_words).alias("paragraph_deviation"),
-        tx.mean_of(para_sentences).alias("average_sentences_per_paragraph"),
-        tx.median_of(para_sentences).alias("median_sentences_per_paragraph"),
-        F.array_min(para_sentences).cast("long").alias("min_sentences_per_paragraph"),
-        F.array_max(para_sentences).cast("long").alias("max_sentences_per_paragraph"),
-        types.cast("long").alias("unique_words"),
-        _ratio(types, n).alias("type_token_ratio"),
-        F.when(n > 0, types / F.sqrt(n.cast("double"))).alias("guiraud_r"),
-        tx.mean_of(low_chars).alias("vocabulary_word_length"),
-        tx.median_of(low_chars).alias("median_word_length"),
-        F.array_min(low_chars).cast("long").alias("min_word_length"),
-        F.array_max(low_chars).cast("long").alias("max_word_length"),
-        tx.deviation_of(low_chars).alias("word_length_deviation"),
-        *marks,
-        total_syllables.cast("long").alias("syllables"),
-        complex_words.cast("long").alias("complex_words"),
-        F.when(readable, 206.835 - 1.015 * wps - 84.6 * spw).alias("flesch_reading_ease"),
-        F.when(readable, 0.39 * wps + 11.8 * spw - 15.59).alias("flesch_kincaid_grade"),
-        F.when(readable, 0.4 * (wps + 100 * complex_words / n)).alias("gunning_fog"),
-        F.when(readable, 0.0588 * (total_chars / n * 100) - 0.296 * (sentences / n * 100) - 15.8).alias("coleman_liau"),
-        F.when(readable, 4.71 * (total_chars / n) + 0.5 * wps - 21.43).alias("automated_readability_index"),
-        p["pronouns"].alias("pronoun_count"),
-        transitions.cast("long").alias("transition_count"),
-    )
-
-
-def measure(df: DataFrame, text: str = "text", normalize: bool = False) -> DataFrame:
-    """df without its text, with a column m of all measurements (unrounded)."""
+#: What measurements share, made from the clean text.
+PARTS = {
+    "words": lambda text, p: tx.words(text),
+    "low": lambda text, p: tx.lowered(p["words"]),
+    "lengths": lambda text, p: F.transform(tx.sentences(text), tx.word_count),
+    "paragraphs": lambda text, p: F.transform(tx.paragraphs(text), lambda x: F.struct(tx.word_count(x).alias("words"), F.size(tx.sentences(x)).alias("sentences"))),
+}
+#: What is made from the parts and used more than once: (parts, expression).
+DERIVED = {
+    "n": (("words",), lambda p: F.size(p["words"])),
+    "chars": (("words",), lambda p: F.transform(p["words"], F.char_length)),
+    "low_chars": (("low",), lambda p: F.transform(p["low"], F.char_length)),
+    "syllables": (("low",), lambda p: F.transform(p["low"], tx.syllables)),
+    "joined": (("low",), lambda p: F.concat(F.lit(" "), F.array_join(p["low"], " "), F.lit(" "))),
+    "types": (("low",), lambda p: F.size(F.array_distinct(p["low"]))),
+    "pronouns": (("low",), lambda p: F.size(F.filter(p["low"], lambda w: w.isin(lx.PRONOUNS))).cast("long")),
+    "lengths": (("lengths",), lambda p: p["lengths"]),
+    "mean": (("lengths",), lambda p: tx.mean_of(p["lengths"])),
+    "deviation": (("lengths",), lambda p: tx.deviation_of(p["lengths"])),
+    "para_words": (("paragraphs",), lambda p: F.transform(p["paragraphs"], lambda x: x["words"])),
+    "para_sentences": (("paragraphs",), lambda p: F.transform(p["paragraphs"], lambda x: x["sentences"])),
+}
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _complex(d) -> Column:
+    return F.size(F.filter(d["syllables"], lambda s: s >= 3))
+
+
+def _readable(value):
+    return lambda raw, d: F.when((d["n"] > 0) & (F.size(d["lengths"]) > 0), value(d))
+
+
+def _share(test):
+    return lambda raw, d: _ratio(F.size(F.filter(d["lengths"], test)), F.size(d["lengths"]))
+
+
+def _whole(use):
+    return lambda raw, d: use(d).cast("long")
+
+
+#: Measurement: (derived figures, expression of the raw text and of these).
+MEASURES = {
+    "characters": ((), lambda raw, d: F.char_length(raw).cast("long")),
+    "characters_no_spaces": ((), lambda raw, d: tx.length_without_space(raw).cast("long")),
+    "words": (("n",), _whole(lambda d: d["n"])),
+    "sentences": (("lengths",), _whole(lambda d: F.size(d["lengths"]))),
+    "paragraphs": (("para_words",), _whole(lambda d: F.size(d["para_words"]))),
+    "average_word_length": (("chars",), lambda raw, d: tx.mean_of(d["chars"])),
+    "average_sentence_length": (("mean",), lambda raw, d: d["mean"]),
+    "median_sentence_length": (("lengths",), lambda raw, d: tx.median_of(d["lengths"])),
+    "min_sentence_length": (("lengths",), _whole(lambda d: F.array_min(d["lengths"]))),
+    "max_sentence_length": (("lengths",), _whole(lambda d: F.array_max(d["lengths"]))),
+    "sentence_deviation": (("deviation",), lambda raw, d: d["deviation"]),
+    "sentence_variation": (("mean", "deviation"), lambda raw, d: F.when(d["mean"] > 0, d["deviation"] / d["mean"])),
+    "short_ratio": (("lengths",), _share(lambda x: x <= lx.SHORT_MAX)),
+    "medium_ratio": (("lengths",), _share(lambda x: (x > lx.SHORT_MAX) & (x <= lx.MEDIUM_MAX))),
+    "long_ratio": (("lengths",), _share(lambda x: x > lx.MEDIUM_MAX)),
+    "average_words_per_paragraph": (("para_words",), lambda raw, d: tx.mean_of(d["para_words"])),
+    "median_words_per_paragraph": (("para_words",), lambda raw, d: tx.median_of(d["para_words"])),
+    "min_words_per_paragraph": (("para_words",), _whole(lambda d: F.array_min(d["para_words"]))),
+    "max_words_per_paragraph": (("para_words",), _whole(lambda d: F.array_max(d["para_words"]))),
+    "paragraph_deviation": (("para_words",), lambda raw, d: tx.deviation_of(d["para_words"])),
+    "average_sentences_per_paragraph": (("para_sentences",), lambda raw, d: tx.mean_of(d["para_sentences"])),
+    "median_sentences_per_paragraph": (("para_sentences",), lambda raw, d: tx.median_of(d["para_sentences"])),
+    "min_sentences_per_paragraph": (("para_sentences",), _whole(lambda d: F.array_min(d["para_sentences"]))),
+    "max_sentences_per_paragraph": (("para_sentences",), _whole(lambda d: F.array_max(d["para_sentences"]))),
+    "unique_words": (("types",), _whole(lambda d: d["types"])),
+    "type_token_ratio": (("types", "n"), lambda raw, d: _ratio(d["types"], d["n"])),
+    "guiraud_r": (("types", "n"), lambda raw, d: F.when(d["n"] > 0, d["types"] / F.sqrt(d["n"].cast("double")))),
+    "vocabulary_word_length": (("low_chars",), lambda raw, d: tx.mean_of(d["low_chars"])),
+    "median_word_length": (("low_chars",), lambda raw, d: tx.median_of(d["low_chars"])),
+    "min_word_length": (("low_chars",), _whole(lambda d: F.array_min(d["low_chars"]))),
+    "max_word_length": (("low_chars",), _whole(lambda d: F.array_max(d["low_chars"]))),
+    "word_length_deviation": (("low_chars",), lambda raw, d: tx.deviation_of(d["low_chars"])),
+    "syllables": (("syllables",), _whole(lambda d: _sum(d["syllables"]))),
+    "complex_words": (("syllables",), _whole(_complex)),
+    "flesch_reading_ease": (("n", "lengths", "syllables"), _readable(lambda d: 206.835 - 1.015 * (d["n"] / F.size(d["lengths"])) - 84.6 * (_sum(d["syllables"]) / d["n"]))),
+    "flesch_kincaid_grade": (("n", "lengths", "syllables"), _readable(lambda d: 0.39 * (d["n"] / F.size(d["lengths"])) + 11.8 * (_sum(d["syllables"]) / d["n"]) - 15.59)),
+    "gunning_fog": (("n", "lengths", "syllables"), _readable(lambda d: 0.4 * (d["n"] / F.size(d["lengths"]) + 100 * _complex(d) / d["n"]))),
+    "coleman_liau": (("n", "lengths", "chars"), _readable(lambda d: 0.0588 * (_sum(d["chars"]) / d["n"] * 100) - 0.296 * (F.size(d["lengths"]) / d["n"] * 100) - 15.8)),
+    "automated_readability_index": (("n", "lengths", "chars"), _readable(lambda d: 4.71 * (_sum(d["chars"]) / d["n"]) + 0.5 * (d["n"] / F.size(d["lengths"])) - 21.43)),
+    "pronoun_count": (("pronouns",), lambda raw, d: d["pronouns"]),
+    "transition_count": (("joined",), _whole(lambda d: sum((F.regexp_count(d["joined"], F.lit(f" {c} ")) for c in lx.CONNECTIVES), F.lit(0)))),
+    **{f"mark_{i}": ((), lambda raw, d, m=m: tx.mark_count(raw, m)) for i, m in enumerate(lx.MARKS)},
+}
+MARKS = tuple(f"mark_{i}" for i in range(len(lx.MARKS)))
+
+
+def measure(df: DataFrame, text: str = "text", normalize: bool = False, only: set[str] | None = None) -> DataFrame:
+    """df without its text, with a column m of the measurements (unrounded); only what `only` needs is computed."""
+    names = [n for n in MEASURES if only is None or n in only]
+    derived = [n for n in DERIVED if any(n in MEASURES[x][0] for x in names)]
+    parts = {x for n in derived for x in DERIVED[n][0]}
     raw = F.col(text)
-    clean = tx.nfkc(raw) if normalize else tx.lines(raw)
     keep = [c for c in df.columns if c != text]
-    sized = df.where(raw.isNotNull()).select(*keep, raw.alias("_raw"), clean.alias("_clean"))
-    return sized.select(*keep, tx.let(parts(F.col("_clean")), lambda p: tx.let(_derived(p), lambda d: _measures(F.col("_raw"), d))).alias("m"))
+    sized = df.where(raw.isNotNull()).select(*keep, raw.alias("_raw"), *[(tx.nfkc(raw) if normalize else tx.lines(raw)).alias("_clean")] * bool(parts))
+
+    def with_parts(words):
+        made = {"words": words} if words is not None else {}
+        return F.struct(*(PARTS[x](F.col("_clean"), made).alias(x) if x != "words" else words.alias(x) for x in PARTS if x in parts))
+
+    def finish(p):
+        return tx.let(F.struct(*(DERIVED[n][1](p).alias(n) for n in derived)), lambda d: F.struct(*(MEASURES[n][1](F.col("_raw"), d).alias(n) for n in names)))
+
+    if not parts:
+        m = F.struct(*(MEASURES[n][1](F.col("_raw"), None).alias(n) for n in names))
+    elif parts & {"words", "low"}:  # the words are found once
+        m = tx.let(tx.words(F.col("_clean")), lambda w: tx.let(with_parts(w), finish))
+    else:
+        m = tx.let(with_parts(None), finish)
+    return sized.select(*keep, m.alias("m"))
 
 
 def per_100(count: Column, words: Column) -> Column:
     return F.when(words > 0, count / words * 100)
 
 
-def rounded_columns(m: Column) -> dict[str, Column]:
-    """The analysis record's figures, rounded to four places where they are fractions."""
-    whole = {"characters", "characters_no_spaces", "words", "sentences", "paragraphs", "min_sentence_length", "max_sentence_length", "min_words_per_paragraph", "max_words_per_paragraph", "min_sentences_per_paragraph", "max_sentences_per_paragraph", "unique_words", "min_word_length", "max_word_length", "syllables", "complex_words", "pronoun_count", "transition_count"}
-    names = [
-        "characters", "characters_no_spaces", "words", "sentences", "paragraphs", "average_word_length", "average_sentence_length", "median_sentence_length", "min_sentence_length", "max_sentence_length",
-        "sentence_deviation", "sentence_variation", "short_ratio", "medium_ratio", "long_ratio", "average_words_per_paragraph", "median_words_per_paragraph", "min_words_per_paragraph", "max_words_per_paragraph", "paragraph_deviation",
-        "average_sentences_per_paragraph", "median_sentences_per_paragraph", "min_sentences_per_paragraph", "max_sentences_per_paragraph", "unique_words", "type_token_ratio", "guiraud_r", "vocabulary_word_length", "median_word_length",
-        "min_word_length", "max_word_length", "word_length_deviation", "syllables", "complex_words", *READABILITY, "pronoun_count", "transition_count",
-    ]
-    return {n: m[n] if n in whole else tx.rounded(m[n]) for n in names}
+#: Figures that are whole numbers; the others are rounded to four places.
+WHOLE = {"characters", "characters_no_spaces", "words", "sentences", "paragraphs", "min_sentence_length", "max_sentence_length", "min_words_per_paragraph", "max_words_per_paragraph", "min_sentences_per_paragraph", "max_sentences_per_paragraph", "unique_words", "min_word_length", "max_word_length", "syllables", "complex_words", "pronoun_count", "transition_count", *MARKS}
+#: Of the analysis record, what a language model would be needed for: always null.
+UNMEASURED = ("nouns", "verbs", "adjectives", "adverbs", "named_entities")
+
+
+def _total(m: Column) -> Column:
+    return sum((m[x] for x in MARKS), F.lit(0))
 
 
-def analyze(df: DataFrame, text: str = "text", normalize: bool = True) -> DataFrame:
-    """One row for each text: its other columns and the rounded analysis record, nothing of the text itself."""
+#: Columns of the analysis record that are made from several measurements.
+COMPOSED = {
+    **{f"per_100_{i}": ((x, "words"), lambda m, x=x: tx.rounded(per_100(m[x], m["words"]))) for i, x in enumerate(MARKS)},
+    "punctuation_total": (MARKS, _total),
+    "punctuation_density": ((*MARKS, "words"), lambda m: tx.rounded(_ratio(_total(m), m["words"]))),
+    "pronoun_ratio": (("pronoun_count", "words"), lambda m: tx.rounded(_ratio(m["pronoun_count"], m["words"]))),
+}
+
+
+def analyze(df: DataFrame, text: str = "text", normalize: bool = True, only: list[str] | None = None) -> DataFrame:
+    """One row for each text: its other columns and the rounded analysis record, nothing of the text itself.
+
+    With `only`, of the record these columns alone; nothing else is computed.
+    """
+    names = [*MEASURES, *COMPOSED, *UNMEASURED] if only is None else only
+    needed = {x for n in names for x in (COMPOSED[n][0] if n in COMPOSED else (n,))}
     keep = [c for c in df.columns if c != text]
-    measured = measure(df, text, normalize)
     m = F.col("m")  # extracting fields of m must not recompute it
-    marks = [tx.rounded(per_100(m[f"mark_{i}"], m["words"])).alias(f"per_100_{i}") for i in range(len(lx.MARKS))]
-    total = sum((m[f"mark_{i}"] for i in range(len(lx.MARKS))), F.lit(0))
-    extra = [total.alias("punctuation_total"), tx.rounded(_ratio(total, m["words"])).alias("punctuation_density"), tx.rounded(_ratio(m["pronoun_count"], m["words"])).alias("pronoun_ratio")]
-    nulls = [F.lit(None).cast("long").alias(n) for n in ("nouns", "verbs", "adjectives", "adverbs", "named_entities")]
-    return measured.select(*keep, *(c.alias(n) for n, c in rounded_columns(m).items()), *(m[f"mark_{i}"].alias(f"mark_{i}") for i in range(len(lx.MARKS))), *marks, *extra, *nulls)
+
+    def column(n: str) -> Column:
+        if n in COMPOSED:
+            return COMPOSED[n][1](m)
+        if n in UNMEASURED:
+            return F.lit(None).cast("long")
+        return m[n] if n in WHOLE else tx.rounded(m[n])
+
+    return measure(df, text, normalize, needed).select(*keep, *(column(n).alias(n) for n in names))

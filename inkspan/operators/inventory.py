@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import lexicon as lx
@@ -28,27 +28,45 @@ def char_ngrams(text: Column, n: int) -> Column:
     return tx.let(tx.strip(F.regexp_replace(F.lower(text), r"(?U)[\s\x1c-\x1f]+", " ")), cut)
 
 
-def counted(df: DataFrame, items: Column, keys: list[str]) -> DataFrame:
-    """keys, item, count and the place where the item comes first."""
-    return df.select(*keys, F.posexplode(items).alias("pos", "item")).groupBy(*keys, "item").agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"))
+def counted(items: Column) -> Column:
+    """The distinct items of an array with their counts and first places, by item; sorted and cut within the row, so nothing is shuffled."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("first_pos"))))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["item"] != F.get(s, i - 1)["item"]), i)), lambda i: i.isNotNull())
+        return tx.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["item"].alias("item"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("count"), F.get(s, i)["first_pos"].alias("first_pos"))))
+
+    return tx.let(placed, runs)
+
+
+def most_frequent(items: Column, k: int) -> Column:
+    """The k most frequent items of an array with count and rank; ties go to the item that comes first."""
+    ranked = F.array_sort(F.transform(counted(items), lambda x: F.struct((-x["count"]).alias("less"), x["first_pos"].alias("first_pos"), x["item"].alias("item"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x, i: F.struct(x["item"].alias("item"), (-x["less"]).alias("count"), (i + 1).cast("long").alias("rank")))
 
 
 def top_items(df: DataFrame, items: Column, keys: list[str], k: int) -> DataFrame:
-    """The k most frequent items for each key; ties go to the item that comes first."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "first_pos")
-    return counted(df, items, keys).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("first_pos")
+    """keys, item, count and rank of each text's k most frequent items."""
+    return df.select(*keys, F.explode_outer(most_frequent(items, k)).alias("x")).where("x is not null").select(*keys, "x.item", "x.count", "x.rank")
 
 
 def repeated_items(df: DataFrame, items: Column, keys: list[str], least: int = 3) -> DataFrame:
-    return counted(df, items, keys).where(F.col("count") >= least).drop("first_pos")
+    found = F.filter(counted(items), lambda x: x["count"] >= least)
+    return df.select(*keys, F.explode_outer(found).alias("x")).where("x is not null").select(*keys, "x.item", "x.count")
 
 
 def tokens_of(text: Column) -> Column:
     return tx.lowered(tx.words(tx.nfkc(text)))
 
 
-def connective_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+def connectives_in(tokens: Column) -> Column:
     """How often each connective stands in the joined words, without overlap; only those that occur."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens_of(F.col(text)), " "), F.lit(" "))
-    one = df.select(*keys, tx.let(joined, lambda j: F.filter(F.array(*(F.struct(F.lit(c).alias("item"), F.regexp_count(j, F.lit(f" {c} ")).cast("long").alias("count")) for c in lx.CONNECTIVES)), lambda s: s["count"] > 0)).alias("found"))
-    return one.select(*keys, F.explode("found").alias("f")).select(*keys, "f.item", "f.count")
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return tx.let(joined, lambda j: F.filter(F.array(*(F.struct(F.lit(c).alias("item"), F.regexp_count(j, F.lit(f" {c} ")).cast("long").alias("count")) for c in lx.CONNECTIVES)), lambda s: s["count"] > 0))
+
+
+def connective_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys, item and count of each text's connectives."""
+    found = df.select(*keys, F.explode_outer(connectives_in(tokens_of(F.col(text)))).alias("f"))
+    return found.where("f is not null").select(*keys, "f.item", "f.count")

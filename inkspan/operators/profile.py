@@ -15,6 +15,7 @@ from inkspan.functions import lexicon as lx
 from inkspan.functions import text as tx
 from inkspan.operators import features as ft
 from inkspan.operators import inventory as iv
+from inkspan.sources.tables import materialise
 
 #: feature of a profile -> column of the analysis record.
 FEATURES = {
@@ -45,15 +46,26 @@ def sample_weight(words: Column) -> Column:
     return F.sqrt(F.greatest(words, F.lit(1)).cast("double"))
 
 
-def usable(analysis: DataFrame) -> DataFrame:
-    """Samples with words; the transition rate is of unrounded counts."""
-    return analysis.where(F.col("words") > 0).withColumn("transitions_per_100_words", F.col("transition_count") / F.col("words") * 100)
+def with_rates(analysis: DataFrame) -> DataFrame:
+    """The transition rate is of unrounded counts."""
+    return analysis.withColumn("transitions_per_100_words", F.when(F.col("words") > 0, F.col("transition_count") / F.col("words") * 100))
+
+
+def figures(analysis: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature and value: one row for each figure of each text; a text without words has null values."""
+    rows = F.array(*(F.struct(F.lit(name).alias("feature"), F.col(c).cast("double").alias("value")) for name, c in FEATURES.items()))
+    return with_rates(analysis).select(*keys, F.explode(rows).alias("f")).select(*keys, "f.feature", "f.value")
 
 
 def long_features(analysis: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, feature, value and weight: one row for each figure of each usable sample."""
+    """keys, feature, value and weight: one row for each figure of each sample with words.
+
+    Samples without words are left out behind the generator: a filter on the words would be pushed below the
+    analysis, which then would be made twice.
+    """
     rows = F.array(*(F.struct(F.lit(name).alias("feature"), F.col(c).cast("double").alias("value")) for name, c in FEATURES.items()))
-    return usable(analysis).select(*keys, sample_weight(F.col("words")).alias("weight"), F.explode(rows).alias("f")).select(*keys, "f.feature", "f.value", "weight")
+    some = with_rates(analysis).select(*keys, sample_weight(F.col("words")).alias("weight"), F.explode_outer(F.when(F.col("words") > 0, rows)).alias("f"))
+    return some.where("f is not null").select(*keys, "f.feature", "f.value", "weight")
 
 
 def numeric_aggregates(features: DataFrame, by: list[str]) -> DataFrame:
@@ -94,7 +106,12 @@ def phrase_aggregates(items: DataFrame, samples: DataFrame, by: list[str], sampl
     size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"))
     rated = items.join(samples.select(*by, sample, "words"), [*by, sample])
     found = rated.groupBy(*by, "item").agg(F.sum("count").alias("count"), (F.sum(F.col("count") / F.col("words")) / F.count(F.lit(1))).alias("frequency"), F.count(F.lit(1)).alias("holders"))
-    shared = found.join(F.broadcast(size), by).withColumn("sample_presence", F.col("holders") / F.col("samples"))
+    return _ranked(found.join(size, by), by, top_n)
+
+
+def _ranked(found: DataFrame, by: list[str], top_n: int) -> DataFrame:
+    """The top_n phrases of each author, those in most samples first."""
+    shared = found.withColumn("sample_presence", F.col("holders") / F.col("samples"))
     exact = shared.select(*by, "item", "count", tx.rounded(F.col("frequency")).alias("frequency"), tx.rounded(F.col("sample_presence")).alias("sample_presence"), F.col("holders"), F.round(F.col("frequency").cast("decimal(20,12)"), 10).alias("order_frequency"))
     order = Window.partitionBy(*by).orderBy(F.desc("holders"), F.desc("order_frequency"), "item")
     return exact.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n).drop("holders", "order_frequency")
@@ -112,31 +129,69 @@ def profile_metadata(analysis: DataFrame, by: list[str]) -> DataFrame:
 def outliers(analysis: DataFrame, by: list[str], sample: str, least: int = 4) -> DataFrame:
     """Samples whose average sentence length or word count is more than two deviations from the author's mean."""
     rows = F.array(F.struct(F.lit("average_sentence_length").alias("feature"), F.col("average_sentence_length").alias("value")), F.struct(F.lit("word_count").alias("feature"), F.col("words").cast("double").alias("value")))
-    v = usable(analysis).select(*by, sample, F.explode(rows).alias("f")).select(*by, sample, "f.feature", "f.value").where(F.col("value").isNotNull())
+    v = analysis.select(*by, sample, F.explode_outer(F.when(F.col("words") > 0, rows)).alias("f")).where("f.value is not null").select(*by, sample, "f.feature", "f.value")
     moments = v.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("k"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).where((F.col("k") >= least) & (F.col("std") > 0))
-    z = v.join(F.broadcast(moments), [*by, "feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
+    z = v.join(moments, [*by, "feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
     return z.where(F.abs("z") > 2).select(*by, sample, "feature", "value", tx.rounded(F.col("z")).alias("z_score"))
 
 
 def structural_notes(analysis: DataFrame, by: list[str]) -> DataFrame:
-    m = usable(analysis).groupBy(*by).agg(F.avg("short_ratio").alias("short"), F.avg("long_ratio").alias("long"), F.avg("average_sentences_per_paragraph").alias("para"))
+    def mean(c: str) -> Column:
+        return F.avg(F.when(F.col("words") > 0, F.col(c)))
+
+    m = analysis.groupBy(*by).agg(mean("short_ratio").alias("short"), mean("long_ratio").alias("long"), mean("average_sentences_per_paragraph").alias("para"), F.count_if(F.col("words") > 0).alias("samples")).where("samples > 0")
     notes = F.array_compact(F.array(F.when(F.col("short") > 0.5, "majority of sentences are short"), F.when(F.col("long") > 0.5, "majority of sentences are long"), F.when(F.col("para") <= 2.5, "typically short paragraphs").when(F.col("para") >= 6, "typically long paragraphs")))
     return m.select(*by, notes.alias("structural_notes"))
 
 
-def samples_of(df: DataFrame, by: list[str], sample: str, text: str = "text") -> DataFrame:
-    """by, sample and words of the texts that have words."""
-    return df.select(*by, sample, tx.word_count(tx.nfkc(F.col(text))).cast("long").alias("words")).where(F.col("words") > 0)
+def sample_table(df: DataFrame, text: str = "text", top_k: int = 50) -> DataFrame:
+    """One row for each text, without the text: its other columns, the analysis record and the inventories.
+
+    words_list, bigrams and trigrams are the top_k most frequent (item, count, rank), connectives all that occur.
+    All that profiles and comparisons need, made in one pass; write it out where more than one reads it.
+    """
+    inventories = tx.let(iv.tokens_of(F.col(text)), lambda t: F.struct(
+        iv.most_frequent(t, top_k).alias("words_list"),
+        iv.most_frequent(iv.word_ngrams(t, 2), top_k).alias("bigrams"),
+        iv.most_frequent(iv.word_ngrams(t, 3), top_k).alias("trigrams"),
+        iv.connectives_in(t).alias("connectives"),
+    ))
+    made = ft.analyze(df.where(F.col(text).isNotNull()).withColumn("_inventories", inventories), text)
+    return made.select(*(c for c in made.columns if c != "_inventories"), "_inventories.*")
+
+
+def phrases_of(table: DataFrame, by: list[str], sample: str, column: str, top_k: int = 30, top_n: int = TOP_N) -> DataFrame:
+    """The phrases of a sample_table's column that recur in the samples' top_k lists."""
+    lists = F.slice(F.col(column), 1, top_k) if column != "connectives" else F.col(column)
+    items = table.select(*by, sample, F.explode_outer(lists).alias("x")).where("x is not null").select(*by, sample, "x.item", "x.count")
+    return phrase_aggregates(items, table.select(*by, sample, "words").where("words > 0"), by, sample, top_n)
+
+
+def feature_coverage(features: DataFrame, by: list[str]) -> DataFrame:
+    """On how many samples each figure rests."""
+    n = features.groupBy(*by, "feature").agg(F.count("value").alias("n"))
+    return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "n")))).alias("feature_coverage"))
 
 
 def common_phrases(df: DataFrame, by: list[str], sample: str, n: int, top_k: int = 30, top_n: int = TOP_N, text: str = "text") -> DataFrame:
-    """Words (n = 1) or word n-grams that recur in the samples' top_k lists."""
-    items = iv.top_items(df.where(F.col(text).isNotNull()), iv.word_ngrams(iv.tokens_of(F.col(text)), n), [*by, sample], top_k)
-    return phrase_aggregates(items, samples_of(df, by, sample, text), by, sample, top_n)
+    """Words (n = 1) or word n-grams that recur in the samples' top_k lists; a sample's words are counted and listed in one row."""
+    found = df.where(F.col(text).isNotNull()).select(*by, sample, tx.let(iv.tokens_of(F.col(text)), lambda t: F.struct(F.size(t).cast("long").alias("words"), iv.most_frequent(iv.word_ngrams(t, n), top_k).alias("items"))).alias("s"))
+    return _rated(found, by, sample, top_n)
 
 
 def common_connectives(df: DataFrame, by: list[str], sample: str, top_n: int = TOP_N, text: str = "text") -> DataFrame:
-    return phrase_aggregates(iv.connective_counts(df.where(F.col(text).isNotNull()), text, [*by, sample]), samples_of(df, by, sample, text), by, sample, top_n)
+    found = df.where(F.col(text).isNotNull()).select(*by, sample, tx.let(iv.tokens_of(F.col(text)), lambda t: F.struct(F.size(t).cast("long").alias("words"), iv.connectives_in(t).alias("items"))).alias("s"))
+    return _rated(found, by, sample, top_n)
+
+
+def _rated(found: DataFrame, by: list[str], sample: str, top_n: int) -> DataFrame:
+    """phrase_aggregates() of one row for each text: the samples are counted by author, the items beside their text's words."""
+    one = found.select(*by, F.explode_outer(F.when(F.col("s.words") > 0, F.concat(F.array(F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), F.col("s.words").alias("words"))), F.transform("s.items", lambda x: F.struct(x["item"].alias("item"), x["count"].alias("count"), F.col("s.words").alias("words")))))).alias("x"))
+    rows = one.where("x is not null").select(*by, "x.item", "x.count", "x.words")
+    g = rows.groupBy(*by, "item").agg(F.sum("count").alias("count"), (F.sum(F.col("count") / F.col("words")) / F.count(F.lit(1))).alias("frequency"), F.count(F.lit(1)).alias("holders"))
+    # a text's row without item counts the text
+    shared = g.where("item is not null").join(g.where("item is null").select(*by, F.col("holders").alias("samples")), by)
+    return _ranked(shared, by, top_n)
 
 
 def build_profiles(df: DataFrame, by: str = "author", sample: str = "sample_index", text: str = "text", context: str = "general", language: str = "en", top_k: int = 30) -> DataFrame:
@@ -145,15 +200,20 @@ def build_profiles(df: DataFrame, by: str = "author", sample: str = "sample_inde
         raise ValueError(f"context must be one of {CONTEXTS}")
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    analysis = ft.analyze(df.select(by, sample, text), text)
+    return profiles_of(materialise(sample_table(df.select(by, sample, text), text, top_k), "samples"), by, sample, context, language, top_k)
+
+
+def profiles_of(table: DataFrame, by: str = "author", sample: str = "sample_index", context: str = "general", language: str = "en", top_k: int = 30) -> DataFrame:
+    """build_profiles() of a sample_table that was written out; the texts are read no more."""
     keys = [by]
-    numbers = profile_numbers(long_features(analysis, keys), keys).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "median", "std", "min", "max", "n", "low", "high", "stability")))).alias("numbers"))
-    out = profile_metadata(analysis, keys).withColumn("context", F.lit(context)).withColumn("language", F.lit(language.lower())).join(numbers, by, "left")
+    features = long_features(table, keys)
+    numbers = profile_numbers(features, keys).groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.struct("mean", "median", "std", "min", "max", "n", "low", "high", "stability"))))).alias("numbers"))
+    out = profile_metadata(table, keys).withColumn("context", F.lit(context)).withColumn("language", F.lit(language.lower())).join(numbers, by, "left").join(feature_coverage(features, keys), by, "left")
     phrase = F.array_sort(F.collect_list(F.struct("rank", "item", "count", "frequency", "sample_presence")))
-    for name, phrases in (("common_terms", common_phrases(df, keys, sample, 1, top_k, text=text)), ("common_bigrams", common_phrases(df, keys, sample, 2, top_k, text=text)), ("common_trigrams", common_phrases(df, keys, sample, 3, top_k, text=text)), ("common_connectives", common_connectives(df, keys, sample, text=text))):
-        out = out.join(phrases.groupBy(by).agg(phrase.alias(name)), by, "left")
-    out = out.join(structural_notes(analysis, keys), by, "left")
-    notes = outliers(analysis, keys, sample).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("feature", sample, "value", "z_score"))).alias("outlier_notes"))
+    for name, column in (("common_terms", "words_list"), ("common_bigrams", "bigrams"), ("common_trigrams", "trigrams"), ("common_connectives", "connectives")):
+        out = out.join(phrases_of(table, keys, sample, column, top_k).groupBy(by).agg(phrase.alias(name)), by, "left")
+    out = out.join(structural_notes(table, keys), by, "left")
+    notes = outliers(table, keys, sample).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("feature", sample, "value", "z_score"))).alias("outlier_notes"))
     out = out.join(notes, by, "left").withColumn("profile_version", F.lit("0.1.0"))
     repeated = F.filter("common_trigrams", lambda x: x["sample_presence"] >= 0.5)
     return out.withColumn("patterns", F.struct(repeated.alias("repeated_phrases"), F.transform(F.slice(F.coalesce("common_connectives", F.array()), 1, 10), lambda x: x["item"]).alias("recurring_connectives")))

@@ -104,6 +104,8 @@ f AS (SELECT uid, author, characters, characters_no_spaces, words, sentences, pa
 
 
 LONG = ", long_f AS (" + " UNION ALL ".join(f"SELECT uid, author, {q(name)} AS feature, CAST({c} AS DOUBLE) AS value, sqrt(greatest(words, 1)) AS weight, words FROM f WHERE words > 0" for name, c in pf.FEATURES.items()) + ")"
+#: Drafts without words have all their figures, null.
+DRAFTS = ", long_d AS (" + " UNION ALL ".join(f"SELECT uid, author, {q(name)} AS feature, CAST({c} AS DOUBLE) AS value FROM f" for name, c in pf.FEATURES.items()) + ")"
 AGG = ", agg AS (SELECT author, feature, sum(value * weight) / sum(weight) FILTER (value IS NOT NULL) AS mean, median(value) AS median, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(value) AS n FROM long_f GROUP BY author, feature)"
 _STAB = "CASE WHEN mean IS NULL OR std IS NULL THEN NULL WHEN mean = 0 THEN CASE WHEN std = 0 THEN 'stable' ELSE 'variable' END WHEN abs(std / mean) < 0.15 THEN 'stable' WHEN abs(std / mean) < 0.35 THEN 'moderate' ELSE 'variable' END"
 NUMBERS = f", numbers AS (SELECT author, feature, {', '.join(r4(c) + ' AS ' + c for c in ('mean', 'median', 'std', 'min', 'max'))}, {r4('mean - std')} AS low, {r4('mean + std')} AS high, n, CASE WHEN feature IN ({', '.join(map(q, pf.STABILITY_OF))}) THEN {_STAB} END AS stability FROM agg)"
@@ -153,15 +155,92 @@ CATALOG = ", catalog(dimension, metric, feature) AS (VALUES " + ", ".join(f"({q(
 NUMERIC_ROWS = f""", nrows AS (SELECT uid, l.author, dimension, metric, {r4('value')} AS draft_value, mean AS profile_mean, low, high, {r4('value - mean')} AS difference, {r4('CASE WHEN std > 1e-9 THEN (value - mean) / std END')} AS z_score,
   CASE WHEN value IS NULL OR mean IS NULL THEN 'unavailable' WHEN value BETWEEN low AND high THEN 'close' WHEN std > 1e-9 THEN CASE WHEN abs((value - mean) / std) <= 2 THEN 'moderately_different' ELSE 'significantly_different' END
        WHEN (CASE WHEN mean <> 0 THEN abs((value - mean) / mean) WHEN value = 0 THEN 0 ELSE 1e300 END) <= 0.2 THEN 'close' WHEN (CASE WHEN mean <> 0 THEN abs((value - mean) / mean) WHEN value = 0 THEN 0 ELSE 1e300 END) <= 0.4 THEN 'moderately_different' ELSE 'significantly_different' END AS status
-  FROM long_f l JOIN catalog USING (feature) LEFT JOIN numbers nu ON l.author = nu.author AND l.feature = nu.feature)"""
+  FROM long_d l JOIN catalog USING (feature) LEFT JOIN numbers nu ON l.author = nu.author AND l.feature = nu.feature)"""
 _LABEL = "CASE WHEN variation IS NULL THEN NULL WHEN abs(variation) < 0.15 THEN 'stable' WHEN abs(variation) < 0.35 THEN 'moderate' ELSE 'variable' END"
 _ORDER = "list_position(['stable', 'moderate', 'variable'], {})"
-STABILITY_ROWS = f""", variations AS (SELECT uid, author, 'sentence_structure' AS dimension, 'sentence_length_variation' AS metric, 'sentence_structure.average_length' AS feature, sentence_variation AS variation FROM f WHERE words > 0
-  UNION ALL SELECT uid, author, 'paragraph_structure', 'paragraph_size_variation', 'paragraph_structure.average_words_per_paragraph', CASE WHEN average_words_per_paragraph > 0 THEN paragraph_deviation / average_words_per_paragraph END FROM f WHERE words > 0),
+STABILITY_ROWS = f""", variations AS (SELECT uid, author, 'sentence_structure' AS dimension, 'sentence_length_variation' AS metric, 'sentence_structure.average_length' AS feature, sentence_variation AS variation FROM f
+  UNION ALL SELECT uid, author, 'paragraph_structure', 'paragraph_size_variation', 'paragraph_structure.average_words_per_paragraph', CASE WHEN average_words_per_paragraph > 0 THEN paragraph_deviation / average_words_per_paragraph END FROM f),
 labeled AS (SELECT v.*, {_LABEL} AS draft_label, n.stability AS profile_label FROM variations v LEFT JOIN numbers n ON v.author = n.author AND v.feature = n.feature),
 srows AS (SELECT uid, author, dimension, metric, draft_label, profile_label, CASE WHEN draft_label IS NULL OR profile_label IS NULL THEN 'unavailable' WHEN abs({_ORDER.format('draft_label')} - {_ORDER.format('profile_label')}) = 0 THEN 'close' WHEN abs({_ORDER.format('draft_label')} - {_ORDER.format('profile_label')}) = 1 THEN 'moderately_different' ELSE 'significantly_different' END AS status FROM labeled)"""
-DIMENSIONS = f""", every AS (SELECT uid, author, dimension, metric, status FROM nrows UNION ALL SELECT uid, author, dimension, metric, status FROM srows),
+OVERLAP_STATUS = "CASE WHEN words = 0 OR reference_size = 0 THEN 'unavailable' WHEN matched / reference_size >= 0.5 THEN 'close' WHEN matched / reference_size >= 0.2 THEN 'moderately_different' ELSE 'significantly_different' END"
+
+
+def _overlap_ctes(top_n: int = pf.TOP_N) -> str:
+    """orows, and the profiles' phrases common1, common2, common3 and commonc, of a table tok(uid, author, low)."""
+    out = [", low_words AS (SELECT uid, author, len(low) AS words FROM tok), z AS (SELECT author, count(*) AS samples FROM low_words WHERE words > 0 GROUP BY author)"]
+    rows = []
+    for n, (dimension, metric, _) in zip((1, "c", 2, 3), cp.OVERLAPS, strict=True):
+        if n == "c":
+            one = " UNION ALL ".join(f"SELECT uid, author, {q(c)} AS item, len(regexp_extract_all(joined, ' {c} ')) AS count, 1 AS k FROM j WHERE contains(joined, ' {c} ')" for c in lx.CONNECTIVES)
+            out.append(f", j AS (SELECT uid, author, ' ' || array_to_string(low, ' ') || ' ' AS joined FROM tok), kc AS ({one})")
+        else:
+            item = "low[i]" if n == 1 else " || ' ' || ".join(f"low[i + {k}]" for k in range(n))
+            out.append(f""",
+g{n} AS (SELECT uid, author, unnest(list_transform(range(1, len(low) - {n} + 2), lambda i: {item})) AS item, unnest(range(1, len(low) - {n} + 2)) AS pos FROM tok),
+c{n} AS (SELECT uid, author, item, count(*) AS count, min(pos) AS first_pos FROM g{n} GROUP BY uid, author, item),
+k{n} AS (SELECT uid, author, item, count, row_number() OVER (PARTITION BY uid ORDER BY count DESC, first_pos) AS k FROM c{n})""")
+        out.append(f""",
+p{n} AS (SELECT t.author, item, CAST(sum(count) AS BIGINT) AS count, sum(count / words) / count(*) AS frequency, count(*) AS holders FROM k{n} t JOIN low_words USING (uid, author) WHERE k <= 30 AND words > 0 GROUP BY t.author, item),
+common{n} AS (SELECT * FROM (SELECT author, item, {r4('holders / samples')} AS sample_presence, row_number() OVER (PARTITION BY author ORDER BY holders DESC, round(CAST(frequency AS DECIMAL(20,12)), 10) DESC, item) AS rank FROM p{n} JOIN z USING (author)) WHERE rank <= {top_n}),
+met{n} AS (SELECT l.uid, l.author, l.words, w.item, w.sample_presence, o.item IS NOT NULL AS has FROM low_words l LEFT JOIN (SELECT * FROM common{n} WHERE sample_presence >= 0.5) w ON l.author = w.author LEFT JOIN (SELECT * FROM k{n} WHERE k <= 50) o ON o.uid = l.uid AND o.item = w.item),
+gr{n} AS (SELECT uid, author, words, count(item) AS reference_size, count(*) FILTER (has) AS matched, sum(sample_presence) FILTER (has) AS weight, sum(sample_presence) AS whole FROM met{n} GROUP BY uid, author, words)""")
+        rows.append(f"SELECT uid, author, {q(dimension)} AS dimension, {q(metric)} AS metric, reference_size, matched, {r4('CASE WHEN reference_size > 0 THEN matched / reference_size END')} AS overlap, {r4('CASE WHEN reference_size > 0 THEN coalesce(weight, 0) / whole END')} AS weighted_overlap, {OVERLAP_STATUS} AS status FROM gr{n}")
+    return "".join(out) + ", orows AS (" + " UNION ALL ".join(rows) + ")"
+
+
+def overlap(source: str = DOCUMENTS) -> str:
+    return f"WITH {source}, tok AS (SELECT uid, author, list_transform(regexp_extract_all(clean, {W}), lambda w: lower(w)) AS low FROM d)" + _overlap_ctes()
+
+
+OVERLAP = overlap()
+DIMENSIONS = f""", every AS (SELECT uid, author, dimension, metric, status FROM nrows UNION ALL SELECT uid, author, dimension, metric, status FROM srows UNION ALL SELECT uid, author, dimension, metric, status FROM orows),
 dims AS (SELECT uid, author, dimension, count({_score('status')}) AS available, {r4(f"avg({_score('status')})")} AS mean_score, {_mean_status(f"avg({_score('status')})")} AS status FROM every GROUP BY uid, author, dimension)"""
 _WEIGHT = "CASE dimension " + " ".join(f"WHEN {q(k)} THEN {w}" for k, w in lx.DIMENSION_WEIGHTS.items()) + " END"
 OVERALL = f""", overall AS (SELECT uid, author, sum({_score('status')} * {_WEIGHT}) / sum({_WEIGHT}) FILTER (status <> 'unavailable') AS mean FROM dims GROUP BY uid, author)"""
-COMPARE = features() + LONG + AGG + NUMBERS + META + CATALOG + NUMERIC_ROWS + STABILITY_ROWS + DIMENSIONS + OVERALL
+COMPARE = features() + LONG + DRAFTS + AGG + NUMBERS + META + CATALOG + NUMERIC_ROWS + STABILITY_ROWS
+
+
+def whole(source: str = DOCUMENTS) -> str:
+    """All 37 rows of each draft, its dimensions and overall mean."""
+    return features(source) + LONG + DRAFTS + AGG + NUMBERS + META + CATALOG + NUMERIC_ROWS + STABILITY_ROWS + _overlap_ctes() + DIMENSIONS + OVERALL
+
+
+WHOLE = whole()
+
+
+def drift() -> str:
+    """Overall status of each text before and after its revision: revised texts are drafts that belong to no profile."""
+    texts = """d AS (SELECT doc_id AS uid, source AS author, text, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS clean, false AS revised FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT -1 - doc_id, source, t, regexp_replace(t, '\\r\\n?', chr(10), 'g'), true FROM (SELECT doc_id, source, replace(substr(text, 1, CAST(floor(length(text) * 0.8) AS BIGINT)), '7', '') AS t FROM documents WHERE text IS NOT NULL))"""
+    sql = whole(texts)
+    # profiles are made of the documents as they are
+    sql = sql.replace(" FROM f WHERE words > 0 UNION ALL SELECT uid, author, ", " FROM f WHERE words > 0 AND uid >= 0 UNION ALL SELECT uid, author, ").replace("AS weight, words FROM f WHERE words > 0)", "AS weight, words FROM f WHERE words > 0 AND uid >= 0)")
+    sql = sql.replace("FROM low_words WHERE words > 0 GROUP BY author", "FROM low_words WHERE words > 0 AND uid >= 0 GROUP BY author").replace("WHERE k <= 30 AND words > 0 GROUP BY", "WHERE k <= 30 AND words > 0 AND uid >= 0 GROUP BY")
+    return sql + f""", s AS (SELECT uid, {_mean_status('mean')} AS status FROM overall)
+SELECT a.uid, a.status AS before, b.status AS after, coalesce({_score('b.status')} > {_score('a.status')}, false) AS drifted FROM s a JOIN s b ON b.uid = -1 - a.uid WHERE a.uid >= 0"""
+
+
+_NAMED = "CASE {0} WHEN 'close' THEN 'in line' WHEN 'moderately_different' THEN 'off' WHEN 'significantly_different' THEN 'far off' WHEN 'unavailable' THEN 'not measured' END"
+
+
+def _fig(x: str) -> str:
+    return f"coalesce(regexp_replace(printf('%.4f', {x}), '(\\.\\d+?)0+$', '\\1'), 'unknown')"
+
+
+def explained() -> str:
+    name = "replace(metric, '_', ' ')"
+    usual = f"CASE WHEN low IS NULL OR high IS NULL THEN 'no usual range' ELSE 'usually ' || {_fig('low')} || ' to ' || {_fig('high')} END"
+    return f"""CASE status WHEN 'unavailable' THEN {name} || ' can''t be judged, as ' || CASE WHEN draft_value IS NULL THEN 'the draft' ELSE 'the profile' END || ' has no such figure.' WHEN 'close' THEN {name} || ' is in line.'
+ELSE {name} || ' is ' || {_NAMED.format('status')} || ', ' || CASE WHEN difference > 0 THEN 'higher' ELSE 'lower' END || ' than in the profile: ' || {_fig('draft_value')} || ', ' || {usual} || '.' END"""
+
+
+def summary() -> str:
+    def listed(status: str, title: str) -> str:
+        return f"CASE WHEN count(*) FILTER (status = {q(status)}) > 0 THEN {q(title + ': ')} || replace(string_agg(dimension, ', ' ORDER BY dimension) FILTER (status = {q(status)}), '_', ' ') || '.' END"
+
+    low = "CASE WHEN confidence = 'low' OR words < 100 THEN 'low' WHEN confidence = 'medium' OR words < 400 THEN 'medium' ELSE 'high' END"
+    return f""", told AS (SELECT uid, author, {listed('close', 'In line')} AS a, {listed('significantly_different', 'Far off')} AS b, {listed('moderately_different', 'Off')} AS c, {listed('unavailable', 'Not measured')} AS u,
+max(CASE WHEN dimension = 'ngrams' AND status IN ('moderately_different', 'significantly_different') THEN 'Few phrases are shared, which can be due to the topic.' END) AS topic FROM dims GROUP BY uid, author)
+SELECT uid, CASE WHEN words = 0 THEN 'The draft has no words, so nothing was compared.' ELSE concat_ws(' ', a, b, c, 'Evidence: ' || sample_count || ' samples with ' || total_words || ' words; the draft has ' || words || '.', CASE WHEN {low} = 'low' THEN 'Little evidence, so differences mean little.' END, topic) END AS summary,
+CASE WHEN words = 0 THEN 'The draft has no words, so nothing was compared. The bands are rules of thumb; they say nothing about who or what wrote a text.' ELSE concat_ws(' ', u, CASE WHEN words < 100 THEN 'Under 100 words: averages and phrases are shaky.' WHEN words < 400 THEN 'Under 400 words: phrases and paragraphs count for less.' END, 'The bands are rules of thumb; they say nothing about who or what wrote a text.') END AS limitations
+FROM told JOIN f USING (uid, author) JOIN meta USING (author)"""

@@ -46,15 +46,19 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy(F.col("conv_id").alias("uid")).agg(joined.alias("text")).withColumn("author", F.lit("all"))
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.analyze(documents(spark, sf_dir))
+def analysis(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
+    return ft.analyze(documents(spark, sf_dir), only=only)
+
+
+#: Columns that the profile's figures are made of.
+PROFILE_COLUMNS = [*dict.fromkeys([c for c in pf.FEATURES.values() if c != "transitions_per_100_words"]), "words", "transition_count"]
 
 
 def _features(name: str, columns: list[str], source: str = sql.DOCUMENTS):
     table = conversations if source == sql.CONVERSATIONS else documents
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ft.analyze(table(spark, sf_dir)).select("uid", *columns)
+        return ft.analyze(table(spark, sf_dir), only=columns).select("uid", *columns)
 
     run.__name__ = name
     query(sql.features(source) + f" SELECT uid, {', '.join(columns)} FROM f")(run)
@@ -106,12 +110,12 @@ def numbers(a: DataFrame) -> DataFrame:
 
 @query(sql.features() + sql.LONG + sql.AGG + sql.NUMBERS + " SELECT * FROM numbers")
 def profile_numbers(spark, sf_dir):
-    return numbers(analysis(spark, sf_dir))
+    return numbers(analysis(spark, sf_dir, PROFILE_COLUMNS))
 
 
 @query(sql.features() + sql.META + " SELECT * FROM meta")
 def profile_metadata(spark, sf_dir):
-    return pf.profile_metadata(analysis(spark, sf_dir), ["author"])
+    return pf.profile_metadata(analysis(spark, sf_dir, ["words"]), ["author"])
 
 
 def _phrases(name: str, n: int):
@@ -132,55 +136,52 @@ def common_connectives(spark, sf_dir):
     return pf.common_connectives(documents(spark, sf_dir), ["author"], "uid")
 
 
-@query(sql.phrases(sql.top(1, 30)) + " SELECT author, item, sample_presence FROM common WHERE sample_presence >= 0.5")
+@query(sql.phrases(sql.top(3, 30)) + " SELECT author, item, sample_presence FROM common WHERE sample_presence >= 0.5")
 def repeated_phrases(spark, sf_dir):
-    return pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 1).where("sample_presence >= 0.5").select("author", "item", "sample_presence")
+    return pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 3).where("sample_presence >= 0.5").select("author", "item", "sample_presence")
+
+
+#: Each source's documents with a phrase that all of them share: texts whose trigrams recur.
+_SIGNED = "d AS (SELECT doc_id AS uid, source AS author, 'In ' || source || ' we say so, because we say so. ' || text AS text, 'In ' || source || ' we say so, because we say so. ' || regexp_replace(text, '\\r\\n?', chr(10), 'g') AS clean FROM documents WHERE text IS NOT NULL AND length(text) < 600)"
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).where(F.char_length("text") < 600)
+    return d.withColumn("text", F.concat(F.lit("In "), "author", F.lit(" we say so, because we say so. "), "text"))
+
+
+@query(sql.phrases(sql.top(3, 30, _SIGNED)) + " SELECT author, item, sample_presence FROM common WHERE sample_presence >= 0.5")
+def repeated_phrases_of_signed_texts(spark, sf_dir):
+    return pf.common_phrases(signed(spark, sf_dir), ["author"], "uid", 3).where("sample_presence >= 0.5").select("author", "item", "sample_presence")
 
 
 @query(sql.features() + """, m AS (SELECT author, avg(short_ratio) AS short, avg(long_ratio) AS long, avg(average_sentences_per_paragraph) AS para FROM f WHERE words > 0 GROUP BY author)
 SELECT author, concat_ws('; ', CASE WHEN short > 0.5 THEN 'majority of sentences are short' END, CASE WHEN long > 0.5 THEN 'majority of sentences are long' END, CASE WHEN para <= 2.5 THEN 'typically short paragraphs' WHEN para >= 6 THEN 'typically long paragraphs' END) AS notes FROM m""")
 def structural_notes(spark, sf_dir):
-    return pf.structural_notes(analysis(spark, sf_dir), ["author"]).select("author", F.array_join("structural_notes", "; ").alias("notes"))
+    return pf.structural_notes(analysis(spark, sf_dir, ["words", "short_ratio", "long_ratio", "average_sentences_per_paragraph"]), ["author"]).select("author", F.array_join("structural_notes", "; ").alias("notes"))
 
 
 @query(sql.features() + f""", v AS (SELECT uid, author, 'average_sentence_length' AS feature, average_sentence_length AS value FROM f WHERE words > 0 AND average_sentence_length IS NOT NULL UNION ALL SELECT uid, author, 'word_count', CAST(words AS DOUBLE) FROM f WHERE words > 0),
 z AS (SELECT *, count(*) OVER w AS k, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std FROM v WINDOW w AS (PARTITION BY author, feature))
 SELECT author, uid, feature, value, {sql.r4('(value - mean) / std')} AS z_score FROM z WHERE k >= 4 AND std > 0 AND abs((value - mean) / std) > 2""")
 def outlier_notes(spark, sf_dir):
-    return pf.outliers(analysis(spark, sf_dir), ["author"], "uid")
-
-
-def draft_values(a: DataFrame) -> DataFrame:
-    return pf.long_features(a, ["uid", "author"]).drop("weight")
+    return pf.outliers(materialise(analysis(spark, sf_dir, ["words", "average_sentence_length"]), "analysis"), ["author"], "uid")
 
 
-def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analysis_table(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
     """The analysis as a table, for plans that read it more than once: drafts and profiles come from one pass over the texts."""
-    return materialise(analysis(spark, sf_dir), "analysis")
+    return materialise(analysis(spark, sf_dir, only), "analysis")
 
 
-def numeric_rows(a: DataFrame, n: DataFrame) -> DataFrame:
-    return cp.numeric_rows(draft_values(a), n, ["uid"], "author")
-
-
-def stability_rows(a: DataFrame, n: DataFrame) -> DataFrame:
-    a = pf.usable(a).withColumn("paragraph_variation", F.when(F.col("average_words_per_paragraph") > 0, F.col("paragraph_deviation") / F.col("average_words_per_paragraph")))
-    return cp.stability_rows(a, n, ["uid"], "author")
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis and inventories of every document, written out."""
+    return materialise(pf.sample_table(documents(spark, sf_dir)), "samples")
 
 
 def metric_rows(spark, sf_dir) -> DataFrame:
-    """Status of every numeric and stability row."""
-    a = analysis_table(spark, sf_dir)
-    n = materialise(numbers(a), "numbers")
-    keep = ["uid", "author", "dimension", "metric", "status"]
-    return numeric_rows(a, n).select(keep).unionByName(stability_rows(a, n).select(keep))
-
-
-def full_rows(spark, sf_dir) -> DataFrame:
-    """Status of all rows of a draft, the overlap rows too; the SQL of dimension_status and its like has no overlap rows."""
-    a = analysis_table(spark, sf_dir)
-    d = documents(spark, sf_dir)
-    return cp.all_rows(a, materialise(numbers(a), "numbers"), d, d, ["uid"], "author", "uid")
+    """All 37 rows of every document against its source's profile."""
+    t = table(spark, sf_dir)
+    return cp.all_rows(t, t, ["uid"], "author", "uid")
 
 
 def dimensions(spark, sf_dir) -> DataFrame:
@@ -189,61 +190,51 @@ def dimensions(spark, sf_dir) -> DataFrame:
 
 @query(sql.COMPARE + " SELECT * FROM nrows")
 def compare_numeric_rows(spark, sf_dir):
-    a = analysis_table(spark, sf_dir)
-    return numeric_rows(a, numbers(a))
+    a = analysis_table(spark, sf_dir, PROFILE_COLUMNS)
+    return cp.numeric_rows(pf.figures(a, ["uid", "author"]), numbers(a), ["uid"], "author")
 
 
 @query(sql.COMPARE + " SELECT * FROM srows")
 def compare_stability_rows(spark, sf_dir):
-    a = analysis_table(spark, sf_dir)
-    return stability_rows(a, numbers(a))
+    a = analysis_table(spark, sf_dir, [*PROFILE_COLUMNS, "sentence_variation", "paragraph_deviation"])
+    return cp.stability_rows(cp.with_variations(a), numbers(a), ["uid"], "author")
 
 
-@query(sql.phrases(sql.top(1, 30)) + f""", own AS (SELECT DISTINCT uid, author, item FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY count DESC, first_pos) AS k FROM c) WHERE k <= 50),
-wanted AS (SELECT author, item, sample_presence FROM common WHERE sample_presence >= 0.5),
-met AS (SELECT tok.uid, tok.author, w.item, w.sample_presence, o.item IS NOT NULL AS has FROM tok LEFT JOIN wanted w ON tok.author = w.author LEFT JOIN own o ON o.uid = tok.uid AND o.item = w.item),
-gr AS (SELECT uid, author, count(item) AS reference_size, count(*) FILTER (has) AS matched, sum(sample_presence) FILTER (has) AS weight, sum(sample_presence) AS whole FROM met GROUP BY uid, author)
-SELECT uid, author, 'vocabulary' AS dimension, 'shared_characteristic_terms' AS metric, reference_size, matched, {sql.r4('CASE WHEN reference_size > 0 THEN matched / reference_size END')} AS overlap, {sql.r4('coalesce(weight, 0) / whole')} AS weighted_overlap,
-CASE WHEN reference_size = 0 THEN 'unavailable' WHEN matched / reference_size >= 0.5 THEN 'close' WHEN matched / reference_size >= 0.2 THEN 'moderately_different' ELSE 'significantly_different' END AS status FROM gr""")
+@query(sql.OVERLAP + " SELECT * FROM orows")
 def compare_overlap_rows(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    own = iv.top_items(d, iv.tokens_of(F.col("text")), ["uid"], 50)
-    return cp.overlap_rows(own, d.select("uid", "author"), pf.common_phrases(d, ["author"], "uid", 1), ["uid"], "author", "vocabulary", "shared_characteristic_terms")
+    t = table(spark, sf_dir)
+    return cp.overlap_rows(t, cp.wanted_phrases(t, "author", "uid"), ["uid"], "author")
 
 
-@query(sql.COMPARE + " SELECT * FROM dims")
+@query(sql.WHOLE + " SELECT * FROM dims")
 def dimension_status(spark, sf_dir):
     return dimensions(spark, sf_dir)
 
 
-@query(sql.COMPARE + f" SELECT uid, author, {sql.r4('mean')} AS mean_score, {sql._mean_status('mean')} AS status FROM overall")
+@query(sql.WHOLE + f" SELECT uid, author, {sql.r4('mean')} AS mean_score, {sql._mean_status('mean')} AS status FROM overall")
 def overall_status(spark, sf_dir):
     return cp.overall_status(dimensions(spark, sf_dir), ["uid", "author"])
 
 
-@query(sql.COMPARE + f""" SELECT uid, author, dimension, metric, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid, author, dimension ORDER BY {sql._score('status')} DESC, metric) AS rank FROM every WHERE status IN ('moderately_different', 'significantly_different')) WHERE rank <= 2""")
+@query(sql.WHOLE + f""" SELECT uid, author, dimension, metric, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid, author, dimension ORDER BY {sql._score('status')} DESC, metric) AS rank FROM every WHERE status IN ('moderately_different', 'significantly_different')) WHERE rank <= 2""")
 def worst_metrics(spark, sf_dir):
     return cp.worst_metrics(metric_rows(spark, sf_dir), ["uid", "author"])
 
 
-@query()
-def full_dimension_status(spark, sf_dir):
-    return cp.dimension_status(full_rows(spark, sf_dir), ["uid", "author"])
-
+#: Documents as drafts, every seventh without words: their reports have all dimensions unavailable and low confidence.
+_BLANKED = "d AS (SELECT doc_id AS uid, source AS author, CASE WHEN doc_id % 7 = 0 THEN ' - ' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN ' - ' ELSE regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS clean FROM documents WHERE text IS NOT NULL)"
 
-@query()
-def full_overall_status(spark, sf_dir):
-    return cp.overall_status(cp.dimension_status(full_rows(spark, sf_dir), ["uid", "author"]), ["uid", "author"])
 
-
-@query()
-def full_worst_metrics(spark, sf_dir):
-    return cp.worst_metrics(full_rows(spark, sf_dir), ["uid", "author"])
+@query(sql.whole(_BLANKED) + f", statuses AS (SELECT uid, author, {sql._mean_status('mean')} AS status FROM overall), counts AS (SELECT uid, count(*) AS dimensions, CAST(sum(available) AS BIGINT) AS available FROM dims GROUP BY uid) SELECT uid, author, words, status, dimensions, available, CASE WHEN confidence = 'low' OR words < 100 THEN 'low' WHEN confidence = 'medium' OR words < 400 THEN 'medium' ELSE 'high' END AS confidence FROM statuses JOIN counts USING (uid) JOIN f USING (uid, author) JOIN meta USING (author)")
+def comparison_reports(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("text", F.when(F.col("uid") % 7 == 0, " - ").otherwise(F.col("text")))
+    r = rp.compare(d, d, ["uid"], "author", "uid")
+    return r.select("uid", "author", F.col("draft_words").alias("words"), "status", F.size("dimensions").cast("long").alias("dimensions"), F.aggregate(F.col("dimensions.available"), F.lit(0).cast("long"), lambda s, x: s + x).alias("available"), "confidence")
 
 
 @query(sql.features() + sql.META + """ SELECT uid, f.author, words, CASE WHEN confidence = 'low' OR words < 100 THEN 'low' WHEN confidence = 'medium' OR words < 400 THEN 'medium' ELSE 'high' END AS confidence FROM f JOIN meta USING (author)""")
 def comparison_confidence(spark, sf_dir):
-    a = analysis_table(spark, sf_dir)
+    a = analysis_table(spark, sf_dir, ["words"])
     met = a.select("uid", "author", "words").join(pf.profile_metadata(a, ["author"]).select("author", F.col("confidence").alias("level")), "author")
     return met.select("uid", "author", "words", cp.comparison_confidence(F.col("level"), F.col("words")).alias("confidence"))
 
@@ -296,11 +287,19 @@ def evasion_intent(spark, sf_dir):
     return d.select("doc_id", tx.has_evasion_intent(request).alias("refused"))
 
 
-@query(sql.COMPARE + ", pairs AS (SELECT a.uid, a.status AS before, b.status AS after FROM dims a JOIN dims b ON a.uid = b.uid AND a.dimension = 'vocabulary' AND b.dimension = 'readability') SELECT uid, before, after, coalesce(" + sql._score("after") + " > " + sql._score("before") + ", false) AS drifted FROM pairs")
+#: The drafts' dimensions before and after the revision of revisions(), against the profiles of the documents as they are.
+@query(sql.drift())
 def style_drift(spark, sf_dir):
-    d = dimensions(spark, sf_dir).where("dimension in ('vocabulary', 'readability')")
-    both = d.groupBy("uid").agg(F.max(F.when(F.col("dimension") == "vocabulary", F.col("status"))).alias("before"), F.max(F.when(F.col("dimension") == "readability", F.col("status"))).alias("after"))
-    return both.where("before is not null and after is not null").withColumn("drifted", rv.drifted(F.col("before"), F.col("after")))
+    t = table(spark, sf_dir)
+    changed = revisions(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("uid").alias("doc_id"), "author"), "doc_id").select(F.col("doc_id").alias("uid"), "author", F.col("revised").alias("text"))
+    numbers_of, wanted = materialise(numbers(t), "numbers"), materialise(cp.wanted_phrases(t, "author", "uid"), "wanted")
+
+    def status(drafts: DataFrame, name: str) -> DataFrame:
+        rows = cp.rows_against(drafts, numbers_of, wanted, ["uid"], "author")
+        return cp.overall_status(cp.dimension_status(rows, ["uid"]), ["uid"]).select("uid", F.col("status").alias(name))
+
+    both = status(t, "before").join(status(materialise(pf.sample_table(changed), "drafts"), "after"), "uid")
+    return both.withColumn("drifted", rv.drifted(F.col("before"), F.col("after")))
 
 
 @query(f"""WITH b AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN '{{"revised_text": ' || to_json(text) || ', "change_summary": []}}' WHEN 1 THEN '  ' || text || '  ' ELSE '{{"revised' END AS response FROM benchmark)
@@ -317,10 +316,19 @@ def revision_checks(spark, sf_dir):
     return out.select("doc_id", tx.rounded(F.col("similarity")).alias("similarity"), F.array_join("failures", "; ").alias("failures"), "passed")
 
 
-@query()
+@query(sql.whole() + f""", fig AS (SELECT author, count(*) AS features, list(feature || '=' || coalesce(CAST(CAST(round(mean * 10000) AS BIGINT) AS VARCHAR), '') || ':' || n ORDER BY feature) AS figures FROM numbers GROUP BY author),
+ph AS (SELECT author, list(item ORDER BY rank) AS items FROM common1 GROUP BY author), cn AS (SELECT author, list(item ORDER BY rank) AS items FROM commonc GROUP BY author),
+rep AS (SELECT author, list(item ORDER BY rank) AS items FROM common3 WHERE sample_presence >= 0.5 GROUP BY author)
+SELECT author, sample_count, total_words, confidence, features, array_to_string(figures, ' ') AS figures, coalesce(array_to_string(ph.items, ' '), '') AS terms, coalesce(array_to_string(cn.items[1:10], '|'), '') AS recurring_connectives, coalesce(array_to_string(rep.items, '|'), '') AS repeated_phrases
+FROM meta JOIN fig USING (author) LEFT JOIN ph USING (author) LEFT JOIN cn USING (author) LEFT JOIN rep USING (author)""")
 def profiles(spark, sf_dir):
     p = pf.build_profiles(documents(spark, sf_dir), "author", "uid")
-    return p.select("author", "sample_count", "total_words", "confidence", F.to_json("patterns").alias("patterns"), F.size("numbers").alias("features"))
+    figures = F.transform(F.array_sort(F.map_entries("numbers")), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(F.round(x["value"]["mean"] * 10000).cast("long").cast("string"), F.lit("")), F.lit(":"), x["value"]["n"].cast("string")))
+
+    def items(phrases, k: int = 100, sep: str = "|"):
+        return F.coalesce(F.array_join(F.slice(F.transform(phrases, lambda x: x["item"]), 1, k), sep), F.lit(""))
+
+    return p.select("author", "sample_count", "total_words", "confidence", F.size("numbers").cast("long").alias("features"), F.array_join(figures, " ").alias("figures"), items(F.col("common_terms"), sep=" ").alias("terms"), F.array_join(F.col("patterns")["recurring_connectives"], "|").alias("recurring_connectives"), items(F.col("patterns")["repeated_phrases"]).alias("repeated_phrases"))
 
 
 @query(sql.phrases(sql.top(1, 30)) + ", own AS (SELECT author, list(item ORDER BY rank) AS terms FROM common GROUP BY author), r AS (" + _REVISED_SQL.replace("SELECT doc_id,", "SELECT doc_id, source,") + ") SELECT doc_id, array_to_string(list_filter(terms, lambda t: length(t) > 3 AND regexp_matches(t, '^[\\p{L}]+$') AND contains(lower(original), t) AND NOT contains(lower(revised), t))[1:10], ' ') AS dropped FROM r JOIN own ON r.source = own.author")
@@ -331,28 +339,65 @@ def dropped_terms(spark, sf_dir):
     return r.select("doc_id", F.array_join(rv.dropped_terms(F.col("terms"), F.col("original"), F.col("revised")), " ").alias("dropped"))
 
 
-@query(sql.phrases(sql.top(1, 30)) + ", a AS (SELECT author, 0 AS part, rank, item FROM common WHERE sample_presence >= 0.9) SELECT author, string_agg(item, ' ' ORDER BY part, rank) AS terms FROM a GROUP BY author")
+_EXACT = ", a AS (SELECT author, 0 AS part, rank, item FROM common1 WHERE sample_presence >= 1 UNION ALL SELECT author, 1, rank, item FROM commonc WHERE sample_presence >= 1), one AS (SELECT author, item, min((part, rank)) AS first_at FROM a GROUP BY author, item) SELECT author, array_to_string(list(item ORDER BY first_at)[1:20], ' ') AS terms FROM one GROUP BY author"
+
+
+@query(sql.OVERLAP + _EXACT)
 def characteristic_terms(spark, sf_dir):
-    # no term of the tables is in all samples of a source, so those in nine of ten stand in
-    terms = pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 1).where("sample_presence >= 0.9").withColumn("sample_presence", F.lit(1.0))
-    return rv.characteristic_terms(terms, terms.limit(0), "author", 30).select("author", F.array_join("terms", " ").alias("terms"))
+    return _characteristic(documents(spark, sf_dir))
 
 
-@query()
+@query(sql.overlap(_SIGNED) + _EXACT)
+def characteristic_terms_of_signed_texts(spark, sf_dir):
+    return _characteristic(signed(spark, sf_dir))
+
+
+def _characteristic(texts: DataFrame) -> DataFrame:
+    terms, connectives = pf.common_phrases(texts, ["author"], "uid", 1), pf.common_connectives(texts, ["author"], "uid")
+    return rv.characteristic_terms(terms, connectives, "author").select("author", F.array_join("terms", " ").alias("terms"))
+
+
+@query(sql.WHOLE + f""", told AS (SELECT uid, author, dimension, metric, status, draft_value, low, high, difference FROM nrows)
+SELECT uid, author, dimension, metric, {sql.explained()} AS explanation FROM told""")
 def comparison_explanations(spark, sf_dir):
-    a = analysis_table(spark, sf_dir)
-    r = numeric_rows(a, numbers(a))
+    a = analysis_table(spark, sf_dir, PROFILE_COLUMNS)
+    r = cp.numeric_rows(pf.figures(a, ["uid", "author"]), numbers(a), ["uid"], "author")
     told = rp.metric_explanation(F.col("metric"), F.col("status"), F.col("draft_value"), F.col("low"), F.col("high"), F.col("difference"))
     return r.select("uid", "author", "dimension", "metric", told.alias("explanation"))
 
 
-@query()
+@query(sql.WHOLE + sql.summary())
 def comparison_summaries(spark, sf_dir):
-    a = analysis_table(spark, sf_dir)
-    n = materialise(numbers(a), "numbers")
-    d = documents(spark, sf_dir)
-    dims = cp.dimension_status(cp.all_rows(a, n, d, d, ["uid"], "author", "uid"), ["uid"])
-    meta = pf.profile_metadata(a, ["author"]).withColumnRenamed("confidence", "level")
-    facts = a.select("uid", "author", F.col("words").alias("draft_words")).join(meta, "author").select("uid", "sample_count", "total_words", "draft_words", cp.comparison_confidence(F.col("level"), F.col("draft_words")).alias("confidence"), F.lit(None).cast("string").alias("context_note"))
-    out = rp.summaries(dims, facts, ["uid"])
+    t = table(spark, sf_dir)
+    rows = cp.all_rows(t, t, ["uid"], "author", "uid")
+    out = rp.reports(rows, t, pf.profile_metadata(t, ["author"]), ["uid"], "author")
     return out.select("uid", F.array_join("summary", " ").alias("summary"), F.array_join("limitations", " ").alias("limitations"))
+
+
+#: Texts with decomposed accents, ligatures and full-width letters: the first step of every analysis, NFKC, changes them.
+@query("SELECT doc_id AS uid, nfc_normalize(text) = text AS composed, CAST(3 AS BIGINT) AS words FROM documents WHERE text IS NOT NULL")
+def normalised_counts(spark, sf_dir):
+    d = documents(spark, sf_dir).select("uid", tx.nfkc(F.col("text")).eqNullSafe(tx.lines(F.col("text"))).alias("composed"), F.lit("Cafe\u0301 \ufb01ne \uff21b").alias("text"))
+    return ft.analyze(d, only=["words"]).select("uid", "composed", "words")
+
+
+@query()
+def prompt_render(spark, sf_dir):
+    """The prompt of every document, with its source's profile and its own comparison."""
+    t = table(spark, sf_dir)
+    rows = materialise(cp.all_rows(t, t, ["uid"], "author", "uid"), "rows")
+    dims = cp.dimension_status(rows, ["uid"])
+    p = pf.profiles_of(t, "author", "uid").select("author", rp.profile_text(*(F.col(c) for c in ("numbers", "sample_count", "total_words", "context", "common_terms", "common_connectives"))).alias("profile"))
+    d = documents(spark, sf_dir).join(p, "author").join(rp.comparison_text(rows, dims, ["uid"]), "uid")
+    return d.select("uid", rv.prompt(F.col("text"), F.col("profile"), F.col("comparison_text"), F.lit("make it clearer"), "balanced").alias("prompt"))
+
+
+@query()
+def revision_validation(spark, sf_dir):
+    """revisions() checked as a whole: constraints, dropped terms and drift."""
+    own = pf.common_phrases(documents(spark, sf_dir), ["author"], "uid", 1).groupBy("author").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("terms"))
+    authors = documents(spark, sf_dir).select(F.col("uid").alias("doc_id"), "author")
+    moved = style_drift(spark, sf_dir).select(F.col("uid").alias("doc_id"), F.col("before").alias("status_before"), F.col("after").alias("status_after"))
+    r = revisions(spark, sf_dir).join(authors, "doc_id").join(own, "author").join(moved, "doc_id")
+    out = rv.validate_revision(r)
+    return out.select("doc_id", "passed", F.array_join("failures", "; ").alias("failures"), F.array_join("warnings", "; ").alias("warnings"), F.col("drift.drifted").alias("drifted"))

@@ -32,7 +32,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "lz4_raw").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkspan_path = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete a table of materialise() that nothing reads any more; other DataFrames pass."""
+    path = getattr(df, "_inkspan_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

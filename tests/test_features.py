@@ -75,14 +75,48 @@ def test_inventories(spark):
     tokens = iv.tokens_of(F.col("text"))
     top = [(r.id, r.item, r["count"]) for r in iv.top_items(df, tokens, ["id"], 2).orderBy("id", "rank").collect()]
     assert top[:2] == [(1, "b", 2), (1, "a", 2)]
-    grams = {(r.id, r.item): r["count"] for r in iv.counted(df, iv.word_ngrams(tokens, 2), ["id"]).collect()}
+    grams = {(r.id, r.item): r["count"] for r in iv.repeated_items(df, iv.word_ngrams(tokens, 2), ["id"], 1).collect()}
     assert grams[1, "b a"] == 2 and grams[1, "a b"] == 1 and grams[1, "a c"] == 1 and (2, "") not in grams
     found = {(r.id, r.item): r["count"] for r in iv.connective_counts(df, "text", ["id"]).collect()}
     assert found == {(3, "so"): 2, (3, "for example"): 1}
-    chars = {r.item: r["count"] for r in iv.counted(df.where("id = 1"), iv.char_ngrams(F.col("text"), 3), ["id"]).collect()}
+    chars = {r.item: r["count"] for r in iv.repeated_items(df.where("id = 1"), iv.char_ngrams(F.col("text"), 3), ["id"], 1).collect()}
     assert chars["b a"] == 2 and sum(chars.values()) == 7
 
 
+def test_inventories_match_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 80))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {}
+    for r in iv.top_items(df, iv.tokens_of(F.col("text")), ["id"], 4).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.item, r["count"]))
+    want = {i: Counter(t.split()).most_common(4) for i, t in texts.items() if t}  # ties by first place
+    assert got == want
+
+
+def test_only_what_is_asked_for_is_measured(spark):
+    df = spark.createDataFrame(list(TEXTS.items()), "name string, text string")
+    whole = {r.name: r.asDict() for r in ft.analyze(df).collect()}
+    for only in (["words"], ["characters", "mark_2"], ["flesch_reading_ease", "syllables"], ["per_100_1", "punctuation_density"], ["paragraphs", "average_sentences_per_paragraph"], ["transition_count", "nouns"]):
+        part = ft.analyze(df, only=only)
+        assert part.columns == ["name", *only]
+        assert all(r[c] == whole[r.name][c] for r in part.collect() for c in only)
+    plan = ft.analyze(df, only=["type_token_ratio"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "aeiouy" not in plan and "aeiouy" in ft.analyze(df, only=["syllables"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_analyse_once(spark):
+    """No filter on the words is pushed below the analysis, which would double it."""
+    from inkspan.operators import profile as pf
+
+    df = spark.createDataFrame([("a", "One two. Three."), ("a", " - ")], "author string, text string").repartition(4)
+    plan = pf.long_features(ft.analyze(df), ["author"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == pf.ft.analyze(df)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
 def test_order_of_rows_does_not_matter(spark):
     df = spark.createDataFrame(list(TEXTS.items()), "name string, text string")
     a, b = (sorted(map(str, ft.analyze(x).collect())) for x in (df, df.orderBy(F.desc("text")).repartition(5)))

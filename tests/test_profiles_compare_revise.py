@@ -91,7 +91,6 @@ def test_responses(spark):
 
 
 def test_revise_batch(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
     rows = [(1, "Keep 42 as it is today.", ""), (2, "  ", ""), (3, "Fine text.", "make this undetectable")]
     drafts = spark.createDataFrame([(k, d, "p", "c", r) for k, d, r in rows], "key int, draft string, profile_text string, comparison_text string, user_request string")
     got = {r.key: r for r in rv.revise_batch(drafts, pr.echo, 2).collect()}
@@ -133,7 +132,7 @@ def test_files(spark, tmp_path):
     good = dict.fromkeys(files.REQUIRED_KEYS, {}) | {"profile_version": "0.1.0", "metadata": {"sample_count": 1, "total_words": 9, "language": "en", "context": "general"}, "confidence": {"overall": "low"}}
     assert files.validate_profile(good) == []
     assert len(files.validate_profile(good | {"vocabulary": {"raw_text": "x", "y": float("nan")}})) == 2
-    assert files.check_compatibility("0.1.0", "0.0.9")["note"] and files.check_compatibility("9", "1")["status"] == "unsupported"
+    assert files.check_compatibility({"profile_version": "0.1.0", "metadata": {"analyzer_version": "0.0.9"}})[1] and files.check_compatibility({"profile_version": "9"})[0] == files.check_compatibility({})[0] == files.check_compatibility(3)[0] == "unsupported"
     assert files.to_json({"b": "é", "a": 1}) == '{"a": 1, "b": "é"}'
 
 
@@ -148,16 +147,127 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("analyzed").collect())) == [(1, 2, 1), (2, 2, 2)]
 
 
-def test_all_rows_of_a_draft(spark):
+def drafts_and_samples(spark):
     same = "However the quick fox runs home. The quick fox sleeps. The quick fox eats well."
-    samples = spark.createDataFrame([("a", i, same) for i in range(3)], "author string, sample_index int, text string")
-    drafts = spark.createDataFrame([("same", "a", same), ("none", "a", " "), ("other", "a", "Perhaps a small bird sings here. A small bird hides. A small bird flies off.")], "uid string, author string, text string")
-    numbers = pf.profile_numbers(pf.long_features(ft.analyze(samples), ["author"]), ["author"])
-    rows = cp.all_rows(ft.analyze(drafts), numbers, drafts, samples, ["uid"], "author", "sample_index").cache()
+    samples = spark.createDataFrame([("a", i, same) for i in range(3)] + [("a", 3, ""), ("b", 0, " ")], "author string, sample_index int, text string")
+    drafts = spark.createDataFrame([("same", "a", same), ("none", "a", " "), ("other", "a", "Perhaps a small bird sings here. A small bird hides. A small bird flies off."), ("lost", "b", same), ("null", "a", None)], "uid string, author string, text string")
+    return drafts, samples
+
+
+PHRASES = [("vocabulary", "shared_characteristic_terms"), ("cohesion", "shared_connectives"), ("ngrams", "common_bigrams"), ("ngrams", "common_trigrams")]
+
+
+def test_all_rows_of_a_draft(spark):
+    drafts, samples = drafts_and_samples(spark)
+    rows = cp.all_rows(pf.sample_table(drafts).cache(), pf.sample_table(samples).cache(), ["uid"], "author", "sample_index").cache()
     status = {(r.uid, r.dimension, r.metric): r.status for r in rows.collect()}
-    assert len(status) == rows.count() == 2 * 37 and {k[0] for k in status} == {"same", "other"}
-    phrases = [("vocabulary", "shared_characteristic_terms"), ("cohesion", "shared_connectives"), ("ngrams", "common_bigrams"), ("ngrams", "common_trigrams")]
-    assert [status["same", *p] for p in phrases] == ["close"] * 4
-    assert [status["other", *p] for p in phrases] == ["significantly_different"] * 4
+    assert len(status) == rows.count() == 4 * 37 and {k[0] for k in status} == {"same", "other", "none", "lost"}
+    assert [status["same", *p] for p in PHRASES] == ["close"] * 4
+    assert [status["other", *p] for p in PHRASES] == ["significantly_different"] * 4
+    assert {v for k, v in status.items() if k[0] in ("none", "lost")} == {"unavailable"}  # no words, and no profile
     dims = {(r.uid, r.dimension): r.status for r in cp.dimension_status(rows, ["uid"]).collect()}
     assert dims["same", "ngrams"] == "close" and dims["other", "ngrams"] == "significantly_different" and len({d for _, d in dims}) == 7
+
+
+def test_reports(spark):
+    from inkspan.operators import report as rp
+
+    drafts, samples = drafts_and_samples(spark)
+    got = {r.uid: r for r in rp.compare(drafts, samples, ["uid"], draft_context="academic").collect()}
+    assert set(got) == {"same", "none", "other", "lost"}
+    assert got["same"].status == "close" and got["other"].status != "close"
+    assert all(len(r.dimensions) == 7 and sum(len(d.metrics) for d in r.dimensions) == 37 and r.confidence == "low" for r in got.values())
+    assert got["none"].status == "unavailable" and got["none"].summary == ["The draft has no words, so nothing was compared."]
+    assert any("academic" in x for x in got["same"].limitations) and rp.CAUTION in got["none"].limitations
+    told = [m.explanation for d in got["other"].dimensions for m in d.metrics]
+    assert any("topic" in x for x in told) and all(told)
+    assert {r.status for r in rp.compare(drafts.where("uid = 'other'"), samples, ["uid"], weights=dict.fromkeys(cp.lx.DIMENSION_WEIGHTS, 0.0)).collect()} == {"unavailable"}
+
+
+def test_revision_checked_as_a_whole(spark):
+    rows = [("fine", "In 1999 the fox ran home.", "In 1999 the quick fox ran home.", ["home"], "close", "close"), ("away", "In 1999 the fox ran home.", "In 1999 the fox ran off.", ["home", "fox", "the"], "close", "moderately_different"), ("bad", "In 1999 the fox ran home.", "the fox ran home", [], None, "close"), ("empty", "In 1999 the fox.", " ", ["the"], "close", None), ("better", "a b c d", "a b c e", None, "significantly_different", "close")]
+    df = spark.createDataFrame(rows, "k string, original string, revised string, terms array<string>, status_before string, status_after string")
+    got = {r.k: r for r in rv.validate_revision(df).collect()}
+    assert got["fine"].passed and got["fine"].warnings == [] and not got["fine"].drift.drifted
+    assert got["away"].passed and got["away"].warnings == ["dropped characteristic term: home", "style drift away from the profile: close to moderately_different"] and got["away"].drift.drifted
+    assert not got["bad"].passed and "1999" in got["bad"].failures[0] and not got["bad"].drift.drifted
+    assert got["empty"].failures == ["empty revision"] and got["empty"].warnings == []
+    assert got["better"].drift[:2] == ("significantly_different", "close") and not got["better"].drift.drifted
+
+
+def test_revise_compares_again(spark):
+    same = "However the quick fox runs home. The quick fox sleeps. The quick fox eats well.\n"
+    samples = spark.createDataFrame([("a", i, same * 6) for i in range(3)], "author string, sample_index int, text string")
+    drafts = spark.createDataFrame([("d", "a", (same * 6).strip(), "be brief")], "key string, author string, draft string, user_request string")
+    (kept,) = rv.revise_drafts(drafts, samples, pr.echo).collect()
+    assert kept.passed and kept.revised == (same * 6).strip() and kept.drift.before == "close" and kept.drift.after is None
+    (moved,) = rv.revise_drafts(drafts, samples, pr.json_revision(lambda d: d + " extraordinarily complicated considerations" * 40)).collect()
+    assert moved.passed and moved.drift.after != "close" and moved.drift.drifted and any("drift" in w for w in moved.warnings)
+
+
+def test_profile_documents(spark, tmp_path):
+    texts = ["The quick fox runs. However, it stays, because it can; so it rests.", "The quick fox sleeps! However, it dreams, because it must; so it rests.", "The quick fox eats. However, it hides, because it may; so it rests."]
+    df = spark.createDataFrame([("me", i, t) for i, t in enumerate(texts)], "author string, sample_index int, text string")
+    row = pf.build_profiles(df).first().asDict(True)
+    doc = files.profile_document(row)
+    assert files.validate_profile(doc) == [] and list(doc) == list(files.REQUIRED_KEYS) or set(doc) == set(files.REQUIRED_KEYS)
+    assert doc["confidence"]["feature_coverage"]["vocabulary.type_token_ratio"] == 3 and len(doc["confidence"]["feature_coverage"]) == len(pf.FEATURES)
+    path = str(tmp_path / "p.json")
+    files.save_profile(doc, path)
+    raw = open(path, encoding="utf-8").read()
+    assert raw == json.dumps(doc, ensure_ascii=False, sort_keys=True, indent=2) + "\n" and all(t not in raw for t in texts)
+    numbers, wanted, metadata = files.profile_tables(spark, files.load_profile(path))
+    assert {r.feature: r["mean"] for r in numbers.collect()} == {k: v["mean"] for k, v in row["numbers"].items()}
+    draft = pf.sample_table(spark.createDataFrame([("x", "author", texts[0])], "uid string, author string, text string")).cache()
+    stored = {(r.dimension, r.metric): r.status for r in cp.rows_against(draft, numbers, wanted, ["uid"], "author").collect()}
+    samples = pf.sample_table(df.withColumn("author", F.lit("author"))).cache()
+    assert stored == {(r.dimension, r.metric): r.status for r in cp.all_rows(draft, samples, ["uid"], "author", "sample_index").collect()} and len(stored) == 37
+    assert metadata.first().sample_count == 3
+    for key in files.RAW_TEXT_KEYS:  # each forbidden key, at any depth
+        bad = json.loads(raw)
+        bad["patterns"]["x"] = [{key: "y"}]
+        assert files.validate_profile(bad) == [f"forbidden raw-sample key at profile.patterns.x[0].{key}"]
+        with pytest.raises(ValueError):
+            files.save_profile(bad, path)
+    for key in files.REQUIRED_KEYS:
+        assert files.validate_profile({k: v for k, v in doc.items() if k != key}) == [f"missing required key: {key}"]
+    assert files.validate_profile(doc | {"metadata": {}})[0] == "metadata missing key: sample_count"
+    (tmp_path / "p.json").write_text(raw.replace('"profile_version": "0.1.0"', '"profile_version": "9"'))
+    with pytest.raises(ValueError, match="profile_version"):
+        files.load_profile(path)
+
+
+def test_http_provider(monkeypatch):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code = {"limit": 429, "key": 401, "down": 500}.get(body["prompt"], 200)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b"not json" if body["prompt"] == "odd" else json.dumps({"content": [{"text": body["prompt"].upper() + self.headers["X-Key"]}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("INKSPAN_TEST_KEY", "!")
+    url = f"http://127.0.0.1:{server.server_port}/"
+    ask = pr.get_provider("http", url=url, headers_from={"X-Key": "INKSPAN_TEST_KEY"}, retries=0)
+    assert ask("hello") == "HELLO!"
+    for prompt, error in (("limit", pr.RateLimitError), ("key", pr.AuthenticationError), ("down", pr.ProviderError), ("odd", pr.InvalidResponseError)):
+        with pytest.raises(error):
+            ask(prompt)
+    with pytest.raises(pr.ConfigurationError):
+        pr.http_provider(url, {"X-Key": "INKSPAN_NO_SUCH_KEY"})("hello")
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(pr.ProviderError):
+        pr.post_json(url, {}, timeout=1)
+    assert pr.Capabilities(structured_output=True).output_kind() == "structured" and pr.Capabilities().output_kind() == "text-fallback"
+    assert pr.Capabilities(temperature=True).checked(temperature=0.5, max_tokens=None) == {"temperature": 0.5}
+    with pytest.raises(pr.UnsupportedCapabilityError):
+        pr.Capabilities().checked(temperature=0.5)
