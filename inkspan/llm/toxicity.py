@@ -1,19 +1,21 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 A text is read as windows of WINDOW words, each overlapping the next by half.
-A word's inputs are word inputs (how much it speaks for the label in the
-training texts), character inputs (the same for its character n-grams), and a
-trained embedding of its character n-grams.  Two gated recurrent units read a
-window in both directions, attention pools their states, and a logistic unit
-gives the window's score; a text's score is that of its highest window, over
-all windows of the whole text.
+The inputs of a word are a trained embedding of the word and trained embeddings
+of its character n-grams.  Two gated recurrent units read a window in both
+directions, attention pools their states, and a logistic unit gives the
+window's score; a text's score is that of its highest window, over all windows
+of the whole text.
 
 Training runs in numpy on the driver, on at most MOST_TOXIC toxic and
 MOST_CLEAN clean labelled rows (those whose hashed ids are least).  Of these, a
 row is left out if one earlier row of its label shares most of its min-hashes;
-there is no other limit.  The evidence counts that feed the inputs come from other
-training texts than the one at hand (cross-fitting).  A toxic text teaches by
-its most suspicious window, a clean one by its most suspicious and some others.
+there is no other limit.  Only whole texts are labelled, so the windows to learn
+from are chosen: in the first round by log odds of words and n-grams that are
+counted on other texts (these figures are no inputs), later by the network
+itself.  Embeddings start at zero and shrink with every step, so those of words
+and n-grams that few windows speak for stay zero and are left out of the model.
+Last, the bias is set so that THRESHOLD parts the training texts.
 
 Edge cases: a null or empty text, or one without words, scores 0; labels that
 are null are ignored, and a doc_id labelled more than once counts as toxic if
@@ -35,12 +37,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, ATTENTION, EMBEDDING, BUCKETS = 8, 8, 6, 2048
-GRAM = 4
+HIDDEN, ATTENTION = 8, 8
+#: Sizes of the trained embeddings of words and of character n-grams, and the n-grams' lengths.
+OF_WORDS, OF_GRAMS, GRAMS = 8, 8, (5, 6)
+#: A word or n-gram can have an embedding if so many training texts have it, or this share of the toxic ones' number.
+LEAST_TEXTS, LEAST_SHARE = 3, 0.03
+#: Rounds of choosing windows; passes over them in each, or as many as make STEPS steps in all, for small samples.
+ROUNDS, EPOCHS, STEPS = 3, 4, 300
+#: Learning rate and by how many powers of two it falls; an embedding's rate is so many times higher, and it shrinks as some windows can make it grow: KEEP of them, or a hundredth of the toxic texts.
+RATE, FALL, SPEED, KEEP, DECAY = 0.01, 2.5, 600.0, 2.0, 0.02
 THRESHOLD = 0.7
+#: Standard errors taken off a log odds ratio.
 ERRORS = 2.5
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
-#: Words whose inputs are remembered in a worker.
+#: Words whose inputs are remembered in a task.
 CACHE_WORDS = 300_000
 #: Words of texts that are scored together.
 AT_ONCE = 60_000
@@ -53,60 +63,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[str]:
+    """Character n-grams of a word between its marked ends; the word itself where it is shorter."""
     marked = f"^{word}$"
-    return [marked[i : i + GRAM] for i in range(max(1, len(marked) - GRAM + 1))]
-
-
-def evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    """What the log odds ratio is at least, ERRORS standard errors below its estimate; 0 if that is no evidence."""
-    if toxic < 3:
-        return 0.0
-    ratio = math.log((toxic + 0.5) / (all_toxic - toxic + 0.5)) - math.log((clean + 0.5) / (all_clean - clean + 0.5))
-    return max(0.0, ratio - ERRORS * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
-
-
-class Counts:
-    """In how many toxic and clean texts each item occurs."""
-
-    def __init__(self):
-        self.by = (Counter(), Counter())
-        self.n = [0, 0]
-
-    def add(self, items: set, label: int) -> None:
-        self.by[label].update(items)
-        self.n[label] += 1
-
-    def table(self) -> dict:
-        clean, toxic = self.by
-        found = {k: evidence(n, clean[k], self.n[1], self.n[0]) for k, n in toxic.items() if n >= 3}
-        return {k: v for k, v in found.items() if v > 0}
-
-
-class _Grams(dict):
-    """n-gram -> (evidence, bucket), remembered up to a limit."""
-
-    LIMIT = 200_000
-
-    def __init__(self, evidence_of: dict):
-        self.evidence_of = evidence_of
-
-    def __missing__(self, gram: str) -> tuple[float, int]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        found = self[gram] = (self.evidence_of.get(gram, 0.0), zlib.crc32(gram.encode()) % BUCKETS)
-        return found
+    return [marked[i : i + n] for n in GRAMS for i in range(max(1, len(marked) - n + 1))]
 
 
 class Inputs:
-    """The inputs of words: three figures of evidence and the buckets of its n-grams."""
+    """What the network reads of a word: its row among the known words (0: none), the rows of its known n-grams, and their share."""
 
-    def __init__(self, words: dict, grams: dict):
+    def __init__(self, words: dict[str, int], grams: dict[str, int]):
         self.words, self.grams = words, grams
-        self.known = _Grams(grams)
 
-    def __call__(self, word: str) -> tuple[list[float], list[int]]:
-        z, buckets = zip(*map(self.known.__getitem__, grams_of(word)), strict=True)
-        return [self.words.get(word, 0.0), max(z), sum(z) / len(z)], list(buckets)
+    def __call__(self, word: str) -> tuple[int, list[int], float]:
+        own = grams_of(word)
+        return self.words.get(word, 0), [self.grams[g] for g in own if g in self.grams], len(own) ** -0.5
 
 
 def windows(n: int) -> list[int]:
@@ -118,14 +88,15 @@ def sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def new_parameters(seed: int = 7) -> dict[str, np.ndarray]:
+def new_parameters(words: int, grams: int, seed: int = 2) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    d, h, a = 3 + EMBEDDING, HIDDEN, ATTENTION
+    d, h, a = OF_WORDS + OF_GRAMS, HIDDEN, ATTENTION
 
     def weights(*shape):
         return (rng.standard_normal(shape) / math.sqrt(shape[0])).astype(np.float32)
 
-    p = {"E": (0.1 * rng.standard_normal((BUCKETS, EMBEDDING))).astype(np.float32)}
+    p = {"V": np.zeros((words + 1, OF_WORDS), np.float32), "E": np.zeros((grams, OF_GRAMS), np.float32)}
+    p["V"][0] = 0
     for k in "fb":
         p |= {f"W{k}": weights(d, 3 * h), f"c{k}": np.zeros(3 * h, np.float32), f"U{k}": weights(h, 3 * h)}
     return p | {"A": weights(2 * h, a), "v": weights(a), "w": weights(2 * h), "o": np.full(1, -1, np.float32)}
@@ -182,16 +153,17 @@ def forward(p, xf, xb, mask):
     return _pool(np.concatenate([a, b], axis=2), mask, p)[0]
 
 
-def loss_and_gradients(p, figures, grams, spread, mask, labels, weights):
+def loss_and_gradients(p, words, grams, spread, mask, labels, weights):
     """Weighted logistic loss of windows, and its gradients.
 
-    figures (steps, windows, 3); grams says which step of which window has which n-gram bucket, spread with what share.
+    words (steps, windows) are rows of V; grams says which step of which window has which row of E, spread with what share.
     """
-    steps, n, _ = figures.shape
-    x = np.zeros((steps * n, 3 + EMBEDDING), np.float32)
-    x[:, :3] = figures.reshape(steps * n, 3)
-    for k in range(EMBEDDING):
-        x[:, 3 + k] = np.bincount(grams[0], p["E"][grams[1], k] * spread, steps * n)
+    steps, n = words.shape
+    rows = words.reshape(-1)
+    x = np.zeros((steps * n, OF_WORDS + OF_GRAMS), np.float32)
+    x[:, :OF_WORDS] = p["V"][rows]
+    for k in range(OF_GRAMS):
+        x[:, OF_WORDS + k] = np.bincount(grams[0], p["E"][grams[1], k] * spread, steps * n)
     xf, xb = ((x @ p[f"W{k}"] + p[f"c{k}"]).reshape(steps, n, -1) for k in "fb")
     a, kept_a = _read(xf, mask, p["Uf"], False, True)
     b, kept_b = _read(xb, mask, p["Ub"], True, True)
@@ -214,7 +186,10 @@ def loss_and_gradients(p, figures, grams, spread, mask, labels, weights):
         d = d.reshape(steps * n, -1)
         g[f"W{k}"], g[f"c{k}"] = x.T @ d, d.sum(axis=0)
         dx += d @ p[f"W{k}"].T
-    g["E"] = np.stack([np.bincount(grams[1], dx[grams[0], 3 + k] * spread, BUCKETS) for k in range(EMBEDDING)], axis=1).astype(np.float32)
+    for k, of, share, at, first, size in (("V", rows, None, None, 0, OF_WORDS), ("E", grams[1], spread, grams[0], OF_WORDS, OF_GRAMS)):
+        own, inverse = np.unique(of, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        g[k] = own, np.stack([np.bincount(inverse, dx[:, first + i] if at is None else dx[at, first + i] * share, len(own)) for i in range(size)], axis=1).astype(np.float32)
     return loss, g
 
 
@@ -241,77 +216,160 @@ def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[list[str], in
     return out
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 128, seed: int = 7) -> dict | None:
-    """The model fitted to (text, label) rows: parameters and evidence tables; None without both labels."""
-    texts, labels = [], []
-    same: dict[str, str] = {}  # one string object for each word and n-gram
-    for w, label in without_near_copies(rows):
-        texts.append([same.setdefault(x, x) for x in w])
-        labels.append(label)
-    if len(set(labels)) < 2:
-        return None
-    folds = 4
-    fold = [0] * len(texts)
-    for label in (0, 1):
-        for i, k in enumerate(k for k, y in enumerate(labels) if y == label):
-            fold[k] = i % folds
-    sets = [(set(w), {same.setdefault(g, g) for x in set(w) for g in grams_of(x)}) for w in texts]
-
-    def inputs_without(f: int | None) -> Inputs:
-        words, grams = Counts(), Counts()
-        for k, (a, b) in enumerate(sets):
-            if f is None or fold[k] != f:
-                words.add(a, labels[k])
-                grams.add(b, labels[k])
-        return Inputs(words.table(), grams.table())
+class Lexicon:
+    """The training texts as numbers of their distinct words, and the words' n-grams as numbers."""
+
+    def __init__(self, texts: list[list[str]]):
+        words: dict[str, int] = {}
+        grams: dict[str, int] = {}
+        self.texts = [np.fromiter((words.setdefault(w, len(words)) for w in t), np.int32, len(t)) for t in texts]
+        own = [[grams.setdefault(g, len(grams)) for g in grams_of(w)] for w in words]
+        self.words, self.names = list(words), list(grams)
+        self.sizes = np.array([len(g) for g in own])
+        self.share = (self.sizes**-0.5).astype(np.float32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.grams = np.array([g for x in own for g in x], np.int32)
+        self.words_in = [np.unique(t) for t in self.texts]
+        self.grams_in = [np.unique(self.grams[self._places(t)]) for t in self.words_in]
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        n = self.sizes[words]
+        return np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def held(self, of: list[np.ndarray], which, size: int) -> np.ndarray:
+        """How many of the texts `which` hold each word or n-gram."""
+        return np.bincount(np.concatenate([of[i] for i in which] or [np.zeros(0, np.int32)]), minlength=size)
+
+    def suspicious_windows(self, labels: np.ndarray, folds: int = 4) -> list[list[int]]:
+        """Each text's windows, the most suspicious first, by log odds of words and n-grams in the other folds' texts."""
+        out: list = [None] * len(self.texts)
+        for f in range(folds):
+            others = [i for i in range(len(labels)) if i % folds != f]
+            n = [[i for i in others if labels[i] == y] for y in (0, 1)]
+            words, grams = (least_log_odds(self.held(of, n[1], size), self.held(of, n[0], size), len(n[1]), len(n[0])) for of, size in ((self.words_in, len(self.words)), (self.grams_in, len(self.names))))
+            speaks = np.maximum(words, np.maximum.reduceat(grams[self.grams], self.starts))
+            for i in range(f, len(labels), folds):
+                z = speaks[self.texts[i]]
+                out[i] = np.argsort([-float(np.sort(z[s : s + WINDOW])[-2:].sum()) for s in windows(len(z))], kind="stable").tolist()
+        return out
+
+    def keep(self, least: int) -> tuple[dict[str, int], dict[str, int]]:
+        """Rows of V (from 1 on) and of E of the words and n-grams that at least so many texts hold; other n-grams are forgotten."""
+        every = range(len(self.texts))
+        words, grams = np.flatnonzero(self.held(self.words_in, every, len(self.words)) >= least), np.flatnonzero(self.held(self.grams_in, every, len(self.names)) >= least)
+        self.rows, rows = np.zeros(len(self.words), np.int64), np.full(len(self.names), -1)
+        self.rows[words], rows[grams] = np.arange(1, len(words) + 1), np.arange(len(grams))
+        known = rows[self.grams] >= 0
+        self.sizes = np.add.reduceat(known.astype(np.int64), self.starts)
+        self.grams, self.starts = rows[self.grams[known]], np.cumsum(self.sizes) - self.sizes
+        return {self.words[w]: i for i, w in enumerate(words.tolist(), 1)}, {self.names[g]: i for i, g in enumerate(grams.tolist())}
+
+    def gather(self, words: np.ndarray, used: np.ndarray):
+        """(rows of V, n-grams, their shares) of a (steps, windows) array of words, where used; after keep()."""
+        at = np.flatnonzero(used.reshape(-1))
+        w = words.reshape(-1)[at]
+        n = self.sizes[w]
+        return np.where(used, self.rows[words], 0), (np.repeat(at, n), self.grams[self._places(w)]), np.repeat(self.share[w], n)
+
+
+def least_log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Log odds ratios, ERRORS standard errors below their estimates; 0 where that is no evidence."""
+    ratio = np.log((toxic + 0.5) / (all_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (all_clean - clean + 0.5))
+    return np.maximum(0, ratio - ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+
+
+def _window(text: np.ndarray, start: int) -> np.ndarray:
+    out = np.full(WINDOW, -1, np.int64)
+    part = text[start : start + WINDOW]
+    out[: len(part)] = part
+    return out
 
+
+def train(rows: list[tuple[str, int]], rounds: int = ROUNDS, batch: int = 128, seed: int = 2) -> dict | None:
+    """The model fitted to (text, label) rows: parameters and the known words; None without both labels.
+
+    The first round reads the most suspicious windows, each later one those that the network itself finds most
+    toxic: of a toxic text that one, of a clean text also a random one.
+    """
+    found = without_near_copies(rows)
+    labels = np.array([y for _, y in found])
+    if len(set(labels.tolist())) < 2:
+        return None
+    words = [w for w, _ in found]
+    lexicon = Lexicon(words)
+    suspicious = lexicon.suspicious_windows(labels)
+    inputs = Inputs(*lexicon.keep(max(LEAST_TEXTS, int(LEAST_SHARE * labels.sum()))))
+    keep = min(KEEP, max(0.5, labels.sum() / 100))
     rng = np.random.default_rng(seed)
-    by_fold = [inputs_without(f) for f in range(folds)]
-    figures, gram_lists, lengths, targets = [], [], [], []
-    for k, w in enumerate(texts):
-        known: dict = {}
-        inputs = by_fold[fold[k]]
-        own = [known.get(x) or known.setdefault(x, inputs(x)) for x in w]
-        z = np.array([max(f[0], f[1]) for f, _ in own])
-        starts = windows(len(w))
-        suspicion = [float(np.sort(z[s : s + WINDOW])[-2:].sum()) for s in starts]
-        order = np.argsort(suspicion, kind="stable")[::-1].tolist()
-        chosen = order[:1] if labels[k] else list(dict.fromkeys(order[:2] + rng.choice(len(starts), 1).tolist()))
-        for i in chosen:
-            part = own[starts[i] : starts[i] + WINDOW]
-            f = np.zeros((WINDOW, 3), np.float32)
-            f[: len(part)] = [x for x, _ in part]
-            figures.append(f)
-            gram_lists.append([g for _, g in part])
-            lengths.append(len(part))
-            targets.append(labels[k])
-    figures, lengths, targets = np.array(figures), np.array(lengths), np.array(targets, np.float32)
-    weight = np.ones(len(targets))
-    p = new_parameters(seed)
-    first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    epochs = max(epochs, min(60, -(-300 * batch // len(targets))))  # 300 steps at least, for small samples
-    for epoch in range(epochs):
-        order = rng.permutation(len(targets))
-        for at in range(0, len(order), batch):
-            b = order[at : at + batch]
-            where, bucket, spread = [], [], []
-            for row, i in enumerate(b.tolist()):
-                for t, g in enumerate(gram_lists[i]):
-                    where += [t * len(b) + row] * len(g)
-                    bucket += g
-                    spread += [1 / len(g)] * len(g)
-            mask = (np.arange(WINDOW)[:, None] < lengths[b][None, :]).astype(np.float32)[:, :, None]
-            _, g = loss_and_gradients(p, figures[b].transpose(1, 0, 2), (np.array(where), np.array(bucket)), np.array(spread, np.float32), mask, targets[b], weight[b] / len(b))
-            step += 1
-            rate = 0.02 * min(1.0, step / 20) * 0.5 ** (2.5 * epoch / epochs)
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k in p:
-                d = g[k] * min(1.0, 1.0 / (norm + 1e-9)) + (5e-3 if k == "E" else 3e-4) * p[k]
-                first[k] += 0.1 * (d - first[k])
-                second[k] += 0.01 * (d * d - second[k])
-                p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    final = inputs_without(None)
-    return {"p": p, "words": final.words, "grams": final.grams}
+    p = new_parameters(len(inputs.words), len(inputs.grams), seed)
+    first, second, step = {k: np.zeros_like(v) for k, v in p.items() if k not in "VE"}, {k: np.zeros_like(v) for k, v in p.items() if k not in "VE"}, 0
+    alive = {k: np.zeros(len(p[k]), bool) for k in "VE"}
+    for turn in range(rounds):
+        chosen, targets, weight = [], [], []
+        tops = None if turn == 0 else Scorer({"p": p, "words": inputs.words, "grams": inputs.grams}).tops(words)
+        for i, text in enumerate(lexicon.texts):
+            starts = windows(len(text))
+            if turn == 0:
+                own = suspicious[i][:1] if labels[i] else [*suspicious[i][:1], int(rng.integers(len(starts)))]
+            else:
+                own = [tops[i]] if labels[i] else [tops[i], int(rng.integers(len(starts)))]
+            for k in own:
+                chosen.append(_window(text, starts[k]))
+                targets.append(labels[i])
+                weight.append(1 / len(own))
+        windowed, targets, weight = np.array(chosen), np.array(targets, np.float32), np.array(weight, np.float32)
+        weight[targets > 0] *= min(3.0, weight[targets == 0].sum() / weight[targets > 0].sum())
+        epochs = max(EPOCHS, min(40, -(-STEPS * batch // len(targets))))
+        for epoch in range(epochs):
+            order = rng.permutation(len(targets))
+            for at in range(0, len(order), batch):
+                b = order[at : at + batch]
+                own = windowed[b].T
+                used = own >= 0
+                rows_of, grams, spread = lexicon.gather(np.maximum(own, 0), used)
+                _, g = loss_and_gradients(p, rows_of, grams, spread, used.astype(np.float32)[:, :, None], targets[b], weight[b] / weight[b].sum())
+                step += 1
+                rate = RATE * min(1.0, step / 20) * 0.5 ** (FALL * (epoch + turn * epochs) / (rounds * epochs))
+                shrink = rate * SPEED * keep / len(targets)
+                norm = math.sqrt(sum(float((x * x).sum()) for k, x in g.items() if k not in "VE"))
+                for k in "VE":
+                    own, slope = g.pop(k)
+                    p[k][own] -= rate * SPEED * slope
+                    alive[k][own] = True
+                    at_k = np.flatnonzero(alive[k])
+                    size = np.sqrt((p[k][at_k] ** 2).sum(axis=1, keepdims=True))
+                    p[k][at_k] *= np.maximum(0, 1 - shrink / np.maximum(size, 1e-9))
+                    alive[k][at_k] = size[:, 0] > shrink
+                p["V"][0] = 0  # words without a row of their own
+                for k in g:
+                    d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
+                    first[k] += 0.1 * (d - first[k])
+                    second[k] += 0.01 * (d * d - second[k])
+                    p[k] -= (rate * ((first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6) + DECAY * p[k])).astype(np.float32)
+    model = _pruned(p, inputs)
+    scorer = Scorer(model)
+    highest = np.concatenate([scorer.scores(words[i : i + 200], raw=True) for i in range(0, len(words), 200)])
+    p["o"] += math.log(THRESHOLD / (1 - THRESHOLD)) - parting(highest, labels)
+    return model
+
+
+def parting(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The logit that parts the labels with the fewest errors, each label counting alike, amid its gap."""
+    order = np.argsort(logits, kind="stable")
+    z, y = logits[order], labels[order] > 0
+    errors = np.concatenate([[0], np.cumsum(y / y.sum())]) + np.concatenate([np.cumsum((~y / (~y).sum())[::-1])[::-1], [0]])
+    edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+    errors[1:-1][z[1:] <= z[:-1]] = np.inf  # no cut between equal logits
+    i = int(np.argmin(errors))
+    return float(edges[i] + edges[i + 1]) / 2
+
+
+def _pruned(p: dict, inputs: Inputs) -> dict:
+    """The model with the rows that training left different from zero."""
+    words = {w: i for w, i in inputs.words.items() if p["V"][i].any()}
+    grams = {g: i for g, i in inputs.grams.items() if p["E"][i].any()}
+    p = p | {"V": p["V"][[0, *words.values()]], "E": p["E"][list(grams.values())].reshape(-1, OF_GRAMS)}
+    return {"p": p, "words": {w: k for k, w in enumerate(words, 1)}, "grams": {g: k for k, g in enumerate(grams)}}
 
 
 class Scorer:
@@ -325,27 +383,25 @@ class Scorer:
             self.inputs = Inputs(model["words"], model["grams"])
             self.w = np.concatenate([p["Wf"], p["Wb"]], axis=1)
             self.c = np.concatenate([p["cf"], p["cb"]])
-            self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
+            self.table = np.empty((0, 6 * HIDDEN), np.float32)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.rows) + len(new) > CACHE_WORDS:
-            self.rows = {}
         found = [self.inputs(word) for word in new]
-        x = np.empty((len(new), 3 + EMBEDDING), np.float32)
-        x[:, :3] = [f for f, _ in found]
-        sizes = np.array([len(g) for _, g in found])
-        x[:, 3:] = np.add.reduceat(self.p["E"][np.concatenate([g for _, g in found])], np.cumsum(sizes) - sizes) / sizes[:, None]
+        x = np.zeros((len(new), OF_WORDS + OF_GRAMS), np.float32)
+        x[:, :OF_WORDS] = self.p["V"][[v for v, _, _ in found]]
+        for k, (_, grams, share) in enumerate(found):
+            if grams:
+                x[k, OF_WORDS:] = self.p["E"][grams].sum(axis=0) * share
         at = len(self.rows)
-        while len(self.table) < at + len(new):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if not len(self.table):  # pages are touched as they are filled
+            self.table = np.empty((CACHE_WORDS + AT_ONCE, 6 * HIDDEN), np.float32)
+        if at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[:at], np.empty((len(new), 6 * HIDDEN), np.float32)])
         self.table[at : at + len(new)] = x @ self.w + self.c
         self.rows.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Scores of texts given as words."""
-        out = np.zeros(len(texts))
-        if not self.model:
-            return out
+    def _windows(self, texts: list[list[str]]):
+        """(text, logit) of all windows, in order."""
         every = set().union(*texts) if texts else set()
         if len(every) + len(self.rows) > CACHE_WORDS:
             self.rows = {}
@@ -361,14 +417,32 @@ class Scorer:
                 owner.append(np.full(len(starts), i))
                 lengths.append(np.full(len(starts), min(len(w), WINDOW)))
         if not index:
-            return out
+            return
         index, owner, lengths = np.concatenate(index), np.concatenate(owner), np.concatenate(lengths)
         for at in range(0, len(index), 2048):
             k = slice(at, at + 2048)
             x = self.table[np.ascontiguousarray(index[k].T)]
             mask = (np.arange(WINDOW)[:, None] < lengths[k][None, :]).astype(np.float32)[:, :, None]
-            q = sigmoid(forward(self.p, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask))
-            np.maximum.at(out, owner[k], q)
+            yield owner[k], forward(self.p, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask)
+
+    def scores(self, texts: list[list[str]], raw: bool = False) -> np.ndarray:
+        """Scores of texts given as words: that of the highest window."""
+        out = np.full(len(texts), -np.inf)
+        if self.model:
+            for owner, logit in self._windows(texts):
+                np.maximum.at(out, owner, logit)
+        return out if raw else sigmoid(out)
+
+    def tops(self, texts: list[list[str]], at_once: int = 200) -> list[int]:
+        """The number of each text's highest window."""
+        out = []
+        for i in range(0, len(texts), at_once):
+            own = texts[i : i + at_once]
+            found = list(self._windows(own))
+            owner, logit = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+            order = np.lexsort((-logit, owner))
+            begins = np.searchsorted(owner, np.arange(len(own)))
+            out += (order[begins] - begins).tolist()
         return out
 
 

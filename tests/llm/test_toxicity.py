@@ -21,14 +21,19 @@ def made(rng, n, bad):
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
-    p = {k: v.astype(np.float64) for k, v in tox.new_parameters(3).items()}
+    p = {k: v.astype(np.float64) for k, v in tox.new_parameters(6, 9, 3).items()}
+    p["V"], p["E"] = rng.standard_normal(p["V"].shape) / 5, rng.standard_normal(p["E"].shape) / 5
     n, steps = 3, 5
-    figures = rng.standard_normal((steps, n, 3))
-    where, bucket = np.repeat(np.arange(n * steps), 2), rng.integers(0, tox.BUCKETS, 2 * n * steps)
+    words = rng.integers(1, 7, (steps, n))
+    where, bucket = np.repeat(np.arange(n * steps), 2), rng.integers(0, 9, 2 * n * steps)
     mask = (np.arange(steps)[:, None] < np.array([5, 3, 1])[None, :]).astype(float)[:, :, None]
-    args = (figures, (where, bucket), np.full(len(where), 0.5), mask, np.array([1.0, 0, 1]), np.array([1.0, 2, 0.5]))
+    args = (words, (where, bucket), np.full(len(where), 0.5), mask, np.array([1.0, 0, 1]), np.array([1.0, 2, 0.5]))
     _, g = tox.loss_and_gradients(p, *args)
-    for k, i in [("E", (int(bucket[0]), 2)), ("Wf", (1, 4)), ("Wb", (4, 20)), ("cf", (3,)), ("Uf", (2, 9)), ("Ub", (5, 17)), ("A", (3, 2)), ("v", (4,)), ("w", (11,)), ("o", (0,))]:
+    for k in "VE":  # gradients of embeddings come as (rows, values)
+        own, values = g[k]
+        g[k] = np.zeros_like(p[k])
+        g[k][own] = values
+    for k, i in [("E", (int(bucket[0]), 2)), ("V", (int(words[0, 1]), 4)), ("Wf", (1, 4)), ("Wb", (4, 20)), ("cf", (3,)), ("Uf", (2, 9)), ("Ub", (5, 17)), ("A", (3, 2)), ("v", (4,)), ("w", (11,)), ("o", (0,))]:
         kept = p[k][i]
         losses = []
         for d in (1e-2, -1e-2):
@@ -72,6 +77,22 @@ def test_held_out_accuracy_and_spark(spark):
     assert kept.columns == [*docs.columns, "toxic_score", "is_toxic"]
 
 
+def test_one_toxic_word_among_rare_ones_is_learned():
+    rng = np.random.default_rng(9)
+    bad = rng.random(600) < 0.3
+    texts = made(rng, 600, bad)
+    model = tox.train(list(zip(texts[:400], bad[:400].astype(int).tolist(), strict=True)))
+    assert "zounds" in model["words"] and len(model["words"]) < 200  # rare words of toxic texts have no embedding
+    scores = tox.Scorer(model).scores([tox.words_of(t) for t in texts[400:]])
+    assert np.mean((scores >= tox.THRESHOLD) == bad[400:]) > 0.97
+    # without its embeddings the network knows nothing
+    blank = model | {"p": model["p"] | {"V": 0 * model["p"]["V"], "E": 0 * model["p"]["E"]}}
+    assert len(set(np.round(tox.Scorer(blank).scores([tox.words_of(t) for t in texts[400:] if len(t) > 400]), 6))) == 1
+    # the place of a word within the window matters, so the units are in use
+    a, b = tox.Scorer(model).scores([["suta"] * 10 + ["zounds"] + ["mi"] * 20, ["zounds"] + ["suta"] * 10 + ["mi"] * 20])
+    assert a != b
+
+
 def test_near_copies_are_left_out_by_label_and_row():
     from inkspan.llm.toxicity import without_near_copies
 
