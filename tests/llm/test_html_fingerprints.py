@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from inkspan.llm.fingerprints import edited, fingerprint, fingerprints, likeness, sample, shingle_hashes, with_next
+from inkspan.llm import htmltext
 from inkspan.llm.htmltext import extract, extract_pages
 
 ARTICLE = "<h1>Title here</h1><p>First para,\n with  <b>bold</b> text&amp;more.</p><p>Second&nbsp;one, it is <a href='/x'>linked</a>.<br>After break."
@@ -25,6 +26,66 @@ def test_extract():
     assert extract("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>") == "one two a b c"
 
 
+LINE = "Some words stand here, and they go on for a while. They end here."
+
+
+def test_ratios_decide_and_names_only_break_ties():
+    p = f"<p>{LINE}</p>"
+    for page, want in [
+        (f'<nav><a href=x>m</a></nav><article class="post related-post"><h1>T</h1>{p}</article>', f"T {LINE}"),
+        (f'<div class="content notice">{p}{p}</div>', f"{LINE} {LINE}"),
+        (f'<article><h1>T</h1>{p}<div class="search-term-alert">{p}</div></article>', f"T {LINE} {LINE}"),
+        (f"<main><article><h1>A</h1>{p}</article><article><h1>B</h1>{p}</article></main>", f"A {LINE} B {LINE}"),
+        (f"<article>{p}<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>{p}</article>", f"{LINE} one two {LINE}"),
+        ('<div class="ad">Buy this now, it is good. Buy, buy, and buy it again.</div><div><p>First line, here.</p><p>Second line.</p></div>', "First line, here. Second line."),
+        (f"<div>Buy this now, it is good. Buy, buy, and buy.</div><div><h2>T</h2>{p * 4}</div>", " ".join(["T", *[LINE] * 4])),
+        (f'<div class="comments">{p}</div><article></article>', ""),
+        (f'<div class="page with-sidebar">{p}{p}<div class=sidebar>x, y. z</div></div>', f"{LINE} {LINE}"),
+        (f"<article><p>One, two.</p><div class=ad>{LINE}</div><section class=comments>{p * 9}</section></article>", "One, two."),
+        (f"<main><h1 id=search-options>Search</h1>{p}<div class=related><a href=1>More, more.</a></div></main>", f"Search {LINE}"),
+        ("<p>only text", "only text"),
+    ]:
+        assert extract(f"<html><body>{page}</body></html>") == want, page
+
+
+def test_path_ratios_match_brute_force():
+    """Paths as whole strings, sums and smoothing spelled out."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    page = "".join(rng.choice(["<div>", "</div>", "<p class=a>", "<p class=b>", "</p>", "<li>", "</li>", "one, two. ", "three! four ", "x"]) for _ in range(400))
+    p = htmltext._Page(page)
+    full = [(e, t) for e, t, _ in p.texts if t.strip()]
+
+    def path(e):
+        return "" if e == 0 else path(p.parents[e]) + "/" + next(shown for (_, shown), n in p.known.items() if n == p.paths[e])
+
+    names = [path(e) for e, _ in full]
+    series = []
+    for f in (lambda t: len(t.strip()), lambda t: sum(c in ".,;:!?" for c in t)):
+        mean = {n: [f(t) for m, (_, t) in zip(names, full, strict=True) if m == n] for n in set(names)}
+        raw = [sum(mean[n]) / len(mean[n]) for n in names]
+        kernel = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
+        series.append([sum(k * raw[min(max(i + d, 0), len(raw) - 1)] for k, d in zip(kernel, range(-2, 3), strict=True)) / sum(kernel) for i in range(len(raw))])
+    want = [a * (1 + b) for a, b in zip(*series, strict=True)]
+    elements = np.array([e for e, _ in full])
+    got = htmltext.path_ratios(np.array(p.paths)[elements], np.array([len(t.strip()) for _, t in full], float), np.array([len(htmltext.PUNCTUATION.findall(t)) for _, t in full], float))
+    assert np.allclose(got, want) and len(set(names)) > 5
+    mean = sum(want) / len(want)
+    least = min(htmltext.DEVIATIONS * (sum((x - mean) ** 2 for x in want) / len(want)) ** 0.5, max(want))
+    assert htmltext.selected(got).tolist() == [x >= least - 1e-9 for x in want]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ('<p a="x' * 150_000, "<p a='" * 170_000, '<i b="y\'>' * 100_000, "<div>" * 200_000 + "text", "<b>" * 100_000 + "x" + "<ul></ul>" * 60_000, "<div>x" * 160_000, "<" * 1_000_000, "<ul>" + "<li><b>x" * 120_000, "<p " + 'a="1" ' * 160_000 + ">t", '<p ' + '"' * 1_000_000 + ">", "<!--" * 250_000, "</p>" * 250_000):
+        began = time.process_time()
+        extract(page)
+        assert time.process_time() - began < 2, page[:20]
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")]
     pages = spark.createDataFrame([(*r, "t", 9) for r in rows], "page_id long, url string, html string, text string, n_chars int")
