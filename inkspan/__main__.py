@@ -20,6 +20,9 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("analyze", help="the analysis record of each file, as JSON lines")
     a.add_argument("paths", nargs="+")
     a.add_argument("--pretty", action="store_true")
+    a.add_argument("--top-k", type=int, default=20)
+    a.add_argument("--character-ngrams", type=int, metavar="N")
+    a.add_argument("--language", default="en")
     b = sub.add_parser("profile", help="a profile document of all files")
     b.add_argument("paths", nargs="+")
     b.add_argument("--context", default="general")
@@ -104,8 +107,8 @@ def _with_spark(args, settings) -> int:
 
     from inkspan.functions import providers
     from inkspan.operators import compare as cp
-    from inkspan.operators import features as ft
     from inkspan.operators import profile as pf
+    from inkspan.operators import record as rc
     from inkspan.operators import report as rp
     from inkspan.operators import revise as rv
     from inkspan.sources import config, files
@@ -119,7 +122,7 @@ def _with_spark(args, settings) -> int:
         return files.read_texts(spark, paths).select(one, "sample_index", "text")
 
     if args.command == "analyze":
-        for r in ft.analyze(files.read_texts(spark, args.paths)).toLocalIterator():
+        for r in rc.analysis_records(files.read_texts(spark, args.paths), "text", args.top_k, args.character_ngrams is not None, args.character_ngrams or 3, args.language).toLocalIterator():
             print(files.to_json(r.asDict(True), args.pretty))
     elif args.command == "profile":
         made = pf.build_profiles(samples_of(args.paths), context=args.context, top_k=args.top_k).collect()  # one author

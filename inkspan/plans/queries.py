@@ -16,6 +16,7 @@ from inkspan.operators import compare as cp
 from inkspan.operators import features as ft
 from inkspan.operators import inventory as iv
 from inkspan.operators import profile as pf
+from inkspan.operators import record as rc
 from inkspan.operators import report as rp
 from inkspan.operators import revise as rv
 from inkspan.plans import oracle as sql
@@ -381,6 +382,18 @@ def normalised_counts(spark, sf_dir):
     return ft.analyze(d, only=["words"]).select("uid", "composed", "words")
 
 
+@query(f"WITH {sql.DOCUMENTS}, tok AS (SELECT uid, unnest(list_transform(regexp_extract_all(clean, {sql.W}), lambda w: lower(w))) AS item FROM d) SELECT uid, item, count(*) AS count FROM tok WHERE list_contains([{', '.join(map(sql.q, lx.PRONOUNS))}], item) GROUP BY uid, item")
+def pronoun_counts(spark, sf_dir):
+    d = documents(spark, sf_dir).select("uid", F.explode_outer(rc.pronoun_counts(iv.tokens_of(F.col("text")))).alias("x"))
+    return d.where("x is not null").select("uid", "x.item", "x.count")
+
+
+@query(sql.features() + " SELECT uid, words, sentences, flesch_reading_ease AS ease, unique_words, transition_count, punctuation_total, CAST(20 AS INTEGER) AS top_k FROM f")
+def analysis_records(spark, sf_dir):
+    r = rc.analysis_records(documents(spark, sf_dir).select("uid", "text"))
+    return r.select("uid", "basic.words", "sentence_structure.count", "readability.flesch_reading_ease", "vocabulary.unique_words", "linguistic.transition_count", "punctuation.total", "ngrams.top_k").toDF("uid", "words", "sentences", "ease", "unique_words", "transition_count", "punctuation_total", "top_k")
+
+
 @query()
 def prompt_render(spark, sf_dir):
     """The prompt of every document, with its source's profile and its own comparison."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session names none (tests on one machine) a temporary folder."""
+    """spark.checkpoint.dir; only where the session names none and runs on one machine (tests) a temporary folder."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = getattr(spark, "_inkspan_scratch", None)
     if at is None:
         at = spark._inkspan_scratch = "file://" + tempfile.mkdtemp(prefix="inkspan-")

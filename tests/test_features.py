@@ -135,3 +135,23 @@ def test_registered_queries_normalise(spark, tmp_path):
     for query in ("vocabulary_features", "readability", "paragraph_structure", "top_words", "top_bigrams", "common_terms", "transitions"):
         got, want = (sorted(map(str, QUERIES[query](spark, f"{tmp_path}/{n}").collect())) for n in ("raw", "clean"))
         assert got == want, query
+
+
+def test_whole_records(spark):
+    from inkspan.operators.record import analysis_records
+
+    text = "We saw it. However, we saw it again, and we left it; so it was."
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "uid int, text string")
+    rows = {r.uid: r.asDict(True) for r in analysis_records(df, top_k=2, character_ngrams=True, char_n=2, language="de").collect()}
+    assert set(rows) == {1, 2}
+    r = rows[1]
+    assert r["metadata"] == {"analyzer_version": "0.1.0", "language": "de"} and r["basic"]["words"] == r["vocabulary"]["total_words"] == 15
+    assert r["vocabulary"]["top_words"] == [{"item": "it", "count": 4}, {"item": "we", "count": 3}] and r["vocabulary"]["repeated_words"] == r["vocabulary"]["top_words"]
+    assert r["linguistic"]["pronoun_counts"] == [{"item": "we", "count": 3}, {"item": "it", "count": 4}] and r["linguistic"]["nouns"] is None
+    assert {x["item"] for x in r["linguistic"]["transition_counts"]} == {"however", "and", "so"}
+    assert r["punctuation"]["counts"][","] == 2 and r["punctuation"]["counts"][";"] == 1 and r["sentence_structure"]["count"] == 2
+    assert r["ngrams"]["top_k"] == 2 and r["ngrams"]["bigrams"][0] == {"item": "we saw", "count": 2} and len(r["ngrams"]["character_ngrams"]["ngrams"]) == 2
+    assert rows[2]["basic"]["words"] == 0 and rows[2]["ngrams"]["bigrams"] == [] and rows[2]["readability"]["gunning_fog"] is None
+    for bad in ({"top_k": 0}, {"char_n": 0}, {"language": " "}):
+        with pytest.raises(ValueError):
+            analysis_records(df, **bad)
