@@ -3,8 +3,8 @@
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "e.g", "i.e", "etc", "vs", "approx", "no", "fig", "ref", "al", "dept", "univ", "inc", "ltd", "co"]
 
 PRONOUNS = [
-    "i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
-    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+    "i", "me", "my", "mine", "myself", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "we", "us", "our", "ours", "ourselves", "they", "them", "their", "theirs", "themselves",
     "this", "that", "these", "those", "who", "whom", "whose", "which", "what", "one", "ones", "oneself", "someone", "anyone", "everyone", "no one",
 ]
 

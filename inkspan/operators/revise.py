@@ -16,6 +16,12 @@ from inkspan.sources.tables import materialise
 MIN_RATIO, MAX_RATIO, MIN_SIMILARITY = 0.3, 3.0, 0.25
 MOST_CHARS, MOST_ATTEMPTS = 50_000, 3
 MODES = ("conservative", "balanced", "expressive")
+#: What each mode asks for, in this package's own words.
+GUIDANCE = {
+    "conservative": "Change as few words as the request and the differences below call for, and leave the order of things alone.",
+    "balanced": "Reword whole sentences where they miss the profile, and leave those alone that don't.",
+    "expressive": "Rewrite freely in the manner of the profile, as long as the same things are said.",
+}
 RESPONSE = "revised_text string, change_summary array<struct<dimension: string, description: string, importance: string>>"
 
 
@@ -120,7 +126,7 @@ def prompt(draft: Column, profile: Column, comparison: Column, request: Column,
     """Five delimited sections; data sections are marked as data, not instructions."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    rules = F.lit(f"INSTRUCTIONS ({mode}): revise the draft towards the profile. Keep meaning, numbers, names, dates, citations and terms. Invent nothing. Answer with JSON holding revised_text and change_summary.")
+    rules = F.lit(f"INSTRUCTIONS ({mode}): revise the draft towards the profile. {GUIDANCE[mode]} Keep meaning, numbers, names, dates, citations and terms. Invent nothing. Answer with JSON holding revised_text and change_summary.")
     if notes is not None:
         rules = F.when(F.size(notes) > 0, F.concat(rules, F.lit("\nThe last attempt was rejected for: "), F.array_join(notes, "; "))).otherwise(rules)
     wanted = F.coalesce(F.nullif(tx.strip(request), F.lit("")), F.lit("none given"))

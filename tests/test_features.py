@@ -147,7 +147,7 @@ def test_whole_records(spark):
     r = rows[1]
     assert r["metadata"] == {"analyzer_version": "0.1.0", "language": "de"} and r["basic"]["words"] == r["vocabulary"]["total_words"] == 15
     assert r["vocabulary"]["top_words"] == [{"item": "it", "count": 4}, {"item": "we", "count": 3}] and r["vocabulary"]["repeated_words"] == r["vocabulary"]["top_words"]
-    assert r["linguistic"]["pronoun_counts"] == [{"item": "we", "count": 3}, {"item": "it", "count": 4}] and r["linguistic"]["nouns"] is None
+    assert r["linguistic"]["pronoun_counts"] == [{"item": "it", "count": 4}, {"item": "we", "count": 3}] and r["linguistic"]["nouns"] is None
     assert {x["item"] for x in r["linguistic"]["transition_counts"]} == {"however", "and", "so"}
     assert r["punctuation"]["counts"][","] == 2 and r["punctuation"]["counts"][";"] == 1 and r["sentence_structure"]["count"] == 2
     assert r["ngrams"]["top_k"] == 2 and r["ngrams"]["bigrams"][0] == {"item": "we saw", "count": 2} and len(r["ngrams"]["character_ngrams"]["ngrams"]) == 2
