@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.sources.tables import materialise, scratch_path
+from inkspan.sources.tables import materialise, release, scratch_path
 
-__all__ = ["bucket_count", "crc32", "id_boundaries", "input_bytes", "materialise", "partition_id", "scratch_path", "shuffle_partitions"]
+__all__ = ["bucket_count", "crc32", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "worker_cache"]
 
 
 #: Ranges that one quantile pass is asked for at most.
@@ -53,3 +55,23 @@ def partition_id() -> int:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+#: What this process remembers between tasks: owner -> how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(owner: str, forget: Callable[[], None]) -> None:
+    """Tell that a task uses owner's cache.
+
+    Python workers are reused by one stage after the other, so what another operator
+    remembered is forgotten first: a worker holds one operator's cache at a time.
+    """
+    others = [k for k in _REMEMBERED if k != owner]
+    for k in others:
+        _REMEMBERED.pop(k)()
+    if others:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    _REMEMBERED[owner] = forget

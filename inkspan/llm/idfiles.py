@@ -24,12 +24,13 @@ table makes a file set without blocks and no rows; other columns are ignored.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bucket_count, crc32, id_boundaries, scratch_path
+from inkspan.llm.common import bucket_count, crc32, id_boundaries, scratch_path, shuffle_partitions
 from inkspan.llm.tokens import default_vocabulary, encoder
 
 #: Fixed values of the format: selector: (ids in a word, bits of each).
@@ -40,44 +41,71 @@ MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 
 
+@lru_cache(maxsize=1)
+def _bits_of() -> np.ndarray:
+    """How many bits each 16-bit value needs."""
+    return np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """How many bits each unsigned value needs."""
+    table = _bits_of()
+    if values.dtype == np.uint16:
+        return table[values]
+    out = np.zeros(len(values), np.uint8)
+    rest = values.astype(np.uint64)
+    for k in range(4):
+        part = table[(rest & np.uint64(0xFFFF)).astype(np.uint16)]
+        out = np.where(part > 0, part + np.uint8(16 * k), out)
+        rest >>= np.uint64(16)
+    return out
+
+
 def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Simple-8b words of unsigned values, and the places of the raw words that follow an escape."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    selector = np.zeros(n, np.uint8)
-    top = int(values.max())
-    for s in sorted(SELECTORS, reverse=True):  # the last that fits is the one with the most ids
+    padded = np.concatenate([values, np.zeros(60, values.dtype)])
+    need = _bits(padded)
+    # the most bits of the next 1, 2, 3, ... values; a selector with more ids has fewer bits, so those that fit are the last ones
+    fits, most, width = np.zeros(n, np.uint8), need, 1
+    for s in sorted(SELECTORS, reverse=True):
         count, bits = SELECTORS[s]
-        if top < 1 << bits:
-            selector[:] = s
-            continue
-        over = np.zeros(n + 61, np.int32)
-        np.cumsum(padded >> np.uint64(bits) != 0, out=over[1:])
-        selector[over[count : count + n] == over[:n]] = s
-    counts = np.ones(16, np.int64)
+        while width < count:
+            step = min(width, count - width)
+            most = np.maximum(most[:-step], most[step:])
+            width += step
+        ok = most[:n] <= bits
+        if not ok.any():
+            break
+        fits += ok
+    # the chosen selectors: 0 of 14 fit means an escape, all 14 fit selector 1
+    selector = np.where(fits > 0, len(SELECTORS) + 1 - fits.astype(np.int64), ESCAPE).astype(np.uint8)
+    counts = np.ones(16, np.uint8)
     for s, (count, _) in SELECTORS.items():
         counts[s] = count
-    following = (np.arange(n) + counts[selector]).tolist()
+    jump = counts[selector].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = following[i]
+        i += jump[i]
     at = np.array(starts)
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
+    wide = padded.astype(np.uint64)
     for s in np.unique(chosen).tolist():
         if s == ESCAPE:
             continue
         count, bits = SELECTORS[s]
         own = np.flatnonzero(chosen == s)
+        first, word = at[own], words[own]
         for k in range(count):
-            words[own] |= padded[at[own] + k] << np.uint64(bits * k)
+            word |= wide[first + k] << np.uint64(bits * k)
+        words[own] = word
     escaped = np.flatnonzero(chosen == ESCAPE)
     if len(escaped):
-        words = np.insert(words, escaped + 1, values[at[escaped]])
+        words = np.insert(words, escaped + 1, wide[at[escaped]])
     return words, (escaped + 1 + np.arange(len(escaped))).astype(np.uint32)
 
 
@@ -135,10 +163,11 @@ def decode_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2) -> None:
-    """Encode every text and write the file set at `path`, documents in ascending doc_id order.
+    """Encode every text and write the file set at `path`: files, blocks and documents in ascending doc_id order.
 
     Shards are ranges of doc_id cut at quantiles; their number grows with the
-    input.  Only encoded ids are shuffled, two or four bytes each.
+    input, and a file holds neighbouring ones.  Only encoded ids are shuffled,
+    two or four bytes each.
     """
     vocabulary = vocabulary or default_vocabulary()
     cuts = np.array(id_boundaries(docs, bucket_count(docs)), dtype=np.int64)
@@ -183,37 +212,41 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
             yield flush()
 
     encoded = docs.select("doc_id", "text").mapInArrow(tokenise, "shard int, doc_id long, width int, ids binary")
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    shards = len(cuts) + 1
+    files = min(shards, max(shuffle_partitions(docs.sparkSession), shards // 8))
+    ordered = encoded.repartitionById(files, F.expr(f"cast(shard * {files}L div {shards} as int)")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(blocks, "shard int, block int, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(path)
 
 
+def block_starts(files: DataFrame) -> DataFrame:
+    """shard, block and first (ids of all blocks before it): sums within a shard after sums of whole shards, of which there are MOST_BUCKETS at most."""
+    within = Window.partitionBy("shard").orderBy("block")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    blocks = files.select("shard", "block", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("inside"))
+    return blocks.join(F.broadcast(shards), "shard").select("shard", "block", (F.col("earlier") + F.col("inside")).alias("first"))
+
+
 def read_ids(spark: SparkSession, path: str, include_ids: bool = False) -> DataFrame:
     """Every document of a file set: doc_id, start (ids before it), n_tokens, ids_crc32; with include_ids also the ids as unsigned 32-bit bytes."""
     files = spark.read.schema("shard int, block int, n_ids long, payload binary").parquet(path)
-    # one number for each block of a file set, some 64 thousand ids each: the files' index
-    index = files.select("shard", "block", "n_ids").orderBy("shard", "block").collect()
-    before: dict[tuple[int, int], int] = {}
-    total = 0
-    for r in index:
-        before[r["shard"], r["block"]] = total
-        total += r["n_ids"]
-    firsts = spark.createDataFrame([(s, b, n) for (s, b), n in before.items()], "shard int, block int, first long")
 
     def decode(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * include_ids
+        names = ["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32"] + ["ids"] * include_ids
         for b in batches:
-            for payload, first in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for shard, block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids, offsets, values = decode_block(payload.as_py())
                 flat = values.astype("<u4").tobytes()
                 ends = offsets.astype(np.int64)
                 parts = [flat[4 * i : 4 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                columns = [pa.array(ids, pa.int64()), pa.array(first + ends[:-1]), pa.array(np.diff(ends)), pa.array([crc32(p) for p in parts], pa.int64())]
+                columns = [pa.array([shard] * len(ids), pa.int32()), pa.array([block] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array([crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * include_ids, names=names)
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * include_ids
-    return files.join(F.broadcast(firsts) if len(before) <= 100_000 else firsts, ["shard", "block"]).select("payload", "first").mapInArrow(decode, schema)
+    found = files.select("shard", "block", "payload").mapInArrow(decode, "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * include_ids)
+    placed = found.join(block_starts(files), ["shard", "block"])  # after decoding, so no payload is shuffled
+    return placed.select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * include_ids)
 
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:

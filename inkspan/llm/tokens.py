@@ -3,9 +3,10 @@
 The vocabulary word_bpe_49k normalises character by character, lower-cases,
 splits at white space and never joins a letter or digit with a mark after it.
 So a text's ids are those of its white-space-separated chunks one after the
-other, and a run of ASCII marks that ends a chunk can stand alone.  Each
-distinct chunk is encoded once by the library and remembered.  A vocabulary
-with other rules, and a text with a special token's opening, is encoded whole.
+other, and those of a chunk that ends in ASCII marks after a letter or digit
+are its stem's and then the marks'.  Each distinct chunk is encoded once by the
+library and remembered.  A vocabulary with other rules, and a text with a
+special token's opening, is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import json
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
+from inkspan.llm.common import worker_cache
+
 #: Chunks remembered in a worker, in two generations; those used of late stay.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_000_000
 #: What a vocabulary file must say for its texts to be encoded chunk by chunk.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -29,7 +33,8 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
-_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?*$#&%;:()|]+)(?=[ \t\n\r\x0b\x0c]|$)")
+_MARKS = b".,!?*$#&%;:()|"
+_BEFORE_MARKS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def default_vocabulary() -> str:
@@ -48,6 +53,29 @@ def _by_chunk(path: str) -> bool:
     return [x["type"] for x in normalizers] == NORMALIZERS and pattern == SPLITTER and special
 
 
+class _Chunks(dict):
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes, encoded when first asked for."""
+
+    def __init__(self, tokenizer, old: dict):
+        self.whole, self.word, self.old = tokenizer.encode, tokenizer.model.tokenize, old
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            stem = chunk.rstrip(_MARKS)
+            n = len(stem)
+            if 0 < n < len(chunk) and stem[-1] in _BEFORE_MARKS:
+                ids = self[stem] + self[chunk[n:]]
+            elif chunk.isalpha() if chunk.isascii() else _LETTERS.fullmatch(chunk):  # letters without marks are one word, so the model alone is enough
+                shown = chunk.decode() if chunk.isascii() else chunk.decode().lower().encode().decode("latin-1").translate(_SHOWN_BYTES)
+                found = [t.id for t in self.word(shown)]
+                ids = pack(f"<{len(found)}I", *found)
+            else:
+                ids = np.array(self.whole(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes."""
 
@@ -56,39 +84,26 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.by_chunk = _by_chunk(path)
         self.generation = cache_chunks // 2
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = _Chunks(self.tokenizer, {})
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_chunk or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = _MARKS.sub(rb" \1", text.encode("utf-8").lower()).split()
-        if len(self.young) > self.generation:
-            self.old, self.young = self.young, {}
-        if missing := set(chunks).difference(self.young):
-            self._learn(missing)
-        return b"".join(map(self.young.__getitem__, chunks))
-
-    def _learn(self, missing: set[bytes]) -> None:
-        rest = []
-        for c in missing:
-            if (ids := self.old.get(c)) is not None:
-                self.young[c] = ids
-            elif _LETTERS.fullmatch(c):  # letters without marks are one word, so the model alone is enough
-                shown = c.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(_SHOWN_BYTES)
-                self.young[c] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            else:
-                rest.append(c)
-        if rest:
-            for c, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in rest], add_special_tokens=False), strict=True):
-                self.young[c] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.known) > self.generation:
+            self.known.old = {}
+            self.known = _Chunks(self.tokenizer, self.known)
+        return b"".join(map(self.known.__getitem__, text.encode("utf-8").lower().split()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
+
+
+def encoder(path: str) -> ChunkEncoder:
+    worker_cache("tokens", _encoder.cache_clear)
+    return _encoder(path)
