@@ -1,18 +1,25 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams, one of target texts and one of
-the raw corpus, give each text a weight: the mean log ratio of its n-grams'
-probabilities, times SHARPNESS.  Texts are sampled without replacement in
-proportion to the exponential of that weight, by adding Gumbel noise to it and
-keeping the k largest sums.
+the raw corpus, give each text its log importance weight: the log of the ratio
+of its probabilities under the two, that is the sum of its n-grams' log ratios.
+Texts are sampled without replacement in proportion to their importance
+weights, by adding Gumbel noise to the logs and keeping the k largest sums.  So
+of two texts whose weights differ by d, the one is drawn before the other with
+odds of e^d: what differs much is sorted, and close cases are left to chance.
 
 The raw model counts all n-grams of all documents.  The target model is of a
 bounded sample of labelled rows of quality 1 (MOST_LABELLED of each label, those
-whose hashed ids are least); half of the sample fits the model, the other half,
-with rows of quality 0, sets k: the number of documents whose weight is above
-the cut with the fewest errors, where a good text lost counts GOOD_COST times.
+whose hashed ids are least); half of the sample fits the model.  k is a
+parameter; where none is given the other half, with rows of quality 0, sets it:
+the number of documents whose weight is above the cut with the fewest errors,
+where a good text lost counts GOOD_COST times.
 
-The noise is a function of a row's id and text, so it survives a lost executor.
+The n-grams fall into BUCKETS, so few that the target's counts are steady; the
+sum over a long text would add up the errors of rare buckets otherwise.
+
+The noise is a function of a seed and a row's id and text, so it survives a lost
+executor.
 
 Edge cases: a null or empty text has no n-grams and weight 0; without labelled
 rows of both kinds nothing is rejected; repeated rows share one key and are kept
@@ -22,22 +29,23 @@ table gives no rows; filtering keeps all columns.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import materialise
+from inkspan.llm.common import materialise, worker_cache
 
-BUCKETS = 1 << 16
-SHARPNESS = 200.0
-#: N-grams of weight 0 added to each text, which steady short ones.
-PRIOR = 12.0
+BITS = 11
+BUCKETS = 1 << BITS
 GOOD_COST = 3.0
 MOST_LABELLED = 2000
+SEED = 0
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -57,12 +65,13 @@ _HASHES = _Hashes()
 
 def ngrams(text: str | None) -> np.ndarray:
     """Buckets of a text's words and pairs of words; runs of marks are words too, and every doubled word is one pair."""
+    worker_cache("quality", _HASHES.clear)
     tokens = _TOKEN.findall(text) if text else []
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     pairs = (h[:-1] * np.uint64(0xBF58476D1CE4E5B9)) ^ (h[1:] + np.uint64(0x94D049BB133111EB))
     pairs *= np.uint64(0x9E3779B97F4A7C15)
     pairs[h[:-1] == h[1:]] = 0  # a word right after itself is one n-gram, whatever the word
-    return (np.concatenate([h, pairs]) >> np.uint64(48)).astype(np.int64)
+    return (np.concatenate([h, pairs]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def count_ngrams(docs: DataFrame) -> np.ndarray:
@@ -90,8 +99,14 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weight_of(text: str | None, ratio: np.ndarray) -> float:
-    g = ngrams(text)
-    return SHARPNESS * float(ratio[g].sum(dtype=np.float64)) / (len(g) + PRIOR)
+    """The log importance weight."""
+    return float(ratio[ngrams(text)].sum(dtype=np.float64))
+
+
+def noise(key, text: str | None, seed: int = SEED) -> float:
+    """Gumbel noise that depends on nothing but the seed and the row."""
+    u = ((xxhash.xxh64_intdigest(f"{key}\n{text}", seed) >> 11) + 0.5) / (1 << 53)
+    return -math.log(-math.log(u))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray, good_cost: float = GOOD_COST) -> float:
@@ -135,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     return ratio, best_cut(weights, np.array([1.0] * len(good[1::2]) + [0.0] * len(bad)))
 
 
-def _weighed(docs: DataFrame, ratio: np.ndarray | None, keep: list[str]) -> DataFrame:
+def _weighed(docs: DataFrame, ratio: np.ndarray | None, keep: list[str], seed: int) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
@@ -143,18 +158,13 @@ def _weighed(docs: DataFrame, ratio: np.ndarray | None, keep: list[str]) -> Data
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         ratio = shared.value
         for b in batches:
-            w = np.zeros(b.num_rows)
-            u = np.zeros(b.num_rows)
-            for i, (key, t) in enumerate(zip(b.column(key_at), b.column(at), strict=True)):
-                text = t.as_py()
-                w[i] = 0.0 if ratio is None else round(weight_of(text, ratio), 9)
-                u[i] = (xxhash.xxh64_intdigest(f"{key.as_py()}\n{text}") >> 11) / (1 << 53)
-            gumbel = -np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w + gumbel)], names=[f.name for f in schema.fields])
+            texts, keys = [t.as_py() for t in b.column(at)], b.column(key_at).to_pylist()
+            w = np.array([0.0 if ratio is None else round(weight_of(t, ratio), 9) for t in texts])
+            g = np.array([noise(k, t, seed) for k, t in zip(keys, texts, strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64()), pa.array(w + g, pa.float64())], names=[f.name for f in schema.fields])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
@@ -183,10 +193,10 @@ def kth_largest(table: DataFrame, column: str, k: int, most: int = 5000) -> floa
             return values[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, sample_key and kept of every document; k texts are kept, by default as many as weigh like good ones."""
     model = fit(docs, labels)
-    table = materialise(_weighed(docs.select("doc_id", "text"), model[0] if model else None, ["doc_id", "text"]).drop("text"), "weights")
+    table = materialise(_weighed(docs.select("doc_id", "text"), model[0] if model else None, ["doc_id", "text"], seed).drop("text"), "weights")
     return table.withColumn("kept", (F.col("sample_key") >= F.lit(_least_key(table, model, k))).cast("int"))
 
 
@@ -199,12 +209,10 @@ def _least_key(table: DataFrame, model, k: int | None) -> float:
     return kth_largest(table, "sample_key", k) if k > 0 else float("inf")
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The documents, with all their columns, that resampling keeps."""
+def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents, with all their columns, that resampling keeps; written once with their keys, so no text is weighed twice."""
     model = fit(docs, labels)
-    ratio = model[0] if model else None
-    table = materialise(_weighed(docs.select("doc_id", "text"), ratio, ["doc_id", "text"]).select("log_weight", "sample_key"), "weights")
-    least = _least_key(table, model, k)
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}" if c not in ("doc_id", "text") else c) for i, c in enumerate(docs.columns)))
-    kept = _weighed(inner, ratio, inner.columns).where(F.col("sample_key") >= F.lit(least))
+    table = materialise(_weighed(inner, model[0] if model else None, inner.columns, seed), "weights")
+    kept = table.where(F.col("sample_key") >= F.lit(_least_key(table, model, k)))
     return kept.select(*(F.col(a).alias(c) for a, c in zip(inner.columns, docs.columns, strict=True)))
