@@ -6,11 +6,18 @@ characters.  A stretch of m characters with at most k edits shares at least
 m + 1 - q - k q of its q-grams with the item, at diagonals (place in the
 document minus place in the item) that differ by at most k.  So:
 
-1. all q-grams of the document are looked up among those of the benchmark;
-2. hits are counted in diagonal bands, each overlapping the next by half, and in
+1. all q-grams of the document are looked up among those of the benchmark; hits
+   that follow each other on a diagonal are one run, and of a q-gram that occurs
+   often on both sides only the ends of runs are looked at, so repetitive texts
+   don't make all pairs;
+2. runs are counted in diagonal bands, each overlapping the next by half, and in
    windows of the item, so that a match of any place falls whole into a band;
 3. windows whose distinct shared q-grams reach the lemma's bound are retained;
-4. each retained region is verified by a banded alignment with the item.
+4. each retained region is verified by a banded alignment with the item, the one
+   with most shared q-grams first.
+
+Every region of a document is reported, but for those that overlap one already
+reported for the same item.  A region longer than ALIGN_CHARS comes in pieces.
 
 Text is compared in lower case, with runs of anything but letters and digits as
 one space.  Benchmarks of up to MOST_ITEM_CHARS characters are sent to all
@@ -33,13 +40,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkspan.llm.common import worker_cache
+
 Q = 12
 #: Edits allowed for each character of a match.
 EDIT_SHARE = 0.06
 #: Characters of an item that are a leak by themselves; a shorter item has to be there whole.
 LEAST_PART = 120
+#: Characters of an item that are aligned at once; bounds the alignment's memory.
+ALIGN_CHARS = 3000
+#: Hits that are listed before runs are looked for; beyond that only the ends of runs are.
+MOST_HITS = 200_000
 MOST_ITEM_CHARS = 4_000_000
 
+#: Stands for no character, at an item's ends; one more does at a document's.
+_NONE = 0x110000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,17 +129,21 @@ class Benchmark:
         clean = [(i, normalise(t)) for i, t in items]
         self.items = [i for i, t in clean if len(t)]
         self.points = [t for _, t in clean if len(t)]
-        codes, owner, place = [], [], []
+        codes, owner, place, before, after = [], [], [], [], []
         for k, p in enumerate(self.points):
             g = gram_codes(p, q)
             codes.append(g)
             owner.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
+            before.append(np.concatenate([[_NONE], p[: max(0, len(g) - 1)]])[: len(g)].astype(np.int64))
+            after.append(np.concatenate([p[q:], [_NONE]])[: len(g)].astype(np.int64))
         self.codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(self.codes, kind="stable")
         self.codes = self.codes[order]
         self.owner = np.concatenate(owner)[order] if codes else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if codes else np.zeros(0, np.int64)
+        #: The characters around each q-gram.
+        self.before, self.after = (np.concatenate(x)[order] if codes else np.zeros(0, np.int64) for x in (before, after))
         self.bits = 1 << max(16, (len(self.codes) * 16).bit_length())
         self.filter = np.zeros(self.bits, bool)
         self.filter[self._slot(self.codes)] = True
@@ -133,19 +152,40 @@ class Benchmark:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes >> np.uint64(65 - self.bits.bit_length())).astype(np.int64)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the document) of every shared q-gram."""
+    def runs(self, codes: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the item, place in the document, q-grams) of every run of shared q-grams on a diagonal."""
         at = np.flatnonzero(self.filter[self._slot(codes)])
         first = np.searchsorted(self.codes, codes[at], side="left")
-        last = np.searchsorted(self.codes, codes[at], side="right")
-        times = last - first
+        times = np.searchsorted(self.codes, codes[at], side="right") - first
         at, first, times = at[times > 0], first[times > 0], times[times > 0]
-        total = int(times.sum())
-        k = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(total)
-        return self.owner[k], self.place[k], np.repeat(at, times)
-
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, first and end character in the normalised text, length in the item, edits) of every item's best match."""
+        before = np.concatenate([[_NONE + 1], points]).astype(np.int64)[at]
+        after = np.concatenate([points, [_NONE + 1]]).astype(np.int64)[at + self.q]
+        starts, ends = (self._ends(at, first, times, own, theirs) for own, theirs in ((before, self.before), (after, self.after)))
+        item, place, where = starts
+        return item, place, where, ends[1] - place + 1
+
+    def _ends(self, at, first, times, beside, items_beside):
+        """(item, place in the item, place in the document) of the hits whose neighbours differ, by item, diagonal and place."""
+        if int(times.sum()) <= MOST_HITS:
+            k = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            where, keep = np.repeat(at, times), np.repeat(beside, times) != items_beside[k]
+            k, where = k[keep], where[keep]
+        else:
+            ks, wheres = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            order = np.lexsort((beside, first))
+            cut = np.flatnonzero((np.diff(first[order]) != 0) | (np.diff(beside[order]) != 0)) + 1
+            for group in np.split(order, cut):  # places of one q-gram with one neighbour
+                i, n = int(first[group[0]]), int(times[group[0]])
+                other = i + np.flatnonzero(items_beside[i : i + n] != beside[group[0]])
+                ks.append(np.repeat(other, len(group)))
+                wheres.append(np.tile(at[group], len(other)))
+            k, where = np.concatenate(ks), np.concatenate(wheres)
+        item, place = self.owner[k], self.place[k]
+        order = np.lexsort((place, where - place, item))
+        return item[order], place[order], where[order]
+
+    def leaks(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, first and end character in the normalised text, length in the item, edits) of every region; of the first if first_only."""
         points = normalise(text)
         if not len(points) or not self.items:
             return []
@@ -154,72 +194,86 @@ class Benchmark:
             padded = f" {as_text(points)} "
             for k, t in self.short:
                 at = padded.find(f" {t} ")
-                if at >= 0:
+                while at >= 0:
                     found.append((self.items[k], at, at + len(t), len(t), 0))
+                    at = padded.find(f" {t} ", at + len(t) + 1) if not first_only else -1
         codes = gram_codes(points, self.q)
-        if not len(codes):
+        if not len(codes) or (first_only and found):
             return found
-        item, inside, at = self.hits(codes)
+        item, place, where, n = self.runs(codes, points)
         if not len(item):
             return found
-        enough = np.bincount(item, minlength=len(self.items))
-        for k in np.flatnonzero(enough).tolist():
-            window = min(len(self.points[k]), LEAST_PART)
-            if enough[k] < self._bound(window):
-                continue
-            own = item == k
-            best = self._verify(k, inside[own], at[own], points)
-            if best:
-                found.append((self.items[k], *best))
+        cut = np.flatnonzero(np.diff(item)) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True):
+            k = int(item[i])
+            if int(n[i:j].sum()) >= self._bound(min(len(self.points[k]), LEAST_PART)):
+                found += [(self.items[k], *r) for r in self._regions(k, place[i:j], where[i:j], n[i:j], points, first_only)]
+                if found and first_only:
+                    break
         return found
 
     def _bound(self, window: int) -> int:
         """Least shared q-grams of a window with as many edits as its budget."""
         return max(1, window + 1 - self.q - edit_budget(window) * self.q)
 
-    def _verify(self, k: int, inside: np.ndarray, at: np.ndarray, points: np.ndarray):
+    def _regions(self, k: int, place: np.ndarray, where: np.ndarray, n: np.ndarray, points: np.ndarray, first_only: bool) -> list[tuple[int, int, int, int]]:
         own = self.points[k]
         window, budget = min(len(own), LEAST_PART), edit_budget(min(len(own), LEAST_PART))
-        bound = self._bound(window)
-        width = 2 * max(1, budget)
-        best = None
-        diagonal = at - inside
-        for d in diagonal[inside == 0].tolist():  # the whole item without an edit
-            if np.array_equal(points[d : d + len(own)], own):
-                return d, d + len(own), len(own), 0
+        bound, width, grams = self._bound(window), 2 * max(1, budget), len(own) - self.q + 1
+        taken, found = np.zeros(len(points) + 1, bool), []
+
+        def add(region) -> None:
+            if not taken[region[0] : region[1]].any():
+                taken[region[0] : region[1]] = True
+                found.append(region)
+
+        for at in np.sort(where[(place == 0) & (n == grams)]).tolist():  # the whole item without an edit
+            add((at, at + len(own), len(own), 0))
+            if first_only:
+                return found
+        diagonal = where - place
         low = int(diagonal.min())
-        tried: set[tuple[int, int]] = set()
+        bands = []
         for shift in (0, width // 2):  # bands of `width` diagonals, overlapping by half
             band = (diagonal - low + shift) // width
-            order = np.lexsort((inside, band))
-            b, p, d = band[order], inside[order], at[order]
-            starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
-                places = np.unique(p[s:e])
-                if len(places) < bound:
-                    continue
-                # shared q-grams of every window of the item
-                upto = np.searchsorted(places, places + (window - self.q), side="right")
-                good = np.flatnonzero(upto - np.arange(len(places)) >= bound)
-                if not len(good):
-                    continue
-                # a run of good windows is one region
-                cut = np.flatnonzero(np.diff(places[good]) > window)
-                for i, j in zip(np.concatenate([[0], cut + 1]).tolist(), np.concatenate([cut, [len(good) - 1]]).tolist(), strict=True):
-                    a, z = int(places[good[i]]), int(places[upto[good[j]] - 1]) + self.q
-                    middle = low + int(b[s]) * width - shift + width // 2
-                    if (a // 8, middle // width) in tried:
+            order = np.argsort(band, kind="stable")
+            cut = np.flatnonzero(np.diff(band[order])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
+                total = int(n[order[i:j]].sum())
+                if total >= bound:
+                    bands.append((-total, low + int(band[order[i]]) * width - shift + width // 2, order[i:j]))
+        bands.sort(key=lambda x: x[:2])
+        span = window - self.q + 1  # q-grams of a window
+        for _, middle, group in bands:
+            p, m, w = place[group], n[group], where[group]
+            if taken[int(w.min()) : int((w + m).max()) + self.q - 1].all():
+                continue
+            steps = np.bincount(p, minlength=grams + 1) - np.bincount(p + m, minlength=grams + 1)
+            covered = np.cumsum(steps)[:grams] > 0
+            upto = np.concatenate([[0], np.cumsum(covered)])
+            good = np.flatnonzero(upto[span:] - upto[:-span] >= bound)  # first places of the windows that reach the bound
+            if not len(good):
+                continue
+            cut = np.flatnonzero(np.diff(good) > window)
+            for i, j in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(good) - 1], strict=True):
+                shared = int(good[i]) + np.flatnonzero(covered[good[i] : good[j] + span])
+                a, z = int(shared[0]), int(shared[-1]) + self.q
+                for x in range(a, max(a + 1, z - window), ALIGN_CHARS):  # pieces of a long region
+                    y = z if x + ALIGN_CHARS >= z - window else x + ALIGN_CHARS
+                    if taken[max(0, x + middle) : max(0, y + middle)].any():
                         continue
-                    tried.add((a // 8, middle // width))
-                    got = self._align(own, a, z, middle, points, window, width)
-                    if got and (best is None or got[2] - 4 * got[3] > best[2] - 4 * best[3]):
-                        best = got
-        return best
+                    got = self._align(own, x, y, middle, points, window, width)
+                    if got:
+                        add(got)
+                        if first_only and found:
+                            return found
+        return found
 
     def _align(self, own: np.ndarray, a: int, z: int, middle: int, points: np.ndarray, window: int, margin: int):
         """Banded alignment of the item's stretch around [a, z): the longest part within the budget."""
         spare = window
-        a, z = max(0, a - spare), min(len(own), z + spare)
+        # no further than the document reaches, as what lies beyond can't be aligned
+        a, z = max(0, a - spare, min(a, -middle)), min(len(own), z + spare, max(z, len(points) - middle))
         half = margin + edit_budget(z - a)
         lo = max(0, a + middle - half)
         hi = min(len(points), z + middle + half)
@@ -336,6 +390,7 @@ def _search(part: list[tuple[int, str]], schema: T.StructType):
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("benchmark", int)  # nothing outlives the task; what others remembered goes
         items = Benchmark(part)
         for b in batches:
             at, rows = [], []
@@ -360,8 +415,9 @@ def _without(part: list[tuple[int, str]], text_at: int):
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("benchmark", int)  # nothing outlives the task; what others remembered goes
         items = Benchmark(part)
         for b in batches:
-            yield b.filter(pa.array([not items.leaks(t.as_py()) for t in b.column(text_at)], pa.bool_()))
+            yield b.filter(pa.array([not items.leaks(t.as_py(), first_only=True) for t in b.column(text_at)], pa.bool_()))
 
     return run
