@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -56,6 +57,52 @@ def test_leaks_match_brute_force():
     assert [x[0] for x in found.leaks("so ab it is")] == [90] and found.leaks("cab") == []
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_runs_match_brute_force(monkeypatch, most):
+    """All pairs of equal q-grams, put together to runs by hand."""
+    monkeypatch.setattr(dc, "MOST_HITS", most)
+    rng = random.Random(1)
+    for t in range(20):
+        letters = "ab " if t % 2 else "abcdef "
+        items = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(3, 60))) * rng.choice([1, 1, 3])) for i in range(4)]
+        found = dc.Benchmark(items, q=4)
+        points = dc.normalise("".join(rng.choice(letters) for _ in range(200)) + items[0][1] * 2)
+        codes = dc.gram_codes(points, 4)
+        hits = {(k, i, a) for k, p in enumerate(found.points) for i, x in enumerate(dc.gram_codes(p, 4).tolist()) for a, y in enumerate(codes.tolist()) if x == y}
+        want = []
+        for k, i, a in hits:
+            if (k, i - 1, a - 1) not in hits:
+                n = 1
+                while (k, i + n, a + n) in hits:
+                    n += 1
+                want.append((k, i, a, n))
+        assert sorted(zip(*(x.tolist() for x in found.runs(codes, points)), strict=True)) == sorted(want)
+
+
+def test_every_region_is_found():
+    rng = random.Random(3)
+    item = prose(60, rng)
+    found = dc.Benchmark([(1, item), (2, "ab c")])
+    edited = item[:100] + "#x" + item[101:180] + item[181:]
+    text = " ".join([prose(30, rng), item, prose(30, rng), edited, prose(10, rng), item[60:220], "ab c", prose(5, rng), "ab, c"])
+    got = found.leaks(text)
+    assert [x[0] for x in got].count(1) == 3 and [x[0] for x in got].count(2) == 2
+    assert (len(item), 0) in [x[3:] for x in got] and all(x[4] <= dc.edit_budget(x[3]) for x in got)
+    spans = sorted(x[1:3] for x in got)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len(found.leaks(text, first_only=True)) == 1
+
+
+def test_repetitive_texts_take_no_pairs():
+    phrase = "lorem ipsum dolor sit "
+    for item, text, n in ((phrase * 400, phrase * 2800, 7), ("a" * 400, "a" * 60_000, 150)):
+        found = dc.Benchmark([(1, item)])
+        began = time.process_time()
+        got = found.leaks(text)
+        assert time.process_time() - began < 2
+        assert len(got) == n and all(x[4] == 0 for x in got) and sum(x[2] - x[1] for x in got) > 0.95 * len(text)
+
+
 def test_part_of_a_long_item():
     rng = random.Random(1)
     item = prose(120, rng)
@@ -124,6 +171,48 @@ def test_resampling(graded):
     assert quality.resample(docs.limit(0), labels).count() == 0
 
 
+def test_inclusion_follows_the_importance_weights():
+    """Of texts whose log weights differ by d the heavier are drawn first with odds of e^d, and the noise decides single cases."""
+    rng = np.random.default_rng(2)
+    gap = np.array([quality.noise(i, "a") + 1.0 - quality.noise(i, "b") for i in range(20_000)])
+    assert abs((gap > 0).mean() - 1 / (1 + np.exp(-1.0))) < 0.01
+    weights = rng.standard_normal(400)
+    times = np.zeros(400)
+    for seed in range(600):
+        keys = weights + np.array([quality.noise(i, "t", seed) for i in range(400)])
+        times[np.argsort(-keys)[:8]] += 1
+    expected = np.exp(weights) / np.exp(weights).sum() * 8 * 600  # nearly, as 8 of 400 are few
+    order = np.argsort(weights)
+    for part in np.array_split(order, 8):
+        assert times[part].sum() == pytest.approx(expected[part].sum(), rel=0.15)
+    assert len({int(np.argmax(weights + np.array([quality.noise(i, "t", s) for i in range(400)]))) for s in range(30)}) > 5
+
+
+def test_weights_are_log_importance_ratios(graded):
+    """Against a brute-force model: the log of the product of the n-grams' probabilities under the two models."""
+    docs, labels = graded
+    ratio, cut = quality.fit(docs, labels)
+    rows = docs.collect()
+    raw = np.full(quality.BUCKETS, 0.5)
+    for r in rows:
+        for g in quality.ngrams(r.text).tolist():
+            raw[g] += 1
+    good = [t for t, q, _ in quality.labelled_sample(docs, labels) if q][::2]
+    target = np.full(quality.BUCKETS, 0.5)
+    for t in good:
+        for g in quality.ngrams(t).tolist():
+            target[g] += 1
+    p, q = np.log(target / target.sum()), np.log(raw / raw.sum())
+    brute = {(r.doc_id, r.text): sum(p[g] - q[g] for g in quality.ngrams(r.text).tolist()) for r in rows}
+    got = {(r.doc_id, r.text): r for r in quality._weighed(docs.select("doc_id", "text"), ratio, ["doc_id", "text"], 5).collect()}
+    assert all(got[k].log_weight == pytest.approx(w, rel=1e-4, abs=1e-3) for k, w in brute.items()) and len(got) == len(brute)
+    assert all(r.sample_key == pytest.approx(r.log_weight + quality.noise(r.doc_id, r.text, 5)) for r in got.values())
+    k = 40
+    kept = {(r.doc_id, r.text) for r in quality.keep_sampled(docs, labels, k, seed=5).select("doc_id", "text").collect()}
+    brute_kept = sorted(rows, key=lambda r: -got[r.doc_id, r.text].sample_key)[:k]
+    assert kept == {(r.doc_id, r.text) for r in brute_kept}
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.standard_normal(3000), np.full(2000, 0.5)])
@@ -149,6 +238,36 @@ def test_every_template_matches_its_notice():
             assert licenses.TEMPLATES[x[3]][0] == licenses.TEMPLATES[k][0]
 
 
+def test_recall_on_altered_notices():
+    """Notices with as many random changes of words as are allowed, wrapped and commented, are found, and prose about licenses isn't."""
+    m = licenses.Matcher()
+    rng = random.Random(11)
+    found = tried = 0
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        for _ in range(8):
+            words = template.replace("...", "2021 Some Body").split()
+            for _ in range(rng.randint(0, m.allowed[k])):
+                i = rng.randrange(len(words))
+                words[i : i + 1] = rng.choice([[], [words[i], "indeed"], ["other"]])
+            lines = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+            text = prose(30, rng) + ". " + rng.choice([" ", "\n * ", "\n# "]).join(lines) + " " + prose(30, rng)
+            tried += 1
+            found += name in [x[2] for x in m.scan(text)]
+    assert found / tried >= 0.9, found / tried  # a word replaced is one lacking and one beyond
+    for text, want in [("This file is licensed under the MIT license.", "MIT"), ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("Licensed under the Apache License Version 2", "Apache-2.0"), ("Code in this directory is available under the GNU General Public License, version 3.", "GPL-3.0")]:
+        assert [x[2] for x in m.scan(text)] == [want], text
+    for text in ("He had a license to drive under the bridge.", "The public license office, version two of it, was mozilla brown.", "a software foundation free of charge"):
+        assert m.scan(text) == []
+
+
+def test_compression_ranks_overlapping_blocks():
+    m = licenses.Matcher([("short", "all rights reserved"), ("long", "copyright some body all rights reserved for the work and its parts everywhere"), ("other", "copyright some body no rights reserved for the work and its parts everywhere")], 0.2)
+    (x,) = m.scan("copyright some body all rights reserved for the work and its parts everywhere")
+    assert x[2] == "long" and x[5:] == ([], [])
+    saved = [m.saving(k, licenses.wording(m.templates[1][1])) for k in range(3)]
+    assert saved[1] == max(saved) and saved[1] > saved[0] + licenses.MARGIN
+
+
 def test_license_stretches():
     m = licenses.Matcher()
     apache = licenses.TEMPLATES[6][1]
