@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules are broadcast up to this many; a larger table is shuffled, with the hot expressions of the URLs salted.
-BROADCAST_RULES = 200_000
+#: Rules are broadcast up to so many bytes (their texts, digests and some for each row); a larger table is shuffled, with the hot expressions of the URLs salted.
+BROADCAST_BYTES, RULE_BYTES = 32 << 20, 160
 SALTS = 32
 
 
@@ -62,17 +62,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
         .withColumn("full", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("short", _short(F.col("full")))
     )
-    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
+    labels_of = F.size(F.split("rule_host", r"\.", -1))
+    facts = rules.agg(F.coalesce(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + RULE_BYTES), F.lit(0)).alias("bytes"), F.collect_set(F.length("rule_path")).alias("lengths"), F.collect_set(labels_of).alias("labels")).first()
     urls = pages.select(F.col(key).alias("key"), F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    lengths = F.array(*(F.lit(int(n)).cast("int") for n in sorted(facts["lengths"]))) if facts["lengths"] else F.array().cast("array<int>")
+    lengths, counts = (F.array(*(F.lit(int(n)).cast("int") for n in sorted(facts[k]))) if facts[k] else F.array().cast("array<int>") for k in ("lengths", "labels"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    # only suffixes and prefixes as long as some rule's, so a host of thousands of labels has few
+    suffixes = F.transform(F.filter(counts, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("host"), p.alias("path")))))
     # a first expression that fits no rule keeps every row, and counts it
     met = urls.select("key", "url", "host", "path", F.posexplode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))), F.when(F.col("host") != "", expressions).otherwise(F.filter(expressions, lambda x: F.lit(False))))).alias("i", "x"))
     met = met.withColumn("digest", _digest(F.col("x.host"), F.col("x.path"))).withColumn("head", _short(F.col("digest")))
-    if facts["n"] <= BROADCAST_RULES:
+    if facts["bytes"] <= BROADCAST_BYTES:
         joined = met.join(F.broadcast(rules), F.col("head") == F.col("short"), "left")
     else:
         salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -91,6 +91,27 @@ def test_block_round_trip():
         idfiles.decode_block(b"none" + bytes(40))
 
 
+def test_files_and_blocks_ascend(spark, docs_of, tmp_path, monkeypatch):
+    """The files in the order of their names, their rows as they stand, hold the documents in ascending doc_id order."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(idfiles, "BLOCK_IDS", 40)
+    texts = [f"a b c {i} " * (i % 30) for i in range(700)]
+    idfiles.write_ids(docs_of([*texts, "x " * 300_000, None], [*((i * 37) % 700 for i in range(700)), 900, None]), f"{tmp_path}/ids")
+    found = []
+    for f in sorted((tmp_path / "ids").glob("*.parquet")):
+        t = pq.read_table(f)
+        found.append([(s, b, idfiles.decode_block(x)[0]) for s, b, x in zip(*(t.column(c).to_pylist() for c in ("shard", "block", "payload")), strict=True)])
+    rows = [r for f in found for r in f]
+    assert len([f for f in found if f]) > 1 and [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+    assert [k for _, _, ids in rows for k in ids] == [None, *range(700), 900]
+    back = {r.doc_id: (r.start, r.n_tokens) for r in idfiles.read_ids(spark, f"{tmp_path}/ids").collect()}
+    at = 0
+    for k in [None, *range(700), 900]:
+        assert back[k][0] == at
+        at += back[k][1]
+
+
 def test_token_files(spark, docs_of, tokenizer):
     ids = [7, 3, None, 40, 41, 42, 43, 44, 45, 2, 1, 0]
     docs = docs_of(TEXTS, ids)
@@ -105,7 +126,7 @@ def test_token_files(spark, docs_of, tokenizer):
     assert sorted((r.doc_id, r.start) for r in twice) == [(0, 0), (1, 2), (1, 5)]
 
 
-URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q#f", "http://example.com/en/", "http://m.example.com/en/x", "http://x.net/es/", "http://net/fr/a/b", "http://x.net/ES/", "http://x.net/esa", "no scheme", None, "", "://", "http://com", "http://acom/x", "http://a.com?x/", "ftp://b.org/y://z.com/", "http://.com/", "http://example.com:80/en/", "http://é.Ünet/es/", "http://x.net/es/\n?"]
+URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q#f", "http://example.com/en/", "http://m.example.com/en/x", "http://x.net/es/", "http://net/fr/a/b", "http://x.net/ES/", "http://x.net/esa", "no scheme", None, "", "://", "http://com", "http://acom/x", "http://a.com?x/", "ftp://b.org/y://z.com/", "http://.com/", "http://example.com:80/en/", "http://é.Ünet/es/", "http://x.net/es/\n?", "http://" + "a." * 5000 + "example.com/en/x", "http://" + "." * 3000 + "net/es/", "http://x.net/es/" + "y/" * 50_000]
 
 
 def judge(url, rules):
@@ -121,7 +142,7 @@ def judge(url, rules):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_urls(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(urlrules, "BROADCAST_RULES", 200_000 if broadcast else -1)
+    monkeypatch.setattr(urlrules, "BROADCAST_BYTES", 32 << 20 if broadcast else -1)
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("org", "", "block")]
     pages = spark.createDataFrame([(i, u, "h", "r", 1) for i, u in enumerate(URLS)] + [(None, URLS[0], "h", "r", 1), (3, URLS[3], "h", "r", 1)], "page_id long, url string, host string, rule string, salt int")
     got = sorted(map(tuple, urlrules.judge_urls(pages, urlrules.rule_table(spark, rules)).collect()), key=repr)
