@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Trained models and tokenizers have no SQL form; tests compare the stages with brute force.
+#: Trained models and tokenizers have no SQL form; a test compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
