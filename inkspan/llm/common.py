@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspan.sources.tables import materialise, release, scratch_path
 
-__all__ = ["bucket_count", "crc32", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "worker_cache"]
+__all__ = ["bucket_count", "crc32", "forget_all", "forgetting", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "worker_cache"]
 
 
 #: Ranges that one quantile pass is asked for at most.
@@ -62,16 +62,34 @@ _REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
 def worker_cache(owner: str, forget: Callable[[], None]) -> None:
-    """Tell that a task uses owner's cache.
+    """Tell that this process remembers something for owner; what another operator remembered is forgotten first."""
+    if owner not in _REMEMBERED:
+        forget_all()
+        _REMEMBERED[owner] = forget
 
-    Python workers are reused by one stage after the other, so what another operator
-    remembered is forgotten first: a worker holds one operator's cache at a time.
+
+def forget_all() -> None:
+    """Forget what this process remembers, and give the memory back."""
+    if not _REMEMBERED:
+        return
+    for forget in _REMEMBERED.values():
+        forget()
+    _REMEMBERED.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def forgetting(run: Callable) -> Callable:
+    """A function for mapInArrow that forgets at its task's end.
+
+    Idle Python workers stay, so what they remembered would pile up from stage to stage.
     """
-    others = [k for k in _REMEMBERED if k != owner]
-    for k in others:
-        _REMEMBERED.pop(k)()
-    if others:
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-    _REMEMBERED[owner] = forget
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget_all()
+
+    return task

@@ -390,7 +390,7 @@ def _search(part: list[tuple[int, str]], schema: T.StructType):
     def run(batches):
         import pyarrow as pa
 
-        worker_cache("benchmark", int)  # nothing outlives the task; what others remembered goes
+        worker_cache("benchmark", int)
         items = Benchmark(part)
         for b in batches:
             at, rows = [], []
@@ -415,7 +415,7 @@ def _without(part: list[tuple[int, str]], text_at: int):
     def run(batches):
         import pyarrow as pa
 
-        worker_cache("benchmark", int)  # nothing outlives the task; what others remembered goes
+        worker_cache("benchmark", int)
         items = Benchmark(part)
         for b in batches:
             yield b.filter(pa.array([not items.leaks(t.as_py(), first_only=True) for t in b.column(text_at)], pa.bool_()))

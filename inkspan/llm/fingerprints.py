@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import bucket_count, id_boundaries
+from inkspan.llm.common import bucket_count, forgetting, id_boundaries, worker_cache
 
 SAMPLES = 64
 WIDTH = 2
@@ -46,7 +46,7 @@ _ODD = 0x9E3779B97F4A7C15
 class Words(dict):
     """Word -> 64-bit hash, remembered up to a limit."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -58,10 +58,16 @@ class Words(dict):
 _WORDS = Words()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+    _draws.cache_clear()
+
+
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     """64-bit hashes of all runs of `width` words, in order; of all words as one run where there are fewer."""
     if not words:
         return np.zeros(0, np.uint64)
+    worker_cache("words", _forget)
     h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(1, len(h) - width + 1)
     with np.errstate(over="ignore"):
@@ -205,4 +211,4 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, width: int = WIDTH) ->
         if rows:
             yield flush()
 
-    return with_next(docs).select("range", "tail", "doc_id", "text").mapInArrow(run, schema)
+    return with_next(docs).select("range", "tail", "doc_id", "text").mapInArrow(forgetting(run), schema)

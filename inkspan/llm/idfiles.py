@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bucket_count, crc32, id_boundaries, scratch_path, shuffle_partitions
+from inkspan.llm.common import bucket_count, crc32, forgetting, id_boundaries, scratch_path, shuffle_partitions
 from inkspan.llm.tokens import default_vocabulary, encoder
 
 #: Fixed values of the format: selector: (ids in a word, bits of each).
@@ -211,7 +211,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
         if own:
             yield flush()
 
-    encoded = docs.select("doc_id", "text").mapInArrow(tokenise, "shard int, doc_id long, width int, ids binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(forgetting(tokenise), "shard int, doc_id long, width int, ids binary")
     shards = len(cuts) + 1
     files = min(shards, max(shuffle_partitions(docs.sparkSession), shards // 8))
     ordered = encoded.repartitionById(files, F.expr(f"cast(shard * {files}L div {shards} as int)")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())

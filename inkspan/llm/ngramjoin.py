@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import input_bytes, materialise, partition_id, release, shuffle_partitions
+from inkspan.llm.common import forgetting, input_bytes, materialise, partition_id, release, shuffle_partitions
 from inkspan.llm.fingerprints import shingle_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -506,7 +506,7 @@ def _sets(docs: DataFrame, width: int, percent: int, buckets: int | None = None)
     size = input_bytes(docs)
     if buckets is None:
         buckets = max(2 * shuffle_partitions(docs.sparkSession), min(0 if size >= 1 << 60 else size // (4 << 20), MOST_BUCKETS))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).mapInArrow(_deal(buckets, width), "target int, batch long, kind int, texts binary, hashes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).mapInArrow(forgetting(_deal(buckets, width)), "target int, batch long, kind int, texts binary, hashes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
     answered = dealt.repartition("target").sortWithinPartitions("kind", "target").mapInArrow(_answer, "batch long, target int, texts binary, hashes binary, classes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
     gathered = answered.repartition("batch").sortWithinPartitions("batch", "target").mapInArrow(_gather(buckets, percent), "doc_id long, tie long, key long, size int, shared int, tokens binary, prefix array<long>, inner int, signature binary, batch long")
     table = materialise(gathered, "shingles")

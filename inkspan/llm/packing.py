@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import crc32, materialise, partition_id
+from inkspan.llm.common import crc32, forgetting, materialise, partition_id
 from inkspan.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -250,7 +250,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separator
             columns = [b.column(0).take(pa.array(at, pa.int64()))] + [pa.array(r, t) for r, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * include_ids, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(forgetting(cut), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, include_ids: bool = False) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import materialise, worker_cache
+from inkspan.llm.common import forgetting, materialise, worker_cache
 
 BITS = 11
 BUCKETS = 1 << BITS
@@ -51,7 +51,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Hashes(dict):
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.LIMIT:
@@ -88,7 +88,7 @@ def count_ngrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+    for r in docs.select("text").mapInArrow(forgetting(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         out[r["bucket"]] = r["n"]
     return out
 
@@ -166,7 +166,7 @@ def _weighed(docs: DataFrame, ratio: np.ndarray | None, keep: list[str], seed: i
             g = np.array([noise(k, t, seed) for k, t in zip(keys, texts, strict=True)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64()), pa.array(w + g, pa.float64())], names=[f.name for f in schema.fields])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(forgetting(run), schema)
 
 
 def kth_largest(table: DataFrame, column: str, k: int, most: int = 5000) -> float:

@@ -22,7 +22,7 @@ import numpy as np
 from inkspan.llm.common import worker_cache
 
 #: Chunks remembered in a worker, in two generations; those used of late stay.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 #: What a vocabulary file must say for its texts to be encoded chunk by chunk.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

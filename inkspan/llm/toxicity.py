@@ -36,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkspan.llm.common import forgetting, worker_cache
+
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
 #: Sizes of the trained embeddings of words and of character n-grams, and the n-grams' lengths.
 OF_WORDS, OF_GRAMS, GRAMS = 8, 8, (5, 6)
 #: A word or n-gram can have an embedding if so many training texts have it, or this share of the toxic ones' number.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.03
+#: Size of the table that counts n-grams by hash.
+SLOTS = 1 << 22
 #: Rounds of choosing windows; passes over them in each, or as many as make STEPS steps in all, for small samples.
 ROUNDS, EPOCHS, STEPS = 3, 4, 300
 #: Learning rate and by how many powers of two it falls; an embedding's rate is so many times higher, and it shrinks as some windows can make it grow: KEEP of them, or a hundredth of the toxic texts.
@@ -51,7 +55,7 @@ THRESHOLD = 0.7
 ERRORS = 2.5
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
 #: Words whose inputs are remembered in a task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Words of texts that are scored together.
 AT_ONCE = 60_000
 
@@ -202,8 +206,9 @@ def _family(words: list[str], k: int = 6) -> set:
 def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     """Words and label of the rows that have words, without near copies of one earlier row of the same label."""
     out, holders = [], defaultdict(list)
+    same: dict[str, str] = {}  # one string object for each word
     for text, label in rows:
-        w = words_of(text)
+        w = [same.setdefault(x, x) for x in words_of(text)]
         if not w:
             continue
         family = [(int(label), *x) for x in _family(w)]
@@ -221,15 +226,21 @@ class Lexicon:
 
     def __init__(self, texts: list[list[str]]):
         words: dict[str, int] = {}
-        grams: dict[str, int] = {}
         self.texts = [np.fromiter((words.setdefault(w, len(words)) for w in t), np.int32, len(t)) for t in texts]
-        own = [[grams.setdefault(g, len(grams)) for g in grams_of(w)] for w in words]
-        self.words, self.names = list(words), list(grams)
-        self.sizes = np.array([len(g) for g in own])
-        self.share = (self.sizes**-0.5).astype(np.float32)
+        self.words, self.words_in = list(words), [np.unique(t) for t in self.texts]
+        # n-grams that fewer texts hold than an embedding needs can't speak for a label, and aren't listed; a table of hashes counts them
+        whole = np.fromiter((len(grams_of(w)) for w in self.words), np.int64, len(self.words))
+        slots = np.fromiter((zlib.crc32(g.encode()) & (SLOTS - 1) for w in self.words for g in grams_of(w)), np.int32, int(whole.sum()))
+        self.sizes, self.starts, self.grams = whole, np.cumsum(whole) - whole, slots
+        often = self.held([np.unique(slots[self._places(t)]) for t in self.words_in], range(len(texts)), SLOTS) >= LEAST_TEXTS
+        grams: dict[str, int] = {}
+        listed = often[slots].tolist()
+        every = (g for w in self.words for g in grams_of(w))
+        self.grams = np.array([grams.setdefault(g, len(grams)) for g, some in zip(every, listed, strict=True) if some], np.int32)
+        self.sizes = np.add.reduceat(np.array(listed, np.int64), self.starts)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.grams = np.array([g for x in own for g in x], np.int32)
-        self.words_in = [np.unique(t) for t in self.texts]
+        self.share = (whole**-0.5).astype(np.float32)
+        self.names = list(grams)
         self.grams_in = [np.unique(self.grams[self._places(t)]) for t in self.words_in]
 
     def _places(self, words: np.ndarray) -> np.ndarray:
@@ -247,7 +258,8 @@ class Lexicon:
             others = [i for i in range(len(labels)) if i % folds != f]
             n = [[i for i in others if labels[i] == y] for y in (0, 1)]
             words, grams = (least_log_odds(self.held(of, n[1], size), self.held(of, n[0], size), len(n[1]), len(n[0])) for of, size in ((self.words_in, len(self.words)), (self.grams_in, len(self.names))))
-            speaks = np.maximum(words, np.maximum.reduceat(grams[self.grams], self.starts))
+            speaks = words.copy()
+            np.maximum.at(speaks, np.repeat(np.arange(len(self.words)), self.sizes), grams[self.grams])
             for i in range(f, len(labels), folds):
                 z = speaks[self.texts[i]]
                 out[i] = np.argsort([-float(np.sort(z[s : s + WINDOW])[-2:].sum()) for s in windows(len(z))], kind="stable").tolist()
@@ -260,7 +272,7 @@ class Lexicon:
         self.rows, rows = np.zeros(len(self.words), np.int64), np.full(len(self.names), -1)
         self.rows[words], rows[grams] = np.arange(1, len(words) + 1), np.arange(len(grams))
         known = rows[self.grams] >= 0
-        self.sizes = np.add.reduceat(known.astype(np.int64), self.starts)
+        self.sizes = np.bincount(np.repeat(np.arange(len(self.words)), self.sizes)[known], minlength=len(self.words))
         self.grams, self.starts = rows[self.grams[known]], np.cumsum(self.sizes) - self.sizes
         return {self.words[w]: i for i, w in enumerate(words.tolist(), 1)}, {self.names[g]: i for i, g in enumerate(grams.tolist())}
 
@@ -482,6 +494,7 @@ def _with_scores(docs: DataFrame, model: dict | None, threshold: float, keep: li
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("toxicity", int)  # only so that memory is given back at the end
         scorer = Scorer(shared.value)
         for b in batches:
             scores, waiting, held = [], [], 0
@@ -496,7 +509,7 @@ def _with_scores(docs: DataFrame, model: dict | None, threshold: float, keep: li
             s = np.round(np.concatenate(scores), 6)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(forgetting(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,7 +3,11 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from test_ngramjoin import brute
+from test_toxicity import naive_score
+
 import corpus_pipeline as cp
+from inkspan.llm import quality, toxicity
 from inkspan.llm.decontaminate import Benchmark
 from inkspan.llm.tokens import ChunkEncoder, default_vocabulary
 
@@ -45,6 +49,17 @@ def test_pipeline(spark, tmp_path):
         after = {r.doc_id: r for r in at.collect()}
         assert all(before[k] == after[k] for k in after)
         left.append(set(after))
+    # the same by brute force: scores window by window, all weights sorted, all pairs of sets, every item in every text
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.train(toxicity.training_rows(docs, labels, toxicity.third_held_out))
+    rest = {i: t for i, t in enumerate(texts) if naive_score(model, t) < toxicity.THRESHOLD}
+    assert left[0] == set(rest)
+    ratio, cut = quality.fit(docs.where(F.col("doc_id").isin(list(rest))), labels)
+    weight = {i: sum(float(ratio[g]) for g in quality.ngrams(t).tolist()) for i, t in rest.items()}
+    k = sum(w >= cut for w in weight.values())
+    rest = {i: rest[i] for i in sorted(rest, key=lambda i: -(weight[i] + quality.noise(i, rest[i])))[:k]}
+    assert left[1] == set(rest)
+    assert left[2] == {c for _, _, c in brute(sorted(rest.items()))}
     toxic, junk, copies, leaks = ({i for i in range(260) if kinds[i] == k} for k in ("toxic", "junk", "copy", "leak"))
     clean = {i for i in range(260) if kinds[i] == "clean"}
     assert not left[0] & toxic and clean <= left[0]
@@ -59,3 +74,24 @@ def test_pipeline(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(e.encode(texts[r.doc_id]) + bytes(4)) and r.piece == 0
     assert [n for n, _ in cp.STAGES] == ["toxicity", "quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     assert cp.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == sum(r.length for r in rows)
+
+
+def test_edge_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, and tables without rows."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    prose = [" ".join(rng.choice(words) for _ in range(rng.randrange(10, 60))) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t), 1) for i, t in enumerate(prose)] + [(100, None, None, None, None, None), (101, "", "en", None, 0, 2), (None, prose[3], "en", "s", 1, 3), (None, prose[3], "en", "s", 1, 3), (102, prose[4], "en", "s", 1, 4), (5, prose[5], "en", "s", len(prose[5]), 1), (103, "so " * 60_000, "en", "s", 180_000, 5), (104, "x" * 100_000, "en", "s", 100_000, 6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, length int"
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, ""), (None, prose[9])] if some else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = cp.run(spark, f"{tmp_path}/full").collect()
+    kept = {r.doc_id for r in out}
+    assert {100, 101, 103, 104, 4} <= kept and 102 not in kept and 9 not in kept
+    lengths = {}
+    for r in out:
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert max(lengths.values()) <= 2048 and sum(r.length for r in out if r.doc_id == 100) == 1
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0

@@ -93,6 +93,46 @@ def test_one_toxic_word_among_rare_ones_is_learned():
     assert a != b
 
 
+def naive_score(model, text):
+    """Word by word, window by window."""
+    if model is None or not (words := tox.words_of(text)):
+        return 0.0
+    p = {k: v.astype(np.float64) for k, v in model["p"].items()}
+
+    def sig(x):
+        return 1 / (1 + np.exp(-x))
+
+    best = -np.inf
+    for s in tox.windows(len(words)):
+        inputs = []
+        for w in words[s : s + tox.WINDOW]:
+            grams = tox.grams_of(w)
+            known = [p["E"][model["grams"][g]] for g in grams if g in model["grams"]]
+            inputs.append(np.concatenate([p["V"][model["words"].get(w, 0)], sum(known, np.zeros(tox.OF_GRAMS)) / len(grams) ** 0.5]))
+        sides = []
+        for k in "fb":
+            h, out = np.zeros(tox.HIDDEN), []
+            for x in inputs if k == "f" else inputs[::-1]:
+                a, g = x @ p[f"W{k}"] + p[f"c{k}"], h @ p[f"U{k}"]
+                z, r = sig(a[:8] + g[:8]), sig(a[8:16] + g[8:16])
+                h = z * h + (1 - z) * np.tanh(a[16:] + r * g[16:])
+                out.append(h)
+            sides.append(out if k == "f" else out[::-1])
+        states = np.concatenate(sides, axis=1)
+        e = np.exp(np.tanh(states @ p["A"]) @ p["v"])
+        best = max(best, float((e / e.sum()) @ states @ p["w"] + p["o"][0]))
+    return float(sig(best))
+
+
+def test_scores_match_brute_force():
+    rng = np.random.default_rng(4)
+    bad = rng.random(200) < 0.3
+    texts = made(rng, 200, bad)
+    model = tox.train(list(zip(texts, bad.astype(int).tolist(), strict=True)))
+    some = [*texts[:40], "", "one", "zounds", " ".join(texts[:30])]
+    assert np.allclose(tox.Scorer(model).scores([tox.words_of(t) for t in some]), [naive_score(model, t) for t in some], atol=1e-4)
+
+
 def test_near_copies_are_left_out_by_label_and_row():
     from inkspan.llm.toxicity import without_near_copies
 
