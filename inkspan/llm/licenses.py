@@ -5,11 +5,14 @@ matter.  A template of n words may differ by d = n x DIFFERENCES words; of any
 d + 1 disjoint runs of its words a fitting stretch has one unchanged, so these
 runs find all windows where the template can stand.  In a window an alignment
 of words gives the candidate block: the stretch with the fewest words lacking
-and beyond.  Each candidate block is compressed with its template as zstandard
-raw dictionary; blocks that overlap are ranked by the share of their size that
-this saves, in steps of MARGIN, and winners of one step are told apart by their
-exact differences in wording, then by length.  A winner grows to the longest
-fitting stretch of the same license around it.
+and beyond, whether they are few enough or not.  Each candidate block is
+compressed alone and with every template as zstandard raw dictionary; the share
+of its size that a template saves ranks the templates.  They are confirmed in
+that order by their exact differences in wording; of the first that fits and
+those that save less by under MARGIN, the one with the fewest differences names
+the block.  Blocks that overlap are ranked by their saving, in steps of MARGIN,
+then by differences, then by length.  A winner grows to the longest fitting
+stretch of the same license around it.
 
 Templates are notices, paragraphs and tags of public licenses; a caller can
 give others.  `...` in a template stands for up to GAP_WORDS words (holders,
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -88,11 +91,11 @@ TEMPLATES += [(i, f"under the {name}") for i, name in NAMES]
 TEMPLATES += [(i, f"SPDX-License-Identifier: {i}") for i in dict.fromkeys(i for i, _ in TEMPLATES) if i != "all-rights-reserved"]
 #: Differing words allowed for each word of the template.
 DIFFERENCES = 0.1
-#: Blocks whose savings differ by less are one rank.
+#: Templates and blocks whose savings differ by less are one rank.
 MARGIN = 0.1
 #: Words that `...` in a template stands for at most.
 GAP_WORDS = 30
-#: Alignments that a worker remembers.
+#: Alignments that a worker remembers, and as many rankings.
 CACHE_WINDOWS = 20_000
 
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -160,12 +163,18 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return align(template, block, whole=True)[2:]
 
 
+def least_differences(template: Counter, block: Counter) -> int:
+    """Words that differ in any order; never more than differences() has."""
+    return sum((template - block).values()) - template["..."] + (0 if template["..."] else sum((block - template).values()))
+
+
 class Matcher:
     def __init__(self, templates=None, differences_allowed: float = DIFFERENCES):
         import zstandard
 
         self.templates = [(i, t, wording(t)) for i, t in templates or TEMPLATES]
         self.allowed = [int(differences_allowed * len(w) + 1e-9) for _, _, w in self.templates]
+        self.counts = [Counter(w) for _, _, w in self.templates]
         self.pieces: dict[str, list[tuple[int, int, int]]] = {}
         for k, (_, _, w) in enumerate(self.templates):
             for at, run in pieces(w, self.allowed[k]):
@@ -175,7 +184,8 @@ class Matcher:
             zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for _, _, w in self.templates
         ]
-        self.known: OrderedDict[tuple, tuple] = OrderedDict()
+        self.known: OrderedDict[tuple, tuple[int, int]] = OrderedDict()
+        self.named: OrderedDict[tuple, tuple | None] = OrderedDict()
 
     def savings(self, words: list[str]) -> list[float]:
         """For each template, the share of the block's compressed size that it saves."""
@@ -187,27 +197,48 @@ class Matcher:
         data = " ".join(words).encode()
         return 1 - len(self.with_template[k].compress(data)) / len(self.plain.compress(data))
 
-    def _aligned(self, k: int, words: list[str]) -> tuple:
-        """align() with its saving, remembered."""
+    def _stretch(self, k: int, words: list[str]) -> tuple[int, int]:
+        """First and end of align(), remembered."""
         key = (k, *words)
         if key in self.known:
             self.known.move_to_end(key)
             return self.known[key]
-        first, end, lacks, beyond = align(self.templates[k][2], words)
-        out = (first, end, lacks, beyond, self.saving(k, words[first:end]) if end > first else 0.0)
-        self.known[key] = out
+        out = self.known[key] = align(self.templates[k][2], words)[:2]
         if len(self.known) > CACHE_WINDOWS:
             self.known.popitem(last=False)
         return out
 
+    def name(self, block: list[str]) -> tuple | None:
+        """(template, saving, lacks, beyond) of a block, None if no template fits; remembered."""
+        key = tuple(block)
+        if key in self.named:
+            self.named.move_to_end(key)
+            return self.named[key]
+        saved, counts, best = self.savings(block), Counter(block), []
+        for k in sorted(range(len(saved)), key=lambda k: (-saved[k], k)):
+            if best and saved[k] <= saved[best[0][2]] - MARGIN:
+                break
+            if least_differences(self.counts[k], counts) <= self.allowed[k]:
+                lacks, beyond = differences(self.templates[k][2], block)
+                if len(lacks) + len(beyond) <= self.allowed[k]:
+                    best.append((len(lacks) + len(beyond), -saved[k], k, lacks, beyond))
+        out = None
+        if best:
+            _, saving, k, lacks, beyond = min(best, key=lambda x: x[:3])
+            out = k, -saving, lacks, beyond
+        self.named[key] = out
+        if len(self.named) > CACHE_WINDOWS:
+            self.named.popitem(last=False)
+        return out
+
     def fits(self, joined: str) -> list[tuple]:
-        """(first word, end word, template, saving, lacks, beyond) of all stretches that a template fits; joined has a space around each word."""
+        """(first word, end word, template, saving, lacks, beyond) of all candidate blocks that a template fits; joined has a space around each word."""
         hits = [(piece, places) for piece, places in self.pieces.items() if piece in joined]
         if not hits:
             return []
         words = joined.split()
         starts = [0, *accumulate(len(w) + 1 for w in words)]
-        found = {}
+        blocks: set[tuple[int, int]] = set()
         for piece, places in hits:
             at = joined.find(piece)
             while at >= 0:
@@ -220,11 +251,10 @@ class Matcher:
                         before, after = template[:offset], template[offset + n :]
                         low = max(0, p - len(before) - d - GAP_WORDS * before.count("..."))
                         window = words[low : p + n + len(after) + d + GAP_WORDS * after.count("...")]
-                    first, end, lacks, beyond, saving = self._aligned(k, window)
-                    if end > first and len(lacks) + len(beyond) <= d:
-                        found[low + first, low + end, k] = (saving, lacks, beyond)
+                    first, end = self._stretch(k, window)
+                    blocks.add((low + first, low + end))
                 at = joined.find(piece, at + 1)
-        return [(*place, *how) for place, how in found.items()]
+        return [(a, z, *named) for a, z in sorted(blocks) if z > a and (named := self.name(words[a:z]))]
 
     def scan(self, text: str | None) -> list[tuple]:
         """(first, end, license, template, saving, lacks, beyond) of every stretch with a license."""

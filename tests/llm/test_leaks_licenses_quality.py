@@ -282,3 +282,42 @@ def test_license_stretches():
             del words[rng.randrange(1, len(words) - 1)]
         if m.allowed[k]:
             assert name in [x[2] for x in m.scan(prose(50, rng) + "\n" + "\n".join(words) + "\n" + prose(50, rng))]
+
+
+class Asked:
+    """A compressor that notes when it is used."""
+
+    def __init__(self, k, compressor, seen):
+        self.k, self.compressor, self.seen = k, compressor, seen
+
+    def compress(self, data):
+        self.seen.setdefault(data.decode(), set()).add(self.k)
+        return self.compressor.compress(data)
+
+
+def test_every_template_is_ranked_on_each_candidate_block():
+    m = licenses.Matcher()
+    seen = {}
+    m.with_template = [Asked(k, c, seen) for k, c in enumerate(m.with_template)]
+    text = "This work is licensed under the\nGNU General Public License, version 3. " + prose(20) + " Licensed under CC BY 4.0."
+    assert [x[2] for x in m.scan(text)] == ["GPL-3.0", "CC-BY-4.0"]
+    assert "licensed under cc by 4.0" in seen and all(ks == set(range(len(m.templates))) for ks in seen.values())
+
+
+def test_named_block_matches_brute_force():
+    """Templates that fit a block within MARGIN of the one that saves most; of them the fewest differences."""
+    rng = random.Random(5)
+    named = 0
+    for _ in range(40):
+        base = prose(24, rng).split()
+        templates = [(str(k), " ".join(rng.choice([w, w, w, w, w, w, w, rng.choice(WORDS)]) for w in base)) for k in range(5)] + [("gap", " ".join([*base[:8], "...", *base[12:]]))]
+        m = licenses.Matcher(templates, 0.4)
+        for block in (base, base[1:], [*base[:10], "more", *base[10:]], base[:6], prose(20, rng).split()):
+            saved = m.savings(block)
+            found = [(licenses.differences(w, block), k) for k, (_, _, w) in enumerate(m.templates)]
+            fits = [(sum(map(len, d)), -saved[k], k, *d) for d, k in found if sum(map(len, d)) <= m.allowed[k]]
+            top = max((-x[1] for x in fits), default=0)
+            want = min((x for x in fits if -x[1] > top - licenses.MARGIN), default=None)
+            assert m.name(block) == (want and (want[2], -want[1], *want[3:]))
+            named += want is not None
+    assert 60 < named < 200
