@@ -7,9 +7,10 @@ least PERCENT / 100.  The join is exact; no step caps partners or candidates.
    out, packed, into buckets of hashes (a copy of a text in the same batch is
    dealt once, and a hash that more than HOT texts of a batch hold is dealt once
    with its count).  A bucket's task sees all holders of a hash, and answers each
-   batch with the shared hashes of its texts and how frequent they are.  From
-   there on a hash is its 40 low bits and its bucket's number, so of n hashes two
-   different ones are taken for one with a chance of n^2 / 2^41 / buckets.
+   batch with the shared hashes of its texts and how frequent they are.  A bucket
+   knows a hash by its 40 low bits, so of n hashes two different ones are taken
+   for one with a chance of n^2 / 2^41 / buckets.  From there on a hash is its rank
+   among the shared hashes of its bucket, and the bucket's number: some four bytes.
 2. A link needs an overlap of PERCENT / 100 of either set.  So texts with too
    many hashes of their own drop out, and the others are candidates by their
    prefix: their rarest shared hashes, of which linked texts have one in common.
@@ -64,7 +65,7 @@ BITMAP_WORDS = 1 << 18
 BEST_ROUNDS, LEAST_FOUND = 8, 4
 #: Buckets at most; up to 1 TB of text a bucket has 4 MB of it, beyond that buckets grow.
 MOST_BUCKETS = 1 << 18
-#: Hashes of a set are kept as 40 bits beside their bucket.
+#: Hashes of a set are dealt as 40 bits.
 LOW = (1 << 40) - 1
 
 
@@ -96,11 +97,17 @@ def _from5(data: bytes) -> np.ndarray:
 
 
 def _packed(tokens: np.ndarray, width: int) -> bytes:
-    """Numbers in as many bytes as buckets and low bits need."""
+    """Numbers in so many bytes each."""
     return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _width(largest: int) -> int:
+    return max(1, (int(largest).bit_length() + 7) // 8)
+
+
 def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
     out = np.zeros((n, 8), np.uint8)
     own = np.frombuffer(data, np.uint8).reshape(n, -1)
     out[:, : own.shape[1]] = own
@@ -122,17 +129,35 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _gaps(owners: np.ndarray) -> bytes:
-    """Ascending numbers as steps of one byte; 255 stands for 255 and going on."""
-    steps = np.diff(owners, prepend=0)
-    more = steps // 255
-    out = np.full(len(steps) + int(more.sum()), 255, np.uint8)
-    out[np.arange(len(steps)) + np.cumsum(more)] = steps % 255
-    return out.tobytes()
+    """Ascending numbers as steps in Rice's code: about a bit more than the logarithm of the mean step.
+
+    A byte with the number k of plain bits and the length of the count, the count, all plain bits, all unary parts.
+    """
+    n = len(owners)
+    if not n:
+        return b""
+    steps = np.diff(owners, prepend=0).astype(np.int64)
+    k = max(0, (int(owners[-1]) // n).bit_length() - 1)
+    width = _width(n)
+    ends = np.cumsum((steps >> k) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    plain = ((steps[:, None] >> np.arange(k)) & 1).astype(np.uint8)
+    return bytes([k | (width - 1) << 6]) + n.to_bytes(width, "little") + np.packbits(plain).tobytes() + np.packbits(unary).tobytes()
 
 
 def _from_gaps(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+    if not data:
+        return np.zeros(0, np.int64)
+    k, width = data[0] & 63, (data[0] >> 6) + 1
+    n, at = int.from_bytes(data[1 : 1 + width], "little"), 1 + width
+    body = np.frombuffer(data, np.uint8)
+    after = at + (n * k + 7) // 8
+    steps = np.diff(np.flatnonzero(np.unpackbits(body[after:])), prepend=-1) - 1
+    if k:
+        plain = np.unpackbits(body[at:after], count=n * k).reshape(n, k)
+        steps = (steps << k) + plain @ (1 << np.arange(k))
+    return np.cumsum(steps, dtype=np.int64)
 
 
 def _counts(values) -> bytes:
@@ -211,7 +236,7 @@ def _classes(frequency: np.ndarray) -> np.ndarray:
 
 
 def _answer(batches):
-    """Stage 2: for each bucket, which of a batch's hashes are shared with another text, and how frequent they are."""
+    """Stage 2: for each bucket, which of a batch's hashes are shared with another text, as ranks, and how frequent they are."""
     import pyarrow as pa
 
     schema = pa.schema([("batch", pa.int64()), ("target", pa.int32()), ("texts", pa.binary()), ("hashes", pa.binary()), ("classes", pa.binary()), ("hot", pa.binary()), ("hot_counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64()))])
@@ -225,16 +250,19 @@ def _answer(batches):
         v = values[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         times = np.diff(np.append(first, len(v)))
-        frequency = np.empty(len(v), np.int64)
-        frequency[order] = np.repeat(np.add.reduceat(weights[order], first), times)
+        holders = np.add.reduceat(weights[order], first)
+        frequency, rank = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+        frequency[order] = np.repeat(holders, times)
+        rank[order] = np.repeat(np.cumsum(holders > 1) - 1, times)  # the same whatever order the rows come in
+        width = _width(max(0, rank.max()))
         at = 0
         for r in own:
             n, hot = len(r["hashes"]) // 5, len(r["hot"]) // 5
-            f, x, h = frequency[at : at + n], values[at : at + n], frequency[at + n : at + n + hot]
+            f, x, h, y = frequency[at : at + n], rank[at : at + n], frequency[at + n : at + n + hot], rank[at + n : at + n + hot]
             at += n + hot
             keep = f > 1
             if keep.any() or hot:
-                yield pa.RecordBatch.from_pylist([none | {"batch": r["batch"], "target": target, "texts": _gaps(_from_gaps(r["texts"])[keep]), "hashes": _low5(x[keep]), "classes": _classes(f[keep]).tobytes(), "hot": _classes(h).tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([none | {"batch": r["batch"], "target": target, "texts": _gaps(_from_gaps(r["texts"])[keep]), "hashes": _packed(x[keep], width), "classes": _classes(f[keep]).tobytes(), "hot": _classes(h).tobytes(), "hot_counts": _packed(y, width)}], schema=schema)
 
     for b in batches:
         for row in b.to_pylist():
@@ -272,16 +300,18 @@ def _gather(buckets: int, percent: int):
             answers = [r for r in own if r["target"] >= 0]
             if not answers:
                 return
-            tokens = [_from5(r["hashes"]) | (np.uint64(r["target"]) << np.uint64(40)) for r in answers]
-            classes = [np.frombuffer(r["classes"], np.uint8) for r in answers]
+
+            def named(ranks: bytes, n: int, target: int):
+                return _unpacked(ranks, n) * np.uint64(buckets) + np.uint64(target)
+
             owner = [_from_gaps(r["texts"]) for r in answers]
-            hot = np.frombuffer(head["hot"], "<u8")
-            if len(hot):  # they ascend, and so do the buckets they were dealt to
+            tokens = [named(r["hashes"], len(o), r["target"]) for r, o in zip(answers, owner, strict=True)]
+            classes = [np.frombuffer(r["classes"], np.uint8) for r in answers]
+            if head["hot"]:  # they ascend, and so do the buckets they were dealt to
                 times = np.frombuffer(head["hot_counts"], "<u4")
-                to = ((hot >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                of_hot = np.concatenate([np.frombuffer(r["hot"], np.uint8) for r in sorted(answers, key=lambda r: r["target"])])
-                tokens.append(np.repeat((hot & np.uint64(LOW)) | (to << np.uint64(40)), times))
-                classes.append(np.repeat(of_hot, times))
+                ascending = sorted(answers, key=lambda r: r["target"])
+                tokens.append(np.repeat(np.concatenate([named(r["hot_counts"], len(r["hot"]), r["target"]) for r in ascending]), times))
+                classes.append(np.repeat(np.concatenate([np.frombuffer(r["hot"], np.uint8) for r in ascending]), times))
                 owner.append(np.frombuffer(head["hashes"], "<u4").astype(np.int64))
             tokens, classes, owner = np.concatenate(tokens), np.concatenate(classes), np.concatenate(owner)
             order = np.lexsort((tokens, classes, owner))
@@ -296,7 +326,7 @@ def _gather(buckets: int, percent: int):
                 if len(t) < need:
                     continue
                 prefix = t[: len(t) - need + 1]
-                rows.append({"doc_id": None, "tie": None, "key": head["keys"][i], "size": size, "shared": len(t), "tokens": _packed(np.sort(t), 5 + ((buckets - 1).bit_length() + 7) // 8), "prefix": prefix.astype(np.int64).tolist(), "inner": max(0, len(t) - inner_overlap(size, percent) + 1), "signature": signature(t), "batch": batch})
+                rows.append({"doc_id": None, "tie": None, "key": head["keys"][i], "size": size, "shared": len(t), "tokens": _packed(np.sort(t), _width(t.max())), "prefix": prefix.astype(np.int64).tolist(), "inner": max(0, len(t) - inner_overlap(size, percent) + 1), "signature": signature(t), "batch": batch})
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []

@@ -143,3 +143,18 @@ def test_gaps_round_trip():
 def test_empty_table(spark, docs_of):
     assert nj.components(docs_of([])).collect() == []
     assert [tuple(r) for r in nj.components(docs_of([None, ""], [4, 5])).collect()] in ([(4, 0, 4), (5, 0, 5)], [(5, 0, 5), (4, 0, 4)])
+
+
+def test_shared_hashes_and_owners_take_few_bytes(spark, docs_of):
+    """Beyond its bucket a hash is a rank, as wide as the shared hashes need, however many buckets there are; an owner is some bits."""
+    texts = [" ".join(f"u{i // 2}x{k}" for k in range(60)) + f" end{i}" for i in range(60)]
+    rows = list(enumerate(texts))
+    for buckets in (7, 100_000):
+        _, candidates = nj._sets(docs_of(texts), 5, 80, buckets)
+        got = candidates.select("shared", "tokens").collect()
+        assert len(got) == 60 and all(r.shared == 56 and len(r.tokens) <= 4 * r.shared for r in got)
+        assert sorted(map(tuple, nj.components(docs_of(texts), buckets=buckets).collect()), key=repr) == brute(rows)
+    rng = random.Random(6)
+    for top, most in ((500, 0.25), (40_000, 0.75)):
+        owners = nj.np.sort(nj.np.array([rng.randrange(top) for _ in range(15_000)]))
+        assert len(nj._gaps(owners)) < most * len(owners) and (nj._from_gaps(nj._gaps(owners)) == owners).all()
