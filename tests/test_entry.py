@@ -1,5 +1,6 @@
 """The registry without the training-data folders."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -27,3 +28,13 @@ def test_queries_without_the_folders(tmp_path, gone):
     assert out.returncode == 0, out.stderr
     n, pipeline, operators = out.stdout.split()
     assert pipeline == "False" and (operators == "False" or "inkspan/llm" not in gone)
+
+
+def test_a_pipeline_elsewhere_on_the_path_does_not_count(tmp_path):
+    shutil.copytree(HERE / "inkspan", tmp_path / "inkspan", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(HERE / "__spark_entry__.py", tmp_path)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "corpus_pipeline.py").write_text("run, ORACLE_SQL = None, None\n")
+    out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path / "other")}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split()[1] == "False"
