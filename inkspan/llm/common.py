@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspan.sources.tables import materialise, release, scratch_path
 
-__all__ = ["bucket_count", "crc32", "forget_all", "forgetting", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "worker_cache"]
+__all__ = ["bucket_count", "crc32", "forget_all", "forgetting", "give_back", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "small_table", "worker_cache"]
 
 
 #: Ranges that one quantile pass is asked for at most.
@@ -53,6 +53,17 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
+def small_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    """Rows of the driver as a table, from name -> (Arrow type, values).
+
+    They go to the JVM as Arrow: createDataFrame() of Python rows would start Python workers of a second kind, whose
+    daemon then stays on each executor beside that of mapInArrow.
+    """
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
@@ -70,20 +81,26 @@ def worker_cache(owner: str, forget: Callable[[], None]) -> None:
 
 def forget_all() -> None:
     """Forget what this process remembers, and give the memory back."""
-    if not _REMEMBERED:
-        return
     for forget in _REMEMBERED.values():
         forget()
     _REMEMBERED.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; else Arrow's pool and the C library keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
 def forgetting(run: Callable) -> Callable:
-    """A function for mapInArrow that forgets at its task's end.
+    """A function for mapInArrow that forgets at its task's end, and gives back what its batches took.
 
-    Idle Python workers stay, so what they remembered would pile up from stage to stage.
+    Idle Python workers stay, so what they hold would pile up from stage to stage.
     """
 
     def task(batches):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import worker_cache
+from inkspan.llm.common import forgetting, worker_cache
 
 Q = 12
 #: Edits allowed for each character of a match.
@@ -407,7 +407,7 @@ def _search(part: list[tuple[int, str]], schema: T.StructType):
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
     """The documents, with all their columns, in which no item leaks."""
     for part in item_parts(benchmark, most_chars):
-        docs = docs.mapInArrow(_without(part, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(forgetting(_without(part, docs.columns.index("text"))), docs.schema)
     return docs
 
 

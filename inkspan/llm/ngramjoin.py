@@ -399,7 +399,7 @@ def promising(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
     one = details_of(candidates)
     left, right = (one.select(F.col("key").alias(k), F.col("size").alias(f"size_{k}"), F.col("shared").alias(f"shared_{k}"), F.col("signature").alias(f"signature_{k}")) for k in "ab")
     met = pairs.join(left, "a").join(right, "b").select("a", "size_a", "shared_a", "signature_a", "b", "size_b", "shared_b", "signature_b")
-    return met.mapInArrow(_by_signature(percent), "a long, b long")
+    return met.mapInArrow(forgetting(_by_signature(percent)), "a long, b long")
 
 
 def details_of(candidates: DataFrame) -> DataFrame:
@@ -435,7 +435,7 @@ def confirm(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     leaders = sized.select("b", "salt").distinct().select("b", "salt", F.col("b").alias("key"), F.lit(0).alias("place"))
     rows = members.unionByName(leaders).join(one, "key").withColumn("group", F.xxhash64("b", "salt"))
     ordered = rows.select("group", "place", "key", "size", "shared", "tokens").repartition("group").sortWithinPartitions("group", "place")
-    return ordered.mapInArrow(_confirm(percent), "a long, b long").distinct()
+    return ordered.mapInArrow(forgetting(_confirm(percent)), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -537,8 +537,8 @@ def _sets(docs: DataFrame, width: int, percent: int, buckets: int | None = None)
     if buckets is None:
         buckets = max(2 * shuffle_partitions(docs.sparkSession), min(0 if size >= 1 << 60 else size // (4 << 20), MOST_BUCKETS))
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).mapInArrow(forgetting(_deal(buckets, width)), "target int, batch long, kind int, texts binary, hashes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
-    answered = dealt.repartition("target").sortWithinPartitions("kind", "target").mapInArrow(_answer, "batch long, target int, texts binary, hashes binary, classes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
-    gathered = answered.repartition("batch").sortWithinPartitions("batch", "target").mapInArrow(_gather(buckets, percent), "doc_id long, tie long, key long, size int, shared int, tokens binary, prefix array<long>, inner int, signature binary, batch long")
+    answered = dealt.repartition("target").sortWithinPartitions("kind", "target").mapInArrow(forgetting(_answer), "batch long, target int, texts binary, hashes binary, classes binary, hot binary, hot_counts binary, ids array<long>, keys array<long>, ties array<long>")
+    gathered = answered.repartition("batch").sortWithinPartitions("batch", "target").mapInArrow(forgetting(_gather(buckets, percent)), "doc_id long, tie long, key long, size int, shared int, tokens binary, prefix array<long>, inner int, signature binary, batch long")
     table = materialise(gathered, "shingles")
     candidates = table.where("tokens is not null").drop("doc_id", "tie")
     # copies in several batches are one set: its first batch's row stands for all
@@ -675,7 +675,7 @@ def _across(holders: DataFrame, candidates: DataFrame, labels: DataFrame | None,
     probes = ways.join(live, ["token", "window"]).where("label <> main").withColumn("at_held", at_held).where("at_held > 0")
     probes = probes.withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), tiles(F.col("at_held"))).cast("int")).withColumn("at_tile", F.explode(F.sequence(F.lit(0), tiles(F.col("at_held")) - 1))).select(tile, F.lit(1).alias("probe"), "key", "size", "label")
     rows = bases.unionByName(probes).join(details, "key").select("tile", "probe", "key", "size", "shared", "label", "signature")
-    met = rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(_tiles(percent, best_only), "probe long, partner long, bound double")
+    met = rows.repartition("tile").sortWithinPartitions("tile", "probe").mapInArrow(forgetting(_tiles(percent, best_only)), "probe long, partner long, bound double")
     if best_only:
         met = met.groupBy("probe").agg(F.max(F.struct("bound", "partner")).alias("m")).select("probe", F.col("m.partner").alias("partner"))
     out = materialise(met.select(F.least("probe", "partner").alias("a"), F.greatest("probe", "partner").alias("b")).distinct(), "pairs")

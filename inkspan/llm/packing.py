@@ -276,4 +276,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             k = np.maximum(e[:, 4], 1)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(e[:, 2] + nth // k), pa.array(e[:, 3] + nth % k * length)], names=[f.name for f in schema.fields])
 
-    return ranked.select(*names, (F.col("nth") + F.col("before")).alias("rank")).mapInArrow(place, schema)
+    return ranked.select(*names, (F.col("nth") + F.col("before")).alias("rank")).mapInArrow(forgetting(place), schema)

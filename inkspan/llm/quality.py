@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import forgetting, materialise, worker_cache
+from inkspan.llm.common import forgetting, materialise, small_table, worker_cache
 
 BITS = 11
 BUCKETS = 1 << BITS
@@ -130,7 +130,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     picked = [r for good in (1, 0) for r in known.where((F.col("quality") > 0) == F.lit(bool(good))).orderBy("draw", "doc_id").limit(most).collect()]  # at most 2 * most rows
     if not picked:
         return []
-    sample = spark.createDataFrame([(r["doc_id"], int(r["quality"] > 0), r["draw"]) for r in picked], "doc_id long, quality int, draw long")
+    sample = small_table(spark, {"doc_id": ("int64", [r["doc_id"] for r in picked]), "quality": ("int32", [int(r["quality"] > 0) for r in picked]), "draw": ("int64", [r["draw"] for r in picked])})
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality", "draw").agg(F.min("text").alias("text"))
     return [(r["text"], r["quality"], r["draw"]) for r in sorted(texts.collect(), key=lambda r: (r["draw"], r["doc_id"]))]
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import forgetting, worker_cache
+from inkspan.llm.common import forgetting, small_table, worker_cache
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
@@ -468,7 +468,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, most_toxic: int
         picked += known.where((F.col("toxic") > 0) == F.lit(bool(label))).orderBy("draw", "doc_id").limit(most).collect()  # at most `most` rows
     if not picked:
         return []
-    sample = spark.createDataFrame([(r["doc_id"], int(r["toxic"] > 0), r["draw"]) for r in picked], "doc_id long, toxic int, draw long")
+    sample = small_table(spark, {"doc_id": ("int64", [r["doc_id"] for r in picked]), "toxic": ("int32", [int(r["toxic"] > 0) for r in picked]), "draw": ("int64", [r["draw"] for r in picked])})
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
     found = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")).collect()  # at most most_toxic + most_clean rows
     return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["draw"], r["doc_id"]))]

@@ -1,13 +1,14 @@
 import random
 import zlib
 
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from test_ngramjoin import brute
 from test_toxicity import naive_score
 
 import corpus_pipeline as cp
-from inkspan.llm import quality, toxicity
+from inkspan.llm import common, quality, toxicity
 from inkspan.llm.decontaminate import Benchmark
 from inkspan.llm.tokens import ChunkEncoder, default_vocabulary
 
@@ -95,3 +96,37 @@ def test_edge_rows_pass_all_stages(spark, tmp_path):
         lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
     assert max(lengths.values()) <= 2048 and sum(r.length for r in out if r.doc_id == 100) == 1
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tasks_give_their_memory_back(spark, docs_of, monkeypatch):
+    """Every Python task of a stage, not only one that remembered something; idle workers stay beside the next ones."""
+    calls, used = [], []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": lambda self, n: calls.append(n)})())
+    assert list(common.forgetting(lambda batches: iter(batches))([1, 2])) == [1, 2] and calls == [0]
+    monkeypatch.undo()
+    docs = docs_of([" ".join(f"w{i // 4}x{j + (j == i % 4) * 1000}" for j in range(60)) for i in range(40)])
+    kind, own = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: used.append(f) or own(self, f, *a, **k))
+    cp.drop_near_copies(spark, docs, "").count()
+    assert len(used) > 3
+    cp.pack_sequences(spark, docs, "").count()
+    benchmark = spark.createDataFrame([(1, " ".join(f"leak{i}" for i in range(60)))], "item_id long, text string")
+    cp.drop_leaking(docs, benchmark).count()
+    assert {f.__qualname__ for f in used} == {"forgetting.<locals>.task"}
+
+
+def test_samples_start_no_second_kind_of_workers(spark, docs_of, monkeypatch):
+    """A Python list given to createDataFrame() runs tasks with a daemon of their own, which stays on each executor."""
+    docs = docs_of([f"some words of text {i}" for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(30)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+
+    def refused(*_, **__):
+        raise AssertionError("rows went through Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    rows = toxicity.training_rows(docs, labels, toxicity.third_held_out)
+    assert rows and sorted(y for _, y in rows) == sorted(int(int(t.split()[-1]) % 3 == 0) for t, _ in rows)
+    sample = quality.labelled_sample(docs, labels)
+    assert sample and all(y == int(t.split()[-1]) % 2 for t, y, _ in sample)
+    table = common.small_table(spark, {"a": ("int64", [1, None]), "b": ("int32", [2, 3])})
+    assert table.dtypes == [("a", "bigint"), ("b", "int")] and [tuple(r) for r in table.collect()] == [(1, 2), (None, 3)]
