@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bucket_count, crc32, id_boundaries, scratch_path, shuffle_partitions
+from inkspan.llm.common import bucket_count, crc32, id_boundaries, scratch_path, shuffle_partitions, worker_cache
 from inkspan.llm.tokens import default_vocabulary, encoder
 
 #: Fixed values of the format: selector: (ids in a word, bits of each).
@@ -39,6 +39,8 @@ ESCAPE = 0
 MAGIC = b"S8B1"
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
+#: A batch of encoded documents ends with the one that brings it to so many bytes.
+BATCH_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=1)
@@ -182,14 +184,19 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
         for b in batches:
             key = b.column(0).cast(pa.int64())
             shard = np.searchsorted(cuts, pc.fill_null(key, -(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            ids = [e.encode(t.as_py()) + end for t in b.column(1)]
-            if narrow:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, pa.array([2 if narrow else 4] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["shard", "doc_id", "width", "ids"])
+            first, own, held = 0, [], 0
+            for i, t in enumerate(b.column(1)):
+                ids = e.encode(t.as_py()) + end
+                own.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
+                held += len(own[-1])
+                if held >= BATCH_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[first : i + 1], pa.int32()), key[first : i + 1], pa.array([2 if narrow else 4] * len(own), pa.int32()), pa.array(own, pa.binary())], names=["shard", "doc_id", "width", "ids"])
+                    first, own, held = i + 1, [], 0
 
     def blocks(batches):
         import pyarrow as pa
 
+        worker_cache("words", _bits_of.cache_clear)  # the chunks are forgotten before files are written
         shard, number, keys, own, held = None, 0, [], [], 0
 
         def flush():
@@ -215,7 +222,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     shards = len(cuts) + 1
     files = min(shards, max(shuffle_partitions(docs.sparkSession), shards // 8))
     ordered = encoded.repartitionById(files, F.expr(f"cast(shard * {files}L div {shards} as int)")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(blocks, "shard int, block int, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(path)
+    writer = ordered.mapInArrow(blocks, "shard int, block int, n_ids long, payload binary").write.option("compression", "uncompressed")
+    for k in ("page.size", "block.size"):  # else a hundred blocks, however large, make a page that is copied as a whole
+        writer = writer.option(f"parquet.{k}.row.check.min", "1")
+    writer.parquet(path)
 
 
 def block_starts(files: DataFrame) -> DataFrame:

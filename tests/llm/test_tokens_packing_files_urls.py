@@ -126,6 +126,45 @@ def test_token_files(spark, docs_of, tokenizer):
     assert sorted((r.doc_id, r.start) for r in twice) == [(0, 0), (1, 2), (1, 5)]
 
 
+def test_encoded_batches_stay_small_and_chunks_go_before_files(spark, docs_of, tokenizer, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from inkspan.llm import common, tokens
+
+    docs, steps = docs_of(["a b"]), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: (steps.append(f), real(self, f, *a))[1])
+    idfiles.write_ids(docs, f"{tmp_path}/ids")
+    tokenise, blocks = steps
+    texts = [None, *["word " * 4000] * 600, "", "x"]
+    rows = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 603)], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    found = list(tokenise(iter([rows.slice(0, 0), rows])))
+    assert len(found) > 1 and all(sum(map(len, b.column("ids").to_pylist()[:-1])) < idfiles.BATCH_BYTES for b in found)
+    assert [k for b in found for k in b.column("doc_id").to_pylist()] == [None, *range(1, 603)]
+    want = {t: np.array([*ids_of(tokenizer, t), 2], "<u2").tobytes() for t in set(texts)}
+    assert [x for b in found for x in b.column("ids").to_pylist()] == [want[t] for t in texts]
+    assert tokens._encoder.cache_info().currsize == 1
+    made = list(blocks(iter(found)))
+    assert tokens._encoder.cache_info().currsize == 0 and "tokens" not in common._REMEMBERED
+    assert [k for b in made for x in b.column("payload").to_pylist() for k in idfiles.decode_block(x)[0]] == [None, *range(1, 603)]
+
+
+def test_pages_of_large_blocks_stay_small(spark, docs_of, tmp_path):
+    """Parquet looks at a page's size after a hundred rows only, unless told."""
+    idfiles.write_ids(docs_of([f"{i} " + "zebra quartz " * 100_000 for i in range(40)]), f"{tmp_path}/ids")
+    hadoop, largest, rows = spark._jvm.org.apache.parquet.hadoop, 0, 0
+    for f in (tmp_path / "ids").glob("*.parquet"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(str(f))
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
+        for group in reader.getFooter().getBlocks():
+            own = next(c for c in group.getColumns() if c.getPath().toDotString() == "payload")
+            pages = reader.readOffsetIndex(own)
+            largest = max([largest, *(pages.getCompressedPageSize(i) for i in range(pages.getPageCount()))])
+            rows += group.getRowCount()
+        reader.close()
+    assert rows == 40 and largest < 2 << 20, largest
+
+
 URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q#f", "http://example.com/en/", "http://m.example.com/en/x", "http://x.net/es/", "http://net/fr/a/b", "http://x.net/ES/", "http://x.net/esa", "no scheme", None, "", "://", "http://com", "http://acom/x", "http://a.com?x/", "ftp://b.org/y://z.com/", "http://.com/", "http://example.com:80/en/", "http://é.Ünet/es/", "http://x.net/es/\n?", "http://" + "a." * 5000 + "example.com/en/x", "http://" + "." * 3000 + "net/es/", "http://x.net/es/" + "y/" * 50_000]
 
 
