@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet into the shared folder and reads it again as the next stage's docs.
+Executors collect their garbage before a stage begins, so that what one stage
+made their heaps grow doesn't stay beside the Python workers of the next.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import materialise
+from inkspan.llm.common import collect_garbage, materialise
 from inkspan.llm.decontaminate import drop_leaking
 from inkspan.llm.ngramjoin import keep_representatives
 from inkspan.llm.packing import pack
@@ -19,27 +21,32 @@ from inkspan.llm.toxicity import third_held_out, train, training_rows, without_t
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network doesn't reject."""
+    collect_garbage(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without_toxic(docs, train(training_rows(docs, labels, third_held_out)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
+    collect_garbage(spark)
     return keep_sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the least doc_id."""
+    collect_garbage(spark)
     return keep_representatives(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    collect_garbage(spark)
     return drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
+    collect_garbage(spark)
     return pack(docs)
 
 

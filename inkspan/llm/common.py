@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspan.sources.tables import materialise, release, scratch_path
 
-__all__ = ["bucket_count", "crc32", "forget_all", "forgetting", "give_back", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "small_table", "worker_cache"]
+__all__ = ["bucket_count", "collect_garbage", "crc32", "forget_all", "forgetting", "give_back", "id_boundaries", "input_bytes", "materialise", "partition_id", "release", "scratch_path", "shuffle_partitions", "small_table", "worker_cache"]
 
 
 #: Ranges that one quantile pass is asked for at most.
@@ -110,3 +110,13 @@ def forgetting(run: Callable) -> Callable:
             forget_all()
 
     return task
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage now, and so give back the heap that earlier work made them grow.
+
+    A JVM whose heap has room grows it sooner than it collects, and shrinks it only after a full collection.  One task
+    for each core: where all are idle, as between two stages, every executor gets one.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()

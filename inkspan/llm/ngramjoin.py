@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import forgetting, input_bytes, materialise, partition_id, release, shuffle_partitions
+from inkspan.llm.common import collect_garbage, forgetting, input_bytes, materialise, partition_id, release, shuffle_partitions
 from inkspan.llm.fingerprints import shingle_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -691,7 +691,9 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PER
     and stay.
     """
     texts, candidates = _sets(docs, width, percent)
+    collect_garbage(docs.sparkSession)  # of the texts' hashes; the many small steps that follow need little
     labels = link_components(candidates, percent)
+    collect_garbage(docs.sparkSession)
     worded = texts.where("key is not null")
     grouped = worded.withColumn("label", F.col("key")) if labels is None else _with_label(worded, labels)
     least = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"))

@@ -8,7 +8,7 @@ from test_ngramjoin import brute
 from test_toxicity import naive_score
 
 import corpus_pipeline as cp
-from inkspan.llm import common, quality, toxicity
+from inkspan.llm import common, ngramjoin, quality, toxicity
 from inkspan.llm.decontaminate import Benchmark
 from inkspan.llm.tokens import ChunkEncoder, default_vocabulary
 
@@ -130,3 +130,28 @@ def test_samples_start_no_second_kind_of_workers(spark, docs_of, monkeypatch):
     assert sample and all(y == int(t.split()[-1]) % 2 for t, y, _ in sample)
     table = common.small_table(spark, {"a": ("int64", [1, None]), "b": ("int32", [2, 3])})
     assert table.dtypes == [("a", "bigint"), ("b", "int")] and [tuple(r) for r in table.collect()] == [(1, 2), (None, 3)]
+
+
+def test_stages_begin_with_collected_heaps(spark, docs_of, tmp_path, monkeypatch):
+    """What one stage made the executors' heaps grow doesn't stay beside the next one; here the driver is the executor."""
+    docs = docs_of([f"some words of text {i // 2}" for i in range(12)])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def full_collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+
+    seen = []
+    for name in ("training_rows", "keep_sampled", "keep_representatives", "drop_leaking", "pack"):
+        monkeypatch.setattr(cp, name, lambda *_: seen.append(full_collections()) or [])
+    monkeypatch.setattr(cp, "without_toxic", lambda *_: docs)
+    for _, stage in cp.STAGES:
+        before = full_collections()
+        stage(spark, docs, str(tmp_path))
+        assert seen[-1] > before
+    assert len(seen) == len(cp.STAGES)
+    # near copies: the heap that the texts' hashes filled isn't kept through the rounds that link them
+    sets, link = ngramjoin._sets, ngramjoin.link_components
+    monkeypatch.setattr(ngramjoin, "_sets", lambda *a: (sets(*a), seen.append(full_collections()))[0])
+    monkeypatch.setattr(ngramjoin, "link_components", lambda *a: seen.append(full_collections()) or link(*a))
+    assert ngramjoin.keep_representatives(docs).count() == 6 and seen[-1] > seen[-2]
