@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import time
 import zlib
 from collections.abc import Callable
 
@@ -113,10 +115,14 @@ def forgetting(run: Callable) -> Callable:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let the executors' JVMs collect their garbage now, and so give back the heap that earlier work made them grow.
+    """Let the JVMs collect their garbage now, so that executors give back the heap that earlier work made them grow.
 
-    A JVM whose heap has room grows it sooner than it collects, and shrinks it only after a full collection.  One task
-    for each core: where all are idle, as between two stages, every executor gets one.
+    The driver's comes first: Spark removes broadcasts and shuffle files when it finds there that nothing refers to
+    them any more, and until then executors hold them.  An executor's JVM shrinks its heap only after a full
+    collection.  One task for each core: where all are idle, as between two stages, every executor gets one.
     """
+    gc.collect()  # Python's references to DataFrames keep those of the JVM
+    spark._jvm.java.lang.System.gc()
+    time.sleep(0.5)  # Spark's cleaner has a thread of its own
     cores = spark.sparkContext.defaultParallelism
     spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()

@@ -39,6 +39,7 @@ only doc_id and text are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -583,11 +584,12 @@ def _holders(candidates: DataFrame) -> DataFrame:
     return candidates.select(F.posexplode("prefix").alias("at", "token"), "key", "size", "inner").select("token", "key", "size", (F.col("at") < F.col("inner")).alias("inner"))
 
 
-def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+def link_components(candidates: DataFrame, percent: int = PERCENT, before_round: Callable[[], None] = lambda: None) -> DataFrame | None:
     """(node, label) of all keys with a link to another; None without any link."""
     holders = _holders(candidates)
     labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
+        before_round()
         known = _with_label(holders, labels)
         if labels is None:  # keys are hashes, so the least one is as good as drawn
             chief = known.groupBy("token").agg(F.min(F.struct("key", "size")).alias("c"), F.max("key").alias("most")).where("c.key <> most").select("token", F.col("c.key").alias("chief"), F.col("c.size").alias("chief_size"), F.col("c.key").alias("chief_label"))
@@ -615,6 +617,7 @@ def link_components(candidates: DataFrame, percent: int = PERCENT) -> DataFrame
     tried: DataFrame | None = None
     last = False
     for turn in range(BEST_ROUNDS + 1):
+        before_round()
         last = last or turn == BEST_ROUNDS
         pairs = _across(holders, candidates, labels, percent, not last)
         if pairs is None:
@@ -691,8 +694,8 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PER
     and stay.
     """
     texts, candidates = _sets(docs, width, percent)
-    collect_garbage(docs.sparkSession)  # of the texts' hashes; the many small steps that follow need little
-    labels = link_components(candidates, percent)
+    # else the texts' hashes and every round's broadcasts stay in the executors' heaps
+    labels = link_components(candidates, percent, lambda: collect_garbage(docs.sparkSession))
     collect_garbage(docs.sparkSession)
     worded = texts.where("key is not null")
     grouped = worded.withColumn("label", F.col("key")) if labels is None else _with_label(worded, labels)

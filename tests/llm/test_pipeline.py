@@ -151,7 +151,9 @@ def test_stages_begin_with_collected_heaps(spark, docs_of, tmp_path, monkeypatch
         assert seen[-1] > before
     assert len(seen) == len(cp.STAGES)
     # near copies: the heap that the texts' hashes filled isn't kept through the rounds that link them
-    sets, link = ngramjoin._sets, ngramjoin.link_components
+    sets, label = ngramjoin._sets, ngramjoin._with_label
     monkeypatch.setattr(ngramjoin, "_sets", lambda *a: (sets(*a), seen.append(full_collections()))[0])
-    monkeypatch.setattr(ngramjoin, "link_components", lambda *a: seen.append(full_collections()) or link(*a))
-    assert ngramjoin.keep_representatives(docs).count() == 6 and seen[-1] > seen[-2]
+    monkeypatch.setattr(ngramjoin, "_with_label", lambda *a: seen.append(full_collections()) or label(*a))
+    words = [f"w{i // 2} x y z{i // 4} " + " ".join(f"v{i // 4}x{j}" for j in range(60)) for i in range(12)]
+    assert ngramjoin.keep_representatives(docs_of(words)).count() == 3
+    assert len(seen) > len(cp.STAGES) + 2 and all(b > a for a, b in zip(seen[len(cp.STAGES) :], seen[len(cp.STAGES) + 1 :]))
