@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import lexicon as lx
-from inkspan.functions import text as tx
 from inkspan.operators import features as ft
-from inkspan.operators import inventory as iv
 
 ANALYZER_VERSION = "0.1.0"
 
@@ -36,14 +34,6 @@ SECTIONS = {
 }
 
 
-def pronoun_counts(tokens: Column) -> Column:
-    """(item, count) of the pronouns among lower-cased words, in the order of the list."""
-    found = iv.counted(F.filter(tokens, lambda w: w.isin(lx.PRONOUNS)))
-    order = F.array(*map(F.lit, lx.PRONOUNS))
-    ranked = F.array_sort(F.transform(found, lambda x: F.struct(F.array_position(order, x["item"]).alias("place"), x["item"].alias("item"), x["count"].alias("count"))))
-    return F.transform(ranked, lambda x: F.struct(x["item"].alias("item"), x["count"].alias("count")))
-
-
 def _pairs(items: Column) -> Column:
     return F.transform(items, lambda x: F.struct(x["item"].alias("item"), x["count"].alias("count")))
 
@@ -57,24 +47,12 @@ def analysis_records(df: DataFrame, text: str = "text", top_k: int = 20, charact
     if not language.strip():
         raise ValueError("language must not be empty")
 
-    def inventories(t: Column) -> Column:
-        own = iv.counted(t)
-        often = F.array_sort(F.transform(F.filter(own, lambda x: x["count"] >= 3), lambda x: F.struct((-x["count"]).alias("less"), x["item"].alias("item"))))
-        return F.struct(
-            _pairs(iv.most_frequent(t, top_k)).alias("top_words"),
-            F.transform(often, lambda x: F.struct(x["item"].alias("item"), (-x["less"]).alias("count"))).alias("repeated_words"),
-            _pairs(iv.most_frequent(iv.word_ngrams(t, 2), top_k)).alias("bigrams"),
-            _pairs(iv.most_frequent(iv.word_ngrams(t, 3), top_k)).alias("trigrams"),
-            pronoun_counts(t).alias("pronoun_counts"),
-            iv.connectives_in(t).alias("transition_counts"),
-        )
-
-    some = df.where(F.col(text).isNotNull())
+    inventories = {
+        "_top_words": ("ngrams", 1, top_k), "_repeated_words": ("repeated", 3), "_bigrams": ("ngrams", 2, top_k), "_trigrams": ("ngrams", 3, top_k),
+        "_pronoun_counts": ("pronouns",), "_transition_counts": ("connectives",), **({"_characters": ("characters", char_n, top_k)} if character_ngrams else {}),
+    }
     keep = [c for c in df.columns if c != text]
-    made = {"_inventories": tx.let(iv.tokens_of(F.col(text)), inventories)}
-    if character_ngrams:
-        made["_characters"] = _pairs(iv.most_frequent(iv.char_ngrams(tx.lines(F.col(text)), char_n), top_k))
-    flat = ft.analyze(some.withColumns(made), text)
+    flat = ft.analyze(df, text, inventories=inventories)
     more = {
         "vocabulary": ["top_words", "repeated_words"],
         "linguistic": ["pronoun_counts", "transition_counts"],
@@ -82,11 +60,11 @@ def analysis_records(df: DataFrame, text: str = "text", top_k: int = 20, charact
     marks = {"counts": "mark", "per_100_words": "per_100"}
     out = [F.struct(F.lit(ANALYZER_VERSION).alias("analyzer_version"), F.lit(language).alias("language")).alias("metadata")]
     for section, fields in SECTIONS.items():
-        columns = [F.col(c).alias(n) for n, c in fields] + [F.col(f"_inventories.{n}").alias(n) for n in more.get(section, [])]
+        columns = [F.col(c).alias(n) for n, c in fields] + [_pairs(F.col(f"_{n}")).alias(n) for n in more.get(section, [])]
         if section == "punctuation":
             columns += [F.create_map(*(x for i, m in enumerate(lx.MARKS) for x in (F.lit(m), F.col(f"{c}_{i}")))).alias(n) for n, c in marks.items()]
         out.append(F.struct(*columns).alias(section))
-    grams = [F.lit(top_k).alias("top_k"), F.col("_inventories.bigrams").alias("bigrams"), F.col("_inventories.trigrams").alias("trigrams")]
+    grams = [F.lit(top_k).alias("top_k"), _pairs(F.col("_bigrams")).alias("bigrams"), _pairs(F.col("_trigrams")).alias("trigrams")]
     if character_ngrams:
-        grams.append(F.struct(F.lit(char_n).alias("n"), F.col("_characters").alias("ngrams")).alias("character_ngrams"))
+        grams.append(F.struct(F.lit(char_n).alias("n"), _pairs(F.col("_characters")).alias("ngrams")).alias("character_ngrams"))
     return flat.select(*keep, *out, F.struct(*grams).alias("ngrams"))
